@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat_format, media, packing, storage, token_frames, url_filter, warc_fixity
+from sigspark.llm import chat_format, media, near_dup, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIRROR_FAULT_EVERY = 97
@@ -25,6 +25,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut_repeats(storage.table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(storage.table(spark, sf_dir, "documents"))
 
@@ -50,13 +54,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.match_urls(storage.table(spark, sf_dir, "pages"), rules)
 
 
+def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(storage.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op3_media_columns": op3_media_columns,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_format": op7_chat_format,
     "op8_warc_fixity": op8_warc_fixity,
     "op9_url_filter": op9_url_filter,
+    "op10_minhash_near_dup": op10_minhash_near_dup,
 }
 
 _CONTROLS = r"([\[<])(\\*/?(?:INST|OUT|SYS|ROLE:[^\[\]\n]*)\]|\\*/?s>|\\*/?SYS>>|\\*\|[a-z_]+\|>)"
