@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat_format, media, near_dup, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
+from sigspark.llm import chat_format, language_id, media, near_dup, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIRROR_FAULT_EVERY = 97
@@ -29,6 +29,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.cut_repeats(storage.table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = storage.table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False)))
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(storage.table(spark, sf_dir, "documents"))
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op3_media_columns": op3_media_columns,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_format": op7_chat_format,
     "op8_warc_fixity": op8_warc_fixity,
