@@ -5,18 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sigspark.llm import packing, storage
+from sigspark.llm import decontaminate, language_id, near_dup, packing, storage, substring_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _like(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, in their order."""
+    return found.select(*(f"`{c}`" for c in docs.columns))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a recognised language (operator 5): those without any letter go.
+
+    The model is fitted on the labelled documents; a missing label is filled in by the prediction.
+    """
+    model = language_id.fit(docs)
+    named = language_id.predict(docs.select("*", F.col("text").alias("_text")), model, text_col="_text")
+    known = named.where(F.col("lang_pred") != language_id.UNKNOWN)
+    return _like(known.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest document of each group of near-duplicates (operator 10)."""
+    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return _like(docs.join(gone, "doc_id", "left_anti"), docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 50 bytes and more that a smaller document has (operator 4); a text that is cut away whole goes."""
+    cut = substring_dedup.cut_repeats(docs, keep=docs.columns)
+    text = F.when(F.col("n_removed") > 0, substring_dedup.as_text(F.col("kept"))).otherwise(F.col("text"))
+    left = cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", text)
+    return _like(left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item (operator 2)."""
+    return decontaminate.without_leaks(docs, storage.table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences (operator 6)."""
     return packing.pack_sequences(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("identify_language", identify_language),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("cut_repeated_passages", cut_repeated_passages),
+    ("drop_benchmark_leaks", drop_benchmark_leaks),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat_format, language_id, media, near_dup, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
+from sigspark.llm import chat_format, decontaminate, language_id, media, near_dup, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIRROR_FAULT_EVERY = 97
@@ -20,6 +20,10 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_token_frames(manifest)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(storage.table(spark, sf_dir, "documents"), storage.table(spark, sf_dir, "benchmark"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.stored_media(storage.table(spark, sf_dir, "documents"))
     return media.media_features(stored)
@@ -66,6 +70,7 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
+    "op2_decontamination": op2_decontamination,
     "op3_media_columns": op3_media_columns,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_language_id": op5_language_id,

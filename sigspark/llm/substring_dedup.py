@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -394,3 +395,13 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id"
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [_ADDED])
     names = [*keep, *(x.split()[0] for x in _ADDED.split(", "))]
     return with_texts(covers, *passed).mapInArrow(_cut(length, passed, names), schema)
+
+
+def as_text(kept: Column) -> Column:
+    """Kept bytes as text; the bytes of a character that a cut has split go too."""
+
+    @F.pandas_udf("string")
+    def decode(column: pd.Series) -> pd.Series:
+        return column.map(lambda raw: None if raw is None else bytes(raw).decode("utf-8", "ignore"))
+
+    return decode(kept)

@@ -37,14 +37,15 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class PieceEncoder:
+class PieceEncoder(dict):
     """Encodes texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    ``itemsize`` is the width in bytes of an id.  The memo is emptied at ``MEMO_PIECES`` pieces and holds
-    no piece of over ``MEMO_PIECE_CHARS`` characters, so memory stays bounded on any text.
+    It is a memo from pieces to ids, of ``itemsize`` bytes each, emptied at ``MEMO_PIECES`` pieces; it keeps no piece of
+    over ``MEMO_PIECE_CHARS`` characters, so memory stays bounded on any text.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, itemsize: int = 2):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << (8 * itemsize):
@@ -53,33 +54,21 @@ class PieceEncoder:
         self.dtype = np.dtype(f"<u{itemsize}")
         self.merge = self.tokenizer.model.tokenize
         self.alphabet = _byte_alphabet()
-        self.memo: dict[str, bytes] = {}
 
-    def _piece(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes:
         spelled = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        return b"".join([t.id.to_bytes(self.itemsize, "little") for t in self.merge(spelled)])
+        ids = b"".join([t.id.to_bytes(self.itemsize, "little") for t in self.merge(spelled)])
+        if len(piece) <= MEMO_PIECE_CHARS:
+            self[piece] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian ids of a text; a null or empty text has none."""
         if not text:
             return b""
-        pieces = split(text)
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        out = []
-        for p in pieces:
-            ids = memo.get(p)
-            if ids is None:
-                ids = self._piece(p)
-                if len(p) <= MEMO_PIECE_CHARS:
-                    memo[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        if len(self) > MEMO_PIECES:
+            self.clear()
+        return b"".join([self[p] for p in split(text)])
 
 
 @functools.lru_cache(maxsize=2)
