@@ -1,0 +1,186 @@
+"""Second-order cone programs by a homogeneous self-dual interior point method, dense, in numpy.
+
+    minimise c'x  subject to  G x + s = h,  A x = b,  s in R+^l x Q^q1 x ... x Q^qk
+
+Programs here have a few hundred unknowns at most, and thousands of them run side by side in tasks.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+MAX_ITER, FEAS_TOL, ABS_TOL, REL_TOL, STEP = 50, 1e-7, 1e-8, 1e-8, 0.98
+OPTIMAL, PRIMAL_INFEASIBLE, DUAL_INFEASIBLE, TOO_MANY, NUMERICS = 0, 1, 2, -1, -2
+
+
+@dataclass
+class Solution:
+    x: np.ndarray
+    y: np.ndarray
+    s: np.ndarray
+    z: np.ndarray
+    exitflag: int
+    pcost: float
+    dcost: float
+    gap: float
+    iterations: int
+
+
+class _Cone:
+    """The product cone: its identity, Jordan algebra, scaling and steps to its border."""
+
+    def __init__(self, linear: int, orders: list[int]):
+        self.linear, at = linear, linear
+        self.blocks: list[slice] = []
+        for n in orders:
+            self.blocks.append(slice(at, at + n))
+            at += n
+        self.size, self.degree = at, linear + len(orders)
+        self.e = np.zeros(at)
+        self.e[:linear] = 1
+        for b in self.blocks:
+            self.e[b.start] = 1
+
+    def product(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = u * v
+        for b in self.blocks:
+            p, q = u[b], v[b]
+            out[b] = np.r_[p @ q, p[0] * q[1:] + q[0] * p[1:]]
+        return out
+
+    def divide(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The v with u o v = w."""
+        out = np.empty_like(w)
+        out[: self.linear] = w[: self.linear] / u[: self.linear]
+        for b in self.blocks:
+            p, q = u[b], w[b]
+            det = p[0] ** 2 - p[1:] @ p[1:]
+            first = (p[0] * q[0] - p[1:] @ q[1:]) / det
+            out[b] = np.r_[first, (q[1:] - first * p[1:]) / p[0]]
+        return out
+
+    def scaling(self, s: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The symmetric W with W z = W^-1 s, as a dense block diagonal matrix."""
+        w = np.zeros((self.size, self.size))
+        k = np.arange(self.linear)
+        w[k, k] = np.sqrt(s[: self.linear] / z[: self.linear])
+        for b in self.blocks:
+            p, q = s[b], z[b]
+            det_p, det_q = p[0] ** 2 - p[1:] @ p[1:], q[0] ** 2 - q[1:] @ q[1:]
+            p, q = p / np.sqrt(det_p), q / np.sqrt(det_q)
+            mean = np.r_[p[0] + q[0], p[1:] - q[1:]] / np.sqrt(2 * (1 + p @ q))
+            block = np.eye(len(p))
+            block[0] = block[:, 0] = mean
+            block[1:, 1:] += np.outer(mean[1:], mean[1:]) / (1 + mean[0])
+            w[b, b] = block * (det_p / det_q) ** 0.25
+        return w
+
+    def reach(self, u: np.ndarray, d: np.ndarray) -> float:
+        """The greatest a (up to 10) with u + a d in the cone, for u inside."""
+        best = 10.0
+        down = d[: self.linear] < 0
+        if down.any():
+            best = min(best, float((-u[: self.linear][down] / d[: self.linear][down]).min()))
+        for b in self.blocks:
+            p, q = u[b], d[b]
+            a, h, c = q[0] ** 2 - q[1:] @ q[1:], p[0] * q[0] - p[1:] @ q[1:], p[0] ** 2 - p[1:] @ p[1:]
+            roots = [-c / (2 * h)] if abs(a) < 1e-300 and h else []
+            if abs(a) >= 1e-300 and h * h >= a * c:
+                t = -(h + np.copysign(np.sqrt(h * h - a * c), h))
+                roots = [t / a, c / t] if t else [0.0]
+            best = min([best, *(r for r in roots if r > 0)])
+            if q[0] < 0:
+                best = min(best, -p[0] / q[0])
+        return best
+
+
+def solve_socp(c: np.ndarray, G: np.ndarray, h: np.ndarray, linear: int, orders: list[int], A: np.ndarray | None = None, b: np.ndarray | None = None) -> Solution:
+    """Solve a cone program; exitflag 0 optimal, 1 primal and 2 dual infeasible, -1 too many iterations, -2 numerics."""
+    c, G, h = np.asarray(c, float), np.asarray(G, float).reshape(len(h), len(c)), np.asarray(h, float)
+    A = np.zeros((0, len(c))) if A is None else np.asarray(A, float).reshape(-1, len(c))
+    b = np.zeros(0) if b is None else np.asarray(b, float)
+    cone = _Cone(linear, list(orders))
+    if cone.size != len(h) or len(b) != len(A):
+        raise ValueError("cone sizes and rows don't match")
+    n, p, m = len(c), len(b), len(h)
+    x, y, s, z, tau, kappa = np.zeros(n), np.zeros(p), cone.e.copy(), cone.e.copy(), 1.0, 1.0
+    kkt = np.zeros((n + p + m, n + p + m))
+    kkt[:n, n : n + p], kkt[n : n + p, :n], kkt[:n, n + p :], kkt[n + p :, :n] = A.T, A, G.T, G
+    kkt[np.arange(n), np.arange(n)] = 1e-11
+    kkt[np.arange(n, n + p), np.arange(n, n + p)] = -1e-11
+    cbh = np.r_[c, b, h]
+    norms = max(1, np.linalg.norm(c)), max(1, np.linalg.norm(b)), max(1, np.linalg.norm(h))
+    flag, k = TOO_MANY, 0
+    for k in range(MAX_ITER + 1):
+        rx, ry, rz = -A.T @ y - G.T @ z - c * tau, A @ x - b * tau, s + G @ x - h * tau
+        rt = kappa + c @ x + b @ y + h @ z
+        mu = (s @ z + tau * kappa) / (cone.degree + 1)
+        pcost, dcost, gap = c @ x / tau, -(b @ y + h @ z) / tau, s @ z / tau**2
+        pres = max(np.linalg.norm(ry) / norms[1], np.linalg.norm(rz) / norms[2]) / tau
+        dres = np.linalg.norm(rx) / norms[0] / tau
+        if pres < FEAS_TOL and dres < FEAS_TOL and (gap < ABS_TOL or gap < REL_TOL * max(abs(pcost), abs(dcost))):
+            flag = OPTIMAL
+        elif b @ y + h @ z < 0 and np.linalg.norm(A.T @ y + G.T @ z) / norms[0] < FEAS_TOL * -(b @ y + h @ z):
+            flag = PRIMAL_INFEASIBLE
+        elif c @ x < 0 and max(np.linalg.norm(A @ x) / norms[1], np.linalg.norm(G @ x + s) / norms[2]) < FEAS_TOL * -(c @ x):
+            flag = DUAL_INFEASIBLE
+        if flag >= 0 or k == MAX_ITER:
+            break
+        W = cone.scaling(s, z)
+        lam = W @ z
+        kkt[n + p :, n + p :] = -W @ W
+        try:
+            one = np.linalg.solve(kkt, np.r_[-c, b, h])
+
+            def direction(scale: float, ds: np.ndarray, dk: float, one: np.ndarray = one, W: np.ndarray = W, lam: np.ndarray = lam) -> tuple:
+                part = cone.divide(lam, ds)
+                two = np.linalg.solve(kkt, np.r_[scale * rx, -scale * ry, W @ part - scale * rz])
+                dt = (scale * rt - dk / tau + cbh @ two) / (kappa / tau - cbh @ one)
+                d = two + dt * one
+                dz = W @ d[n + p :]
+                return d, dt, dz, -(part + dz), -(dk + kappa * dt) / tau
+
+            def length(dt: float, dz: np.ndarray, ds: np.ndarray, dk: float, lam: np.ndarray = lam) -> float:
+                ends = [-v / d for v, d in ((tau, dt), (kappa, dk)) if d < 0]
+                return min([1 / STEP, cone.reach(lam, dz), cone.reach(lam, ds), *ends])
+
+            square = cone.product(lam, lam)
+            _, dt, dz, ds, dk = direction(1.0, square, tau * kappa)
+            sigma = max(0.0, 1 - min(1.0, length(dt, dz, ds, dk))) ** 3
+            d, dt, dz, ds, dk = direction(1 - sigma, square + cone.product(ds, dz) - sigma * mu * cone.e, tau * kappa + dt * dk - sigma * mu)
+        except np.linalg.LinAlgError:
+            flag = NUMERICS
+            break
+        a = min(1.0, STEP * length(dt, dz, ds, dk))
+        if not np.isfinite(a) or a < 1e-12:
+            flag = NUMERICS
+            break
+        x, y, z = x + a * d[:n], y + a * d[n : n + p], z + a * d[n + p :]
+        s, tau, kappa = s + a * (W @ ds), tau + a * dt, kappa + a * dk
+    if flag == NUMERICS and pres < 1e-4 and dres < 1e-4 and gap < 1e-4 * max(1, abs(pcost)):
+        flag = OPTIMAL
+    scale = tau if flag in (OPTIMAL, TOO_MANY, NUMERICS) else 1.0
+    return Solution(x / scale, y / scale, s / scale, z / scale, flag, float(pcost), float(dcost), float(gap), k)
+
+
+def solve_qp(H: np.ndarray, f: np.ndarray, A: np.ndarray, b: np.ndarray, Aeq: np.ndarray | None = None, beq: np.ndarray | None = None) -> Solution:
+    """Minimise x'Hx/2 + f'x subject to A x <= b and Aeq x = beq, H positive semidefinite, as a cone program.
+
+    With H = L L', the cost t of the quadratic part obeys |(L'x, (t - 1)/sqrt 2)| <= (t + 1)/sqrt 2.
+    """
+    n = len(f)
+    value, vector = np.linalg.eigh(np.asarray(H, float))
+    root = (vector * np.sqrt(np.maximum(value, 0))).T
+    half = 1 / np.sqrt(2)
+    G = np.zeros((len(b) + n + 2, n + 1))
+    G[: len(b), :n] = A
+    G[len(b), n] = -half
+    G[len(b) + 1 : len(b) + 1 + n, :n] = -root
+    G[len(b) + 1 + n, n] = -half
+    h = np.r_[b, half, np.zeros(n), -half]
+    eq = None if Aeq is None else np.c_[Aeq, np.zeros(len(Aeq))]
+    out = solve_socp(np.r_[f, 1.0], G, h, len(b), [n + 2], eq, beq)
+    out.x = out.x[:n]
+    return out

@@ -1,0 +1,190 @@
+"""Sparse decomposition of a snippet into time-shifted waveforms, on a grid with polar interpolation between its points.
+
+Within half a grid step of a point, the shifted waveform moves close to a circle through the waveform at the left,
+middle and right; a spike is then (c, u, v): amplitude, and the place on the circle.  Arrays are time x channel.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+
+from sigspark.functions.conic import solve_socp
+from sigspark.functions.stats import chi2_cdf
+
+SolveFn = Callable[[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def zero_shift(w: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros_like(w)
+    if abs(k) < len(w):
+        out[max(0, k) : len(w) + min(0, k)] = w[max(0, -k) : len(w) - max(0, k)]
+    return out
+
+
+def circle(w: np.ndarray, half: int) -> tuple[float, float]:
+    """Radius and half angle of the arc through a waveform at -half, 0 and half."""
+    left, mid, right = (zero_shift(w, k).ravel() for k in (-half, 0, half))
+    a, b = right - mid, right - left
+    angle = 2 * np.arccos(np.clip(b @ a / (np.linalg.norm(b) * np.linalg.norm(a)), -1, 1))
+    return float(np.linalg.norm(mid - right) / (2 * np.cos((np.pi - angle) / 2))), float(angle)
+
+
+def basis(w: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The centre, cosine and sine parts, which give the waveform at the arc's ends and middle."""
+    r, a = circle(w, half)
+    points = np.array([[1, r * np.cos(a), -r * np.sin(a)], [1, r, 0], [1, r * np.cos(a), r * np.sin(a)]])
+    shifts = np.stack([zero_shift(w, k).ravel() for k in (-half, 0, half)])
+    c, u, v = np.linalg.solve(points, shifts)
+    return c.reshape(w.shape), u.reshape(w.shape), v.reshape(w.shape)
+
+
+def spacing(w: np.ndarray, accuracy: float, most: int = 25) -> int:
+    """The widest even grid step whose interpolation stays within ``accuracy`` percent of the waveform's norm."""
+    total, best = np.linalg.norm(w), 0
+    for half in range(1, most + 1):
+        r, a = circle(w, half)
+        c, u, v = basis(w, half)
+        worst = max(np.linalg.norm(zero_shift(w, k) - c - r * np.cos(a * k / half) * u - r * np.sin(a * k / half) * v) for k in range(-half, half + 1))
+        if 100 * worst / total > accuracy:
+            break
+        best = half
+    if not best:
+        raise ValueError("no grid step reaches the accuracy; it is a percentage")
+    return 2 * best
+
+
+@dataclass
+class Dictionary:
+    """All atoms of all waveforms on the grid of a snippet of one length."""
+
+    cell: np.ndarray
+    grid: np.ndarray
+    step: np.ndarray
+    radius: np.ndarray
+    angle: np.ndarray
+    c: np.ndarray  # samples x atoms
+    u: np.ndarray
+    v: np.ndarray
+    plain: np.ndarray  # the waveform itself at the grid point
+
+
+def dictionary(waveforms: list[np.ndarray], steps: list[int], length: int) -> Dictionary:
+    if length % 2 == 0 or any(len(w) % 2 == 0 for w in waveforms):
+        raise ValueError("snippets and waveforms must have odd lengths")
+    cells, grids, widths, radii, angles = [], [], [], [], []
+    atoms: dict[str, list[np.ndarray]] = {"c": [], "u": [], "v": [], "plain": []}
+
+    def place(part: np.ndarray, at: int) -> np.ndarray:
+        out = np.zeros((length, part.shape[1]))
+        start = length // 2 + at - len(part) // 2
+        a, b = max(0, start), min(length, start + len(part))
+        if a < b:
+            out[a:b] = part[a - start : b - start]
+        return out.ravel()
+
+    for k, (w, step) in enumerate(zip(waveforms, steps, strict=True)):
+        half = step // 2
+        r, a = circle(w, half)
+        parts = dict(zip(("c", "u", "v"), basis(w, half), strict=True)) | {"plain": w}
+        reach = (length // 2) // step * step
+        for g in range(-reach, reach + 1, step):
+            cells.append(k)
+            grids.append(g)
+            widths.append(step)
+            radii.append(r)
+            angles.append(a)
+            for name, part in parts.items():
+                atoms[name].append(place(part, g))
+    stacked = {name: np.stack(rows, axis=1) for name, rows in atoms.items()}
+    return Dictionary(np.array(cells), np.array(grids), np.array(widths), np.array(radii), np.array(angles), **stacked)
+
+
+def solve_block(data: np.ndarray, D: np.ndarray, penalty: np.ndarray, sigma: float, radius: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """min |d - D x| / (sqrt 2 sigma) + penalty'c, |(u, v)| <= r c, u >= r cos(a) c; D has all c, all u, all v columns."""
+    n, m = len(penalty), len(data)
+    cost = np.r_[penalty, np.zeros(2 * n), 1 / (np.sqrt(2) * sigma)]
+    k = np.arange(n)
+    G = np.zeros((n + 3 * n + m + 1, 3 * n + 1))
+    G[k, k], G[k, n + k] = radius * np.cos(angle), -1
+    rows = n + 3 * k
+    G[rows, k], G[rows + 1, n + k], G[rows + 2, 2 * n + k] = -radius, -1, -1
+    G[4 * n, 3 * n] = -1
+    G[4 * n + 1 :, : 3 * n] = D
+    h = np.r_[np.zeros(4 * n + 1), data]
+    x = solve_socp(cost, G, h, n, [3] * n + [m + 1]).x
+    return x[:n], x[n : 2 * n], x[2 * n : 3 * n]
+
+
+def greedy(data: np.ndarray, d: Dictionary) -> tuple[int, float]:
+    """The single atom of amplitude 1 that leaves the least squares, and what it leaves."""
+    left = data @ data - 2 * data @ d.plain + np.sum(d.plain**2, axis=0)
+    best = int(left.argmin())
+    return best, float(left[best])
+
+
+@dataclass
+class Settings:
+    penalty: float = 1.5
+    sigma: float = 1.0
+    reweight: Callable[[np.ndarray], np.ndarray] | float = 1.5
+    cut: float = 1e-2
+    greedy_p: float = 1 - 1e-5
+    prefilter: float = 0.0
+    rounds: int = 1000
+    eps: float = 1e-3
+    solve: SolveFn = solve_block
+
+
+def decompose(snippet: np.ndarray, d: Dictionary, settings: Settings) -> list[tuple[int, float, float]]:
+    """(cell, offset from the centre, amplitude) of the spikes in a snippet.
+
+    One atom that explains the snippet to within the noise is taken at once.  Otherwise penalised solves with weights
+    1 / amplitude repeat until they settle, a solve without penalty follows on the atoms left, and the single atom is
+    kept after all where its cost is lower.
+    """
+    data, n = snippet.ravel(), snippet.size
+    best, left = greedy(data, d)
+    single = [(int(d.cell[best]), float(d.grid[best]), 1.0)]
+    if chi2_cdf(left / settings.sigma**2, n) < settings.greedy_p:
+        return single
+    weights = np.full(len(d.cell), float(settings.penalty))
+    active = np.ones(len(weights), bool)
+    if settings.prefilter:
+        norms = np.linalg.norm(d.plain, axis=0) * np.linalg.norm(data)
+        active &= (data @ d.plain) / np.maximum(norms, 1e-300) > settings.prefilter
+    c = u = v = np.zeros(len(weights))
+
+    def solve(weights: np.ndarray) -> None:
+        nonlocal c, u, v
+        c, u, v = (np.zeros(len(active)) for _ in range(3))
+        if active.any():
+            D = np.hstack([d.c[:, active], d.u[:, active], d.v[:, active]])
+            c[active], u[active], v[active] = settings.solve(data, D, weights[active], settings.sigma, d.radius[active], d.angle[active])
+        small = c < settings.cut
+        c[small] = u[small] = v[small] = 0
+
+    def model() -> np.ndarray:
+        return d.c @ c + d.u @ u + d.v @ v
+
+    before = None
+    for _ in range(settings.rounds):
+        solve(weights)
+        active &= c > 0
+        now = model()
+        if not active.any() or (before is not None and 100 * np.mean((now - before) ** 2) < 1e-6 * max(np.var(before), 1e-300)):
+            break
+        before = now
+        scale = settings.reweight
+        weights = np.where(active, scale(c) if callable(scale) else scale / (settings.eps + c), np.inf)
+    solve(np.zeros(len(weights)))
+    k = np.flatnonzero(c > 0)
+    offset = d.grid[k] + np.arctan2(v[k], np.maximum(u[k], 1e-300)) / d.angle[k] * d.step[k] / 2
+    found = [(int(d.cell[i]), float(t), float(a)) for i, t, a in zip(k, offset, c[k], strict=True)]
+
+    def cost(rest: float, amps: np.ndarray) -> float:
+        return rest / (2 * settings.sigma**2) + float(np.sum((amps - 1) ** 2)) / (2 * 0.1**2)
+
+    return single if cost(left, np.ones(1)) < cost(float(np.sum((data - model()) ** 2)), c[k]) else found
