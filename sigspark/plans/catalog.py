@@ -108,8 +108,8 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH w AS (SELECT t, sqrt(sum(v * v) OVER (ORDER BY t ROWS BETWEEN {NORM - 1} PRECEDING AND CURRENT ROW)) AS norm, t - min(t) OVER () AS at FROM {TRACE})
-    SELECT t, round(norm, 4) + 0.0 AS norm FROM w WHERE at >= {NORM - 1} AND (at - {NORM - 1}) % {NORM // 8} = 0""")
+    WITH w AS (SELECT t, sqrt(sum(v * v) OVER (ORDER BY t ROWS BETWEEN {NORM - 1} PRECEDING AND CURRENT ROW)) AS norm, t - min(t) OVER () AS k FROM {TRACE})
+    SELECT t, round(norm, 4) + 0.0 AS norm FROM w WHERE k >= {NORM - 1} AND (k - {NORM - 1}) % {NORM // 8} = 0""")
 def sliding_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.sliding_norm(events_trace(spark, sf_dir), NORM).select("t", r("norm").alias("norm"))
 
@@ -255,10 +255,11 @@ def relabel_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.relabel(vectors(spark, sf_dir).select("snip_id", "label"), _ORDER)
 
 
-@query("SELECT vec_id AS snip_id, round(sqrt(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x))), 5) + 0.0 AS norm, round(list_max(list_transform(embedding, x -> abs(CAST(x AS DOUBLE)))), 5) + 0.0 AS largest, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS at FROM embeddings")
+@query(f"""SELECT e.vec_id AS snip_id, round(sqrt(sum(e.x * e.x)), 5) + 0.0 AS norm, round(max(abs(e.x)), 5) + 0.0 AS largest,
+    CAST(list_position(any_value(v.embedding), list_max(any_value(v.embedding))) - 1 AS BIGINT) AS place FROM {_ELEMENTS} e JOIN embeddings v ON e.vec_id = v.vec_id GROUP BY e.vec_id""")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("features")
-    return vectors(spark, sf_dir).select("snip_id", r(C.norm(x), 5).alias("norm"), r(C.norm_inf(x), 5).alias("largest"), C.argmax(x).alias("at"))
+    return vectors(spark, sf_dir).select("snip_id", r(C.norm(x), 5).alias("norm"), r(C.norm_inf(x), 5).alias("largest"), C.argmax(x).alias("place"))
 
 
 @query("SELECT round(sum(t * value) / sum(value), 4) + 0.0 AS centroid FROM (SELECT event_id + 1 AS t, value FROM events)")

@@ -55,7 +55,7 @@ def whiten_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = aggregates.rescaled(aggregates.centered(numbered, CHANNELS), CHANNELS)
     scaled = flat.withColumns({c: F.col(c) * k for c, k in zip(CHANNELS, (2000.0, 1.0, 10_000_000.0, 10_000_000.0), strict=True)})
     trace = scaled.select("rec_id", "t", F.posexplode(F.array(*CHANNELS)).alias("channel", "v"))
-    white = signal.whiten(trace, 2.5, 3, 4, reg=1e-3)
+    white = signal.whiten(trace, 4.5, 5, 4, reg=1e-3)
     return white.select("rec_id", "channel", "t", F.round("v", 4).alias("v"))
 
 

@@ -17,8 +17,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 def event_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1) -> DataFrame:
     """``events`` files as a stream, with ts as a timestamp."""
-    schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    there = spark.read.parquet(path)
+    stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", files_per_trigger)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if all(f.endswith(f"/{name}") for f in there.inputFiles()):  # a single file: streams read folders
+        raw = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        raw = stream.parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -83,7 +88,7 @@ class GreedyMatcher(StatefulProcessor):
             self.waiting.put(left)
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(max(t for _, _, t in left) // 1000 + (abs(self.low) + abs(self.high)) // 1000 + 2)
+            self.handle.registerTimer(max(watermark_ms, min(t + self.high if side == 0 else t - self.low for side, _, t in left) // 1000) + 2)
         if found:
             yield pd.DataFrame({"cell_id": [key[0]] * len(found), "est_id": [i for i, _ in found], "true_id": [j for _, j in found]})
 
