@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     upper = blocks.select("grp", F.col("blk").alias("two"), F.col("low").alias("low_two"))
     pairs = blocks.select("grp", F.col("blk").alias("one"), "high").join(upper, "grp").where(f"one = two or (one < two and 100 * high >= {PERCENT} * low_two)").select("grp", "one", "two")
     sides = pairs.select("grp", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("blk"))
-    sets = texts.join(placed.select("doc_id", "h1", "h2", "grp", "blk"), "doc_id").mapInArrow(_sets, "doc_id long, grp long, blk int, shingles binary")
+    # Candidates grow with the corpus, so they are never broadcast, however few they are here.
+    sets = texts.join(placed.select("doc_id", "h1", "h2", "grp", "blk").hint("merge"), "doc_id").mapInArrow(_sets, "doc_id long, grp long, blk int, shingles binary")
     dealt = sets.join(sides, ["grp", "blk"]).repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two", "doc_id")
     links = dealt.select("grp", "one", "two", "doc_id", "blk", "shingles").mapInArrow(_links, "src long, dst long")
     equal_ids = worded.join(reps, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).join(_repeated(worded), F.col("src") == F.col("again"), "left_semi")
