@@ -84,6 +84,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CONTROLS = r"([\[<])(\\*/?(?:INST|OUT|SYS|ROLE:[^\[\]\n]*)\]|\\*/?s>|\\*/?SYS>>|\\*\|[a-z_]+\|>)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_array_dedup": """
+        WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+        grams AS (SELECT doc_id, k, b[k:k + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS k FROM raw)),
+        least AS (SELECT s, min(doc_id) AS m FROM grams GROUP BY s),
+        hits AS (SELECT g.doc_id, g.k FROM grams g JOIN least l ON g.s = l.s WHERE g.doc_id > l.m),
+        fresh AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS f FROM hits),
+        numbered AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS run FROM fresh),
+        runs AS (SELECT doc_id, min(k) AS a, max(k) + 49 AS z FROM numbered GROUP BY doc_id, run),
+        gone AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+        marks AS (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, n + 1, n + 1 FROM raw),
+        pieces AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS p, a - 1 AS q FROM marks),
+        kept AS (SELECT r.doc_id, string_agg(CASE WHEN q >= p THEN hex(r.b[p:q]) ELSE '' END, '' ORDER BY p) AS h FROM pieces JOIN raw r ON r.doc_id = pieces.doc_id GROUP BY r.doc_id)
+        SELECT r.doc_id, r.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+        FROM raw r JOIN kept ON kept.doc_id = r.doc_id LEFT JOIN gone ON gone.doc_id = r.doc_id""",
+    "op10_minhash_near_dup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM places),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+        links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+        reach AS (SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT r.id, e.y FROM reach r JOIN edges e ON r.other = e.x),
+        least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN least ON id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
     "op7_chat_format": rf"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
