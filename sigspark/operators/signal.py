@@ -84,7 +84,7 @@ def whitening_filter(acf: Sequence[float]) -> np.ndarray:
 
 
 def whiten(trace: DataFrame, threshold: float, min_zone: int, lags: int, *, reg: float = 0.0, rec: str = "rec_id") -> DataFrame:
-    """Whiten each channel in time, then all channels together, by the noise of quiet zones: rec_id, channel, t, v.
+    """Whiten each channel in time, then all channels together, by the noise of all recordings' quiet zones: rec_id, channel, t, v.
 
     A zone is a run where the magnitude over channels stays below ``threshold``.  Lags by channel and the covariance of
     channels are all that comes to the driver.
@@ -100,7 +100,8 @@ def whiten(trace: DataFrame, threshold: float, min_zone: int, lags: int, *, reg:
         return near.where("t between start and end").withColumn("zone", F.col("start")).drop("_b", "start", "end")
 
     noise = in_zones(trace)
-    acf = aggregates.autocorrelation(aggregates.lag_products(noise, lags, keys=keys, zone="zone"), keys=keys)
+    sums = aggregates.lag_products(noise, lags, keys=keys, zone="zone").groupBy("channel", "lag").agg(F.sum("s").alias("s"))
+    acf = aggregates.autocorrelation(sums, keys=("channel",))
     by_channel: dict[object, list[tuple[int, float]]] = {}
     for r in acf.collect():
         by_channel.setdefault(r["channel"], []).append((r["lag"], r["acf"]))
