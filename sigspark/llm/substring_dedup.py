@@ -248,7 +248,7 @@ class _Rows:
         self.columns = [c[order] for c in columns]
         doc, tag = self.columns[:2]
         at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]) if len(doc) else np.empty(0, np.int64)
-        ends = np.r_[at[1:], len(doc)]
+        ends = np.r_[at[1:], len(doc)] if len(doc) else at
         self.index = {(int(d), int(t)): (int(a), int(b)) for d, t, a, b in zip(doc[at], tag[at], at, ends, strict=True)}
 
     def of(self, doc: int, tag: int) -> list[np.ndarray]:
@@ -385,16 +385,16 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id"
         texts = base.select(block.alias("dest"), F.lit(DOCUMENT).alias("kind"), "doc", "tag", "text", *columns)
         return messages.unionByName(texts, allowMissingColumns=True).repartition(n, "dest").sortWithinPartitions("dest", "kind")
 
-    parsed = base.select("doc", "tag", "text").mapInArrow(_parse(length, n, n), _MESSAGE)
-    settled = storage.materialize(dealt(parsed).mapInArrow(_sort_parse(n), _MESSAGE), "parse")
+    parsed = storage.map_batches(base.select("doc", "tag", "text"), _parse(length, n, n), _MESSAGE)
+    settled = storage.materialize(storage.map_batches(dealt(parsed), _sort_parse(n), _MESSAGE), "parse")
     wanted = settled.where(F.col("kind") == WANTED)
-    fetched = with_texts(wanted).mapInArrow(_fetch(length, n), _MESSAGE)
-    ends = storage.materialize(dealt(fetched).mapInArrow(_sort_dictionary(length, n), _MESSAGE), "dictionary")
+    fetched = storage.map_batches(with_texts(wanted), _fetch(length, n), _MESSAGE)
+    ends = storage.materialize(storage.map_batches(dealt(fetched), _sort_dictionary(length, n), _MESSAGE), "dictionary")
     covers = settled.where(F.col("kind") == COVERS).unionByName(ends)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [_ADDED])
     names = [*keep, *(x.split()[0] for x in _ADDED.split(", "))]
-    return with_texts(covers, *passed).mapInArrow(_cut(length, passed, names), schema)
+    return storage.map_batches(with_texts(covers, *passed), _cut(length, passed, names), schema)
 
 
 def as_text(kept: Column) -> Column:
