@@ -104,10 +104,10 @@ def test_near_dup_links_around_the_threshold(spark, monkeypatch):
 def test_near_dup_edge_cases(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a b c", "x"), (4, "A  b\tC", "y"), (5, " \n", "x"), (None, "a b c", "x"), (7, "a b c", "x"), (7, "a b c", "x"), (9, "é " * 5000, "z"), (8, "é " * 5001, "z")]
     df = spark.createDataFrame([(i, t, k, k, k, k) for i, t, k in rows], "doc_id long, text string, n_shingles string, kept string, component_id string, h1 string")
-    got = sorted((tuple(r) for r in near_dup.near_duplicates(df).collect()), key=str)
-    assert sorted(((1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (None, 1, None, False), (7, 1, 3, False), (7, 1, 3, False), (9, 1, 8, False), (8, 1, 8, True)), key=str)[1:] == [g for g in got if g[0] is not None] or len(got) == 10
-    by_id = {g[0]: g for g in got}
-    assert by_id[4][2] == 3 and by_id[8][2] == 8 and by_id[9][2] == 8 and by_id[5][1] == 0
+    got = [tuple(r) for r in near_dup.near_duplicates(df).collect()]
+    expected = [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (7, 1, 3, False), (7, 1, 3, False), (8, 1, 8, True), (9, 1, 8, False)]
+    assert sorted(g for g in got if g[0] is not None) == expected
+    assert [g for g in got if g[0] is None] == [(None, 1, None, True)]
     assert near_dup.near_duplicates(df.limit(0)).collect() == []
 
 
@@ -151,8 +151,6 @@ def test_substring_edge_cases(spark):
     # Rows of one id don't cut each other; a null id is the greatest.
     assert sorted(got, key=str) == sorted([(1, 0, 0, 0), (2, 0, 0, 0), (3, 80, 0, 0), (3, 80, 0, 0), (4, 84, 80, 1), (None, 80, 80, 1), (6, 5, 0, 0)], key=str)
     assert substring_dedup.cut_repeats(df.limit(0)).collect() == []
-    whole = {r["doc_id"]: substring_dedup.as_text for r in df.collect()}
-    assert set(whole) == {1, 2, 3, 4, 6, None}
 
 
 def test_a_cut_through_a_character_loses_it(spark):
