@@ -23,9 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The model is fitted on the labelled documents; a missing label is filled in by the prediction.
     """
     model = language_id.fit(docs)
-    named = language_id.predict(docs.select("*", F.col("text").alias("_text")), model, text_col="_text")
-    known = named.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return _like(known.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
+    named = language_id.predict(docs, model, pred_col="_found_lang", score_col="_found_share")
+    known = named.where(F.col("_found_lang") != language_id.UNKNOWN)
+    return _like(known.withColumn("lang", F.coalesce("lang", "_found_lang")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 bytes and more that a smaller document has (operator 4); a text that is cut away whole goes."""
-    cut = substring_dedup.cut_repeats(docs, keep=docs.columns)
-    text = F.when(F.col("n_removed") > 0, substring_dedup.as_text(F.col("kept"))).otherwise(F.col("text"))
-    left = cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", text)
+    cut = substring_dedup.cut_repeats(docs, keep=[c for c in docs.columns if c != "text"], as_text=True)
+    left = cut.where("n_removed = 0 or n_removed < n_bytes").withColumn("text", F.col("kept"))
     return _like(left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))), docs)
 
 

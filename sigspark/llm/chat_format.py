@@ -90,7 +90,7 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.bool_())], names=["conv_id", "turn", "formatted", "escaped"])
 
     named = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    return named.mapInArrow(run, "conv_id long, turn long, formatted string, escaped boolean")
+    return storage.map_batches(named, run, "conv_id long, turn long, formatted string, escaped boolean")
 
 
 class _Digest:
@@ -142,7 +142,7 @@ def audit_conversations(formatted: DataFrame) -> DataFrame:
             yield out()
 
     ordered = formatted.select("conv_id", "turn", "formatted").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long")
+    return storage.map_batches(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, escaped_turns long")
 
 
 def formatted_table(turns: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm import rolling
+from sigspark.llm import rolling, storage
 
 Q = 12
 BUDGET = 0.06
@@ -160,7 +160,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = docs.sparkSession.createDataFrame([], FOUND)
     for k, block in enumerate(item_blocks(benchmark)):
-        part = named.mapInArrow(_scan(Index(block)), FOUND)
+        part = storage.map_batches(named, _scan(Index(block)), FOUND)
         found = found.unionByName(part) if k else part
     return found
 
@@ -176,5 +176,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         return run
 
     for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(keep(Index(block)), docs.schema)
+        docs = storage.map_batches(docs, keep(Index(block)), docs.schema)
     return docs

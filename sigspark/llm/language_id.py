@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigspark.llm import storage
+
 UNKNOWN = "und"
 BUCKETS = 1 << 14
 SWITCH = 12.0
@@ -158,7 +160,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     counts = np.zeros((len(languages), BUCKETS + len(NAMES)), np.float64)
     index = {name: i for i, name in enumerate(languages)}
-    summed = sample.select("lang", "text").mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    summed = storage.map_batches(sample.select("lang", "text"), count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     for row in summed.toLocalIterator():
         counts[index[row["lang"]], row["slot"]] = row["n"]
     grams, words = counts[:, :BUCKETS], counts[:, BUCKETS:]
@@ -168,20 +170,20 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return Model(languages, np.ascontiguousarray((score - score.mean(axis=0)).T, np.float32), np.ascontiguousarray(written.T), switch)
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added in place of columns of those names.
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with the language and its share of the letters added, in place of columns of those names.
 
     A null text, or one without a letter, is ``und`` with score 0; repeated rows stay; an empty table gives no row.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
+    kept = [f for f in docs.schema.fields if f.name not in (pred_col, score_col)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{pred_col}` string", f"`{score_col}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(text.as_py()) for text in batch.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*(f.name for f in kept), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*(f.name for f in kept), pred_col, score_col])
 
-    return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, schema)
+    return storage.map_batches(docs.select(*(f"`{f.name}`" for f in kept)), run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -166,7 +166,7 @@ def texts_to_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 media.append(encode_ppm(np.frombuffer(payload, np.uint8).reshape(-1, PAYLOAD_WIDTH, 3)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return storage.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:
@@ -198,7 +198,7 @@ def media_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, names=[f.name for f in kept] + names)
 
-    return media.select(*(f.name for f in kept), media_col).mapInArrow(run, f"{schema}, {added}")
+    return storage.map_batches(media.select(*(f.name for f in kept), media_col), run, f"{schema}, {added}")
 
 
 def stored_media(docs: DataFrame, **columns: str) -> DataFrame:

@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gives no row; other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = storage.materialize(texts.mapInArrow(_signatures, _SIG), "signatures")
+    sigs = storage.materialize(storage.map_batches(texts, _signatures, _SIG), "signatures")
     worded = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = storage.materialize(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
     classes = worded.join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
@@ -194,9 +194,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = blocks.select("grp", F.col("blk").alias("one"), "high").join(upper, "grp").where(f"one = two or (one < two and 100 * high >= {PERCENT} * low_two)").select("grp", "one", "two")
     sides = pairs.select("grp", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("blk"))
     # Candidates grow with the corpus, so they are never broadcast, however few they are here.
-    sets = texts.join(placed.select("doc_id", "h1", "h2", "grp", "blk").hint("merge"), "doc_id").mapInArrow(_sets, "doc_id long, grp long, blk int, shingles binary")
+    sets = storage.map_batches(texts.join(placed.select("doc_id", "h1", "h2", "grp", "blk").hint("merge"), "doc_id"), _sets, "doc_id long, grp long, blk int, shingles binary")
     dealt = sets.join(sides, ["grp", "blk"]).repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two", "doc_id")
-    links = dealt.select("grp", "one", "two", "doc_id", "blk", "shingles").mapInArrow(_links, "src long, dst long")
+    links = storage.map_batches(dealt.select("grp", "one", "two", "doc_id", "blk", "shingles"), _links, "src long, dst long")
     equal_ids = worded.join(reps, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).join(_repeated(worded), F.col("src") == F.col("again"), "left_semi")
     joined = connected_components(links.unionByName(equal_ids), "links")
     with_rep = sigs.join(reps.select("h1", "h2", "rep"), ["h1", "h2"], "left")

@@ -145,7 +145,7 @@ def pack_sequences(docs: DataFrame, *, capacity: int = CAPACITY, slack: int | No
     """
     slack = capacity // 128 if slack is None else slack
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = storage.materialize(rows.mapInArrow(_leaf(capacity, slack, end_id, vocabulary), SCHEMA), "packed-0")
+    packed = storage.materialize(storage.map_batches(rows, _leaf(capacity, slack, end_id, vocabulary), SCHEMA), "packed-0")
     done = [packed.where("not open")]
     left = packed.where("open")
     bins = left.where("offset = 0").count()
@@ -153,7 +153,7 @@ def pack_sequences(docs: DataFrame, *, capacity: int = CAPACITY, slack: int | No
         if bins == 0:
             break
         tasks = -(-bins // ROUND_BINS)
-        merged = storage.materialize(left.repartition(tasks, "sequence_id").mapInArrow(_merge(round_no, capacity, slack), SCHEMA), f"packed-{round_no}")
+        merged = storage.materialize(storage.map_batches(left.repartition(tasks, "sequence_id"), _merge(round_no, capacity, slack), SCHEMA), f"packed-{round_no}")
         done.append(merged.where("not open"))
         left = merged.where("open")
         before, bins = bins, left.where("offset = 0").count()

@@ -8,10 +8,11 @@ speculative task leaves one whole file.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -69,6 +70,21 @@ def committed(uri: str) -> Iterator[pa.NativeFile]:
         raise
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``mapInArrow`` whose workers give memory back when a task ends: Spark reuses them, and what a stage needed at its
+    peak would otherwise stay with its workers while later stages run."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(task, schema)
+
+
 def input_bytes(df: DataFrame, column: str) -> int:
     """Bytes of a text column, by one scan; operators size their partitions by it."""
     return df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"]

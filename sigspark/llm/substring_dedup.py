@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -343,10 +342,10 @@ def cut_text(raw: bytes, at: np.ndarray, span: np.ndarray, length: int = LENGTH)
     return int(np.count_nonzero(gone)), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-_ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_ADDED = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept "
 
 
-def _cut(length: int, passed: list[str], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(length: int, passed: list[str], names: list[str], as_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, covers in _blocks(batches, COVERS):
             rows = []
@@ -354,19 +353,21 @@ def _cut(length: int, passed: list[str], names: list[str]) -> Callable[[Iterator
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
                 at, span = covers.of(doc, tag)[:2]
                 removed, spans, kept = cut_text(raw, at, span, length)
-                rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
+                left = kept if not as_text else kept.decode("utf-8", "ignore") if text.is_valid else None
+                rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), left))
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.string() if as_text else pa.binary()]
             added = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in passed), *added], names=names)
 
     return run
 
 
-def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """Remove from each text every byte covered by a ``length``-byte string that starts in a document of a smaller id too.
 
     Returns the columns of ``keep`` (default: the id), n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes
-    left, which need not be whole characters).  Matches lie inside one text.  A null text is empty; documents of equal
+    left, which need not be whole characters; with ``as_text`` a string without the rest of characters that a cut has split,
+    and null for a null text).  Matches lie inside one text.  A null text is empty; documents of equal
     ids don't cut each other; a null id counts as greater than any other; texts under ``length`` bytes stay; an empty
     table gives no row.  Columns of ``docs`` may have any names.
     """
@@ -392,16 +393,6 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id"
     ends = storage.materialize(storage.map_batches(dealt(fetched), _sort_dictionary(length, n), _MESSAGE), "dictionary")
     covers = settled.where(F.col("kind") == COVERS).unionByName(ends)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [_ADDED])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [_ADDED + ("string" if as_text else "binary")])
     names = [*keep, *(x.split()[0] for x in _ADDED.split(", "))]
-    return storage.map_batches(with_texts(covers, *passed), _cut(length, passed, names), schema)
-
-
-def as_text(kept: Column) -> Column:
-    """Kept bytes as text; the bytes of a character that a cut has split go too."""
-
-    @F.pandas_udf("string")
-    def decode(column: pd.Series) -> pd.Series:
-        return column.map(lambda raw: None if raw is None else bytes(raw).decode("utf-8", "ignore"))
-
-    return decode(kept)
+    return storage.map_batches(with_texts(covers, *passed), _cut(length, passed, names, as_text), schema)

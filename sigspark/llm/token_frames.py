@@ -142,7 +142,7 @@ def write_token_frames(docs: DataFrame, folder: str, *, id_col: str = "doc_id",
             n_docs, n_tokens = write_shard(out, encoded(), codec.itemsize)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    manifest = storage.materialize(ordered.mapInArrow(write, "shard int, path string, n_docs long, n_tokens long"), "token-manifest")
+    manifest = storage.materialize(storage.map_batches(ordered, write, "shard int, path string, n_docs long, n_tokens long"), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -169,4 +169,4 @@ def read_token_frames(manifest: DataFrame, wanted: set[int] | None = None) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "shard" else pa.int64()) for k, v in out.items()], names=list(out))
 
     spread = manifest.select("shard", "path", "start").repartition(max(1, manifest.count()), "shard")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return storage.map_batches(spread, read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")

@@ -79,7 +79,7 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return storage.materialize(named.mapInArrow(run, INDEX), "warc-index")
+    return storage.materialize(storage.map_batches(named, run, INDEX), "warc-index")
 
 
 def copy_with_faults(index: DataFrame, folder: str, flip: Column) -> DataFrame:
@@ -107,7 +107,7 @@ def copy_with_faults(index: DataFrame, folder: str, flip: Column) -> DataFrame:
 
     # The changed bit is in the middle of the record; the marks of a shard are bounded by its records.
     marks = index.groupBy("shard", "path").agg(F.collect_list(F.when(flip, F.col("offset") + (F.col("length") / 2).cast("long"))).alias("marks"))
-    return storage.materialize(marks.mapInArrow(run, "shard int, path string"), "warc-replica")
+    return storage.materialize(storage.map_batches(marks, run, "shard int, path string"), "warc-replica")
 
 
 def hash_records(index: DataFrame, replica: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def hash_records(index: DataFrame, replica: DataFrame) -> DataFrame:
     rows = index.select("shard", "seq", "offset", "length").join(replica.select("shard", "path"), "shard", "left")
     # Runs of a shard's records stay together, whatever a shard's size.
     spread = rows.repartition("shard", F.floor(F.col("seq") / 4096)).sortWithinPartitions("shard", "seq")
-    return spread.mapInArrow(run, "shard int, seq long, offset long, length long, hash string")
+    return storage.map_batches(spread, run, "shard int, seq long, offset long, length long, hash string")
 
 
 class Level(NamedTuple):
