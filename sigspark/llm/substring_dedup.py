@@ -10,7 +10,8 @@ The corpus order of suffixes, up to ``length`` bytes, then comes from two sorts,
   repeated as a whole.  This settles all but the ends of repeated passages, in one row for each phrase, and a task
   keeps the repeats that it sees itself, so a passage in a third of all documents sends one row from each task.
 * The dictionary: where a trigger has different phrases, each distinct phrase is fetched once, from its smallest
-  document, and the suffixes of these phrases are sorted; equal prefixes of ``length`` bytes are one string.
+  document, and the suffixes of these phrases are sorted; equal prefixes of ``length`` bytes are one string.  What is
+  found in a phrase holds at every place where its smallest document has it.
 
 Removed bytes go back to their documents in blocks, and each text is cut once.
 """
@@ -34,7 +35,7 @@ CHUNK = 1 << 18
 FLUSH = 8 << 20
 PART_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1  # a null id counts as the greatest
-PHRASES, COVERS, WANTED, DOCUMENT = 0, 1, 2, 9
+PHRASES, COVERS, WANTED, PLACES, DOCUMENT = 0, 1, 2, 3, 9
 _MESSAGE = "dest int, kind int, payload binary"
 _SPREAD = np.uint64(0x9FB21C651E98DF25)
 _COLUMNS = (("trigger", np.uint64), ("phrase", np.uint64), ("doc", np.int64), ("tag", np.int64), ("at", np.int64), ("span", np.uint8))
@@ -133,6 +134,10 @@ def _block(doc: np.ndarray, tag: np.ndarray, blocks: int) -> np.ndarray:
     return ((doc ^ tag) % blocks).astype(np.int32)
 
 
+def _dictionary_bucket(trigger: np.ndarray, buckets: int) -> np.ndarray:
+    return (trigger >> np.uint64(32)).astype(np.int64) % buckets
+
+
 def _parse(length: int, buckets: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents to messages: first phrases to their bucket; repeats seen here, as covers, to their block."""
 
@@ -197,8 +202,9 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield now, held
 
 
-def _sort_parse(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A bucket's phrases to covers, and to requests for the distinct phrases of triggers that have several."""
+def _sort_parse(buckets: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A bucket's phrases to covers, to requests for the distinct phrases of triggers that have several, and to the other
+    places of a requested phrase in its smallest document."""
 
     def settle(messages: list[bytes]) -> list[tuple[int, int, bytes]]:
         columns = [np.concatenate(c) for c in zip(*(_unpack(m) for m in messages), strict=True)]
@@ -224,7 +230,11 @@ def _sort_parse(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         low, high = np.full(group[-1] + 1, NO_ID), np.full(group[-1] + 1, -NO_ID)
         np.minimum.at(low, group, doc[lead])
         np.maximum.at(high, group, doc[lead])
-        lead = lead[(low < high)[group]]
+        asked = (low < high)[group]
+        other = np.flatnonzero(asked[which] & ~covered & ~new_phrase)
+        first = lead[which[other]]
+        out += _by_dest(_dictionary_bucket(trigger[other], buckets), PLACES, [doc[other], tag[first], at[first], tag[other], at[other]])
+        lead = lead[asked]
         return out + _by_dest(_block(doc[lead], tag[lead], blocks), WANTED, [doc[lead], tag[lead], at[lead], span[lead].astype(np.int64), trigger[lead]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +297,7 @@ def _fetch(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     found.append((np.full(len(at), doc), np.full(len(at), tag), at, span, trigger, np.array(parts, object)))
             if found:
                 columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-                bucket = (columns[4] >> np.uint64(32)).astype(np.int64) % buckets
+                bucket = _dictionary_bucket(columns[4], buckets)
 
                 def pack(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, span: np.ndarray, _: np.ndarray, parts: np.ndarray) -> bytes:
                     return _pack(doc, tag, at, span, np.frombuffer(b"".join(parts.tolist()), np.uint8))
@@ -297,10 +307,28 @@ def _fetch(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def _matches(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the equi-join of two tables on all of their columns."""
+    both = [np.concatenate(c) for c in zip(left, right, strict=True)]
+    order = np.lexsort(both)
+    new = np.zeros(len(order), bool)
+    for c in both:
+        new[1:] |= np.diff(c[order]) != 0
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new)
+    one, two = code[: len(left[0])], code[len(left[0]) :]
+    order = np.argsort(two, kind="stable")
+    low, high = (np.searchsorted(two[order], one, side) for side in ("left", "right"))
+    n = high - low
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+    return np.repeat(np.arange(len(one)), n), order[at]
+
+
 def _sort_dictionary(length: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sort the suffixes of a bucket's phrases by their first ``length`` bytes; starts that a smaller document has are covers."""
+    """Sort the suffixes of a bucket's phrases by their first ``length`` bytes; starts that a smaller document has are covers,
+    at each place of the phrase."""
 
-    def settle(messages: list[bytes]) -> list[tuple[int, int, bytes]]:
+    def settle(messages: list[bytes], places: list[bytes]) -> list[tuple[int, int, bytes]]:
         doc, tag, at, span, data = (np.concatenate(c) for c in zip(*(_unpack(m) for m in messages), strict=True))
         size = span + 1
         base = np.cumsum(size + length - 1) - (size + length - 1)
@@ -320,11 +348,18 @@ def _sort_dictionary(length: int, blocks: int) -> Callable[[Iterator[pa.RecordBa
         closes = np.r_[opens[1:], True]
         first, last = where[opens], where[closes]
         k = of[first]
-        return _by_dest(_block(doc[k], tag[k], blocks), COVERS, [doc[k], tag[k], at[k] + offset[first], last - first])
+        found = [doc[k], tag[k], at[k] + offset[first], last - first]
+        if places:
+            of_doc, lead_tag, lead_at, also_tag, also_at = (np.concatenate(c) for c in zip(*(_unpack(m) for m in places), strict=True))
+            hit, place = _matches([doc[k], tag[k], at[k]], [of_doc, lead_tag, lead_at])
+            more = [of_doc[place], also_tag[place], also_at[place] + offset[first][hit], (last - first)[hit]]
+            found = [np.concatenate(c) for c in zip(found, more, strict=True)]
+        return _by_dest(_block(found[0], found[1], blocks), COVERS, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, messages in _gathered(batches):
-            if rows := settle([m for _, m in messages]):
+            texts, places = ([m for kind, m in messages if kind == k] for k in (WANTED, PLACES))
+            if texts and (rows := settle(texts, places)):
                 yield _messages(rows)
 
     return run
@@ -387,10 +422,11 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id"
         return messages.unionByName(texts, allowMissingColumns=True).repartition(n, "dest").sortWithinPartitions("dest", "kind")
 
     parsed = storage.map_batches(base.select("doc", "tag", "text"), _parse(length, n, n), _MESSAGE)
-    settled = storage.materialize(storage.map_batches(dealt(parsed), _sort_parse(n), _MESSAGE), "parse")
+    settled = storage.materialize(storage.map_batches(dealt(parsed), _sort_parse(n, n), _MESSAGE), "parse")
     wanted = settled.where(F.col("kind") == WANTED)
     fetched = storage.map_batches(with_texts(wanted), _fetch(length, n), _MESSAGE)
-    ends = storage.materialize(storage.map_batches(dealt(fetched), _sort_dictionary(length, n), _MESSAGE), "dictionary")
+    places = settled.where(F.col("kind") == PLACES)
+    ends = storage.materialize(storage.map_batches(dealt(fetched.unionByName(places)), _sort_dictionary(length, n), _MESSAGE), "dictionary")
     covers = settled.where(F.col("kind") == COVERS).unionByName(ends)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [_ADDED + ("string" if as_text else "binary")])

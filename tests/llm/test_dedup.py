@@ -143,6 +143,22 @@ def test_substring_dedup_on_repetitive_text(spark, seed):
     assert got == brute_cut(docs)
 
 
+def test_a_passage_repeated_in_its_document_is_cut_everywhere(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = []
+    for i in range(0, 60, 3):
+        x, foo, bar = word(rng.randrange(50, 140)), word(60), word(60)
+        docs += [(i, x), (i + 1, f"{foo} {x} {bar} {foo} {x} {bar}"), (i + 1, f"{word(30)} {foo} {x} {bar}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.cut_repeats(df).collect())
+    expected = []
+    for i, t in docs:  # rows of an id don't cut each other, so each is held against the rows of other ids
+        n, removed, _, sha = brute_cut([d for d in docs if d[0] != i] + [(i, t)])[i]
+        expected.append((i, n, removed, sha))
+    assert got == sorted(expected)
+
+
 def test_substring_edge_cases(spark):
     passage = "".join(chr(97 + (i * i) % 26) for i in range(80))
     rows = [(1, None), (2, ""), (3, passage), (3, passage), (4, passage + " end"), (None, passage), (6, "short")]
