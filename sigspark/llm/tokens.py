@@ -1,7 +1,8 @@
 """Token ids of a byte-level BPE vocabulary, with a memo of the pieces that its pattern splits a text into.
 
 A byte-level BPE merges only inside the pieces of its split pattern, so a text's ids are the ids of its
-pieces in order.  The tokenizers library encodes each distinct piece once; texts repeat their words.
+pieces in order.  The tokenizers library encodes each distinct piece once; texts repeat their words.  A text that
+holds one of the vocabulary's added tokens, which the library takes out before it splits, is left to the library whole.
 """
 
 from __future__ import annotations
@@ -47,13 +48,13 @@ class PieceEncoder(dict):
     def __init__(self, vocabulary: str = VOCABULARY, itemsize: int = 2):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << (8 * itemsize):
             raise ValueError(f"ids of {vocabulary} need more than {itemsize} bytes")
         self.itemsize = itemsize
         self.dtype = np.dtype(f"<u{itemsize}")
         self.merge = self.tokenizer.model.tokenize
         self.alphabet = _byte_alphabet()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
         spelled = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
@@ -68,6 +69,8 @@ class PieceEncoder(dict):
             return b""
         if len(self) > MEMO_PIECES:
             self.clear()
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         return b"".join([self[p] for p in split(text)])
 
 

@@ -44,6 +44,13 @@ def test_ids_of_random_text_are_those_of_the_library():
         assert np.frombuffer(tokens.encoder().encode(text), "<u2").tolist() == library_ids(text)[:-1]
 
 
+@pytest.mark.parametrize("text", ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext|", "é\n <|endoftext|>\n x"])
+def test_added_tokens_are_those_of_the_library(text):
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = np.frombuffer(tokens.encoder().encode(text), "<u2").tolist()
+    assert got == plain.encode(text, add_special_tokens=False).ids and 50256 in got
+
+
 def test_token_query_is_the_library(spark, sf_dir, encoded):
     at, expected = 0, {}
     for i in sorted(encoded):
