@@ -3,6 +3,7 @@
 A document has two small collections of ``TABLES`` minhash bands.  Each pair of a band of the one and a band of
 the other is the key of a table, so 2 x 8 x 2 = 32 minhashes make 64 tables of four minhashes each.  At the least
 similarity to link, 0.85, a pair shares a band of a collection with a chance of 1 - (1 - 0.85^2)^8 = 0.99997.
+A caller with a lesser threshold passes ``percent``, and more ``tables`` to keep that chance: 10 give it at 0.8.
 
 1. Documents of equal sets are one class; only its least document goes on.
 2. One shuffle by the bands of the first collection; a band that no other document has ends there, and the pairs
@@ -18,7 +19,7 @@ similarity to link, 0.85, a pair shares a band of a collection with a chance of
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,16 @@ TABLES = 8
 BAND = 2
 BLOCK_COST = 2_500_000  # shingles of a block, each document counting DOC_COST more
 DOC_COST = 500
-_MULTIPLIERS = np.random.default_rng(0xD0C5).integers(0, 1 << 63, 2 * TABLES * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+MAX_TABLES = 32
+_MULTIPLIERS = np.random.default_rng(0xD0C5).integers(0, 1 << 63, 2 * MAX_TABLES * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 _SIG = "doc_id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>"
 
 
-def signature(shingles: np.ndarray) -> tuple[list[int], list[int]]:
+def signature(shingles: np.ndarray, tables: int = TABLES) -> tuple[list[int], list[int]]:
     """The bands of the first and second collection."""
-    least = np.array([rolling.mix(shingles * m).min() for m in _MULTIPLIERS], np.uint64).reshape(2 * TABLES, BAND)
+    least = np.array([rolling.mix(shingles * m).min() for m in _MULTIPLIERS[: 2 * tables * BAND]], np.uint64).reshape(2 * tables, BAND)
     band = rolling.mix(least[:, 0] + rolling.mix(least[:, 1])).astype(np.int64).tolist()
-    return band[:TABLES], band[TABLES:]
+    return band[:tables], band[tables:]
 
 
 def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -50,15 +52,18 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text in batch.column("text"):
-            s = rolling.shingles(text.as_py(), WIDTH)
-            rows.append((len(s), *_fingerprint(s), *signature(s)) if len(s) else (0, 0, 0, None, None))
-        n, h1, h2, a, b = zip(*rows, strict=True)
-        longs, lists = pa.int64(), pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, longs), pa.array(h1, longs), pa.array(h2, longs), pa.array(a, lists), pa.array(b, lists)], names=["doc_id", "n_shingles", "h1", "h2", "a", "b"])
+def _signatures(tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text"):
+                s = rolling.shingles(text.as_py(), WIDTH)
+                rows.append((len(s), *_fingerprint(s), *signature(s, tables)) if len(s) else (0, 0, 0, None, None))
+            n, h1, h2, a, b = zip(*rows, strict=True)
+            longs, lists = pa.int64(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, longs), pa.array(h1, longs), pa.array(h2, longs), pa.array(a, lists), pa.array(b, lists)], names=["doc_id", "n_shingles", "h1", "h2", "a", "b"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,15 +79,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], names=["doc_id", "grp", "blk", "shingles"])
 
 
-def similar(shared: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | bool:
-    """Whether 100 * intersection is at least PERCENT * union."""
-    return 100 * shared >= PERCENT * (n + m - shared)
+def similar(shared: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | bool:
+    """Whether 100 * intersection is at least ``percent`` * union."""
+    return 100 * shared >= percent * (n + m - shared)
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links between documents of ``left`` and of ``right`` (masks; both all for one block).
 
-    Exact: two sets that link share a shingle among the rarest n - ceil(0.85 n) + 1 of each (the prefix rule), so
+    Exact: two sets that link share a shingle among the rarest n - ceil(n * percent / 100) + 1 of each (the prefix rule), so
     candidates come from those alone; each is counted in full unless the two are already connected.
     """
     order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
@@ -109,13 +114,13 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, rig
     for i in range(len(order)):
         own = np.sort(token[at[i] : at[i + 1]])
         n = int(size[i])
-        rare = own[: n - (PERCENT * n + 99) // 100 + 1].tolist()
+        rare = own[: n - (percent * n + 99) // 100 + 1].tolist()
         near: set[int] = set()
         for t in rare:
             near.update(postings.get(t, ()))
         if near:
             j = np.fromiter(near, np.int64, len(near))
-            j = j[(100 * size[j] >= PERCENT * n) & ((left[j] & right[i]) | (right[j] & left[i]))]
+            j = j[(100 * size[j] >= percent * n) & ((left[j] & right[i]) | (right[j] & left[i]))]
             seen[own] = True
             while len(j):
                 part, j = j[:512], j[512:]
@@ -124,7 +129,7 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, rig
                     continue
                 where = np.concatenate([token[at[k] : at[k + 1]] for k in part])
                 shared = np.add.reduceat(seen[where].astype(np.int64), np.r_[0, np.cumsum(size[part])[:-1]])
-                for k in part[similar(shared, n, size[part])].tolist():
+                for k in part[similar(shared, n, size[part], percent)].tolist():
                     a, b = root(k), root(i)
                     if a != b:
                         parent[max(a, b)] = min(a, b)
@@ -136,28 +141,31 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, rig
     return links
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key = None
-    rows: list[tuple[int, int, np.ndarray]] = []
+def _links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        rows: list[tuple[int, int, np.ndarray]] = []
 
-    def done() -> Iterator[pa.RecordBatch]:
-        blk = np.array([r[1] for r in rows])
-        left, right = blk == key[1], blk == key[2]
-        found = spanning_links([r[0] for r in rows], [r[2] for r in rows], left, right)
-        if found:
-            src, dst = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        def done() -> Iterator[pa.RecordBatch]:
+            blk = np.array([r[1] for r in rows])
+            left, right = blk == key[1], blk == key[2]
+            found = spanning_links([r[0] for r in rows], [r[2] for r in rows], left, right, percent)
+            if found:
+                src, dst = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("grp", "one", "two", "doc_id", "blk")]
-        for grp, one, two, doc_id, blk, raw in zip(*columns, batch.column("shingles"), strict=True):
-            if (grp, one, two) != key:
-                if len(rows) > 1:
-                    yield from done()
-                key, rows = (grp, one, two), []
-            rows.append((doc_id, blk, np.frombuffer(raw.as_py(), np.uint64)))
-    if len(rows) > 1:
-        yield from done()
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("grp", "one", "two", "doc_id", "blk")]
+            for grp, one, two, doc_id, blk, raw in zip(*columns, batch.column("shingles"), strict=True):
+                if (grp, one, two) != key:
+                    if len(rows) > 1:
+                        yield from done()
+                    key, rows = (grp, one, two), []
+                rows.append((doc_id, blk, np.frombuffer(raw.as_py(), np.uint64)))
+        if len(rows) > 1:
+            yield from done()
+
+    return run
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -171,15 +179,15 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return connected_components(edges.select(F.col("doc_id").alias("src"), F.col("before").alias("dst")).distinct(), "candidates")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tables: int = TABLES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     A null or empty text, or one without words, has an empty set and links with nothing.  Equal sets link.  A repeated
     id is one document whose rows' links are joined; a null id stays alone (component null, kept).  An empty table
-    gives no row; other columns are not read.
+    gives no row; other columns are not read.  Sets link at a similarity of ``percent`` hundredths or more.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sigs = storage.materialize(storage.map_batches(texts, _signatures, _SIG), "signatures")
+    sigs = storage.materialize(storage.map_batches(texts, _signatures(tables), _SIG), "signatures")
     worded = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = storage.materialize(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
     classes = worded.join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
@@ -191,12 +199,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = storage.materialize(placed, "candidate-blocks")
     blocks = placed.groupBy("grp", "blk").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     upper = blocks.select("grp", F.col("blk").alias("two"), F.col("low").alias("low_two"))
-    pairs = blocks.select("grp", F.col("blk").alias("one"), "high").join(upper, "grp").where(f"one = two or (one < two and 100 * high >= {PERCENT} * low_two)").select("grp", "one", "two")
+    pairs = blocks.select("grp", F.col("blk").alias("one"), "high").join(upper, "grp").where(f"one = two or (one < two and 100 * high >= {percent} * low_two)").select("grp", "one", "two")
     sides = pairs.select("grp", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("blk"))
     # Candidates grow with the corpus, so they are never broadcast, however few they are here.
     sets = storage.map_batches(texts.join(placed.select("doc_id", "h1", "h2", "grp", "blk").hint("merge"), "doc_id"), _sets, "doc_id long, grp long, blk int, shingles binary")
     dealt = sets.join(sides, ["grp", "blk"]).repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two", "doc_id")
-    links = storage.map_batches(dealt.select("grp", "one", "two", "doc_id", "blk", "shingles"), _links, "src long, dst long")
+    links = storage.map_batches(dealt.select("grp", "one", "two", "doc_id", "blk", "shingles"), _links(percent), "src long, dst long")
     equal_ids = worded.join(reps, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).join(_repeated(worded), F.col("src") == F.col("again"), "left_semi")
     joined = connected_components(links.unionByName(equal_ids), "links")
     with_rep = sigs.join(reps.select("h1", "h2", "rep"), ["h1", "h2"], "left")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from sigspark.llm import chat_format, decontaminate, language_id, media, queries, storage, url_filter, warc_fixity
+from sigspark.llm import chat_format, decontaminate, language_id, media, near_dup, queries, storage, url_filter, warc_fixity
 
 # Language identification
 
@@ -205,6 +205,17 @@ def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == set(kept[3])
 
 
+def test_pipeline_drops_near_copies_of_similarity_80(spark):
+    words = [f"w{i}" for i in range(104)]
+    near, far = words.copy(), words.copy()  # 100 shingles, of which 10 or 15 differ: similarity 90/110 and 85/115
+    near[20] = near[60] = "x"
+    far[20] = far[50] = far[80] = "y"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3}
+    assert all(r["kept"] for r in near_dup.near_duplicates(docs).collect())
+
+
 def test_nothing_else_imports_this_subpackage():
     import pathlib
 
