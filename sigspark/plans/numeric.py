@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -126,30 +127,35 @@ def session_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT cell_id, round(chi2_cdf(avg(amp), 40D), 4) AS p, round(erfc(min(amp)), 4) AS e FROM trains GROUP BY cell_id")
 
 
+def _whole_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The events as a stream that ends two days behind the last one, and its folder."""
+    folder, path = _folder(spark), f"{sf_dir}/events.parquet"
+    return twins.ended(twins.event_stream(spark, path), spark.read.parquet(path), folder, timedelta(days=2)), folder
+
+
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) AS start, count(*) AS n, round(sqrt(sum(value * value)), 3) + 0.0 AS norm FROM events GROUP BY 1, 2")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = twins.event_stream(spark, f"{sf_dir}/events.parquet")
-    out = twins.drain(twins.window_counts(stream, "6 hours", late="40 days"), _folder(spark), "counts", output="append")
-    # Windows that the watermark hasn't passed are counted by the batch twin of the same plan.
-    whole = twins.window_counts(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "6 hours")
-    rest = whole.join(out.select("event_type", "start"), ["event_type", "start"], "left_anti")
-    return out.unionByName(rest).withColumn("norm", F.round("norm", 3) + 0.0)
+    stream, folder = _whole_stream(spark, sf_dir)
+    out = twins.drain(twins.window_counts(stream, "6 hours"), folder, "counts", output="append")
+    return out.withColumn("norm", F.round("norm", 3) + 0.0)
 
 
 @query()
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = twins.event_stream(spark, f"{sf_dir}/events.parquet")
-    return twins.drain(twins.sessions(stream, "6 hours", late="1 hour"), _folder(spark), "sessions")
+    stream, folder = _whole_stream(spark, sf_dir)
+    return twins.drain(twins.sessions(stream, "6 hours", late="1 hour"), folder, "sessions")
 
 
 @query()
 def stream_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches that the watermark has settled, of the trains that ``greedy_match`` has whole."""
-    e = twins.event_stream(spark, f"{sf_dir}/events.parquet")
+    """The matches of ``greedy_match``, as the watermark settles them."""
+    path, folder = f"{sf_dir}/events.parquet", _folder(spark)
+    e = twins.event_stream(spark, path)
     sides = F.array_compact(F.array(F.when(F.col("value") > 40, 0), F.when(F.col("user_id") % 2 == 0, 1)))
     both = e.select(F.col("event_type").alias("cell_id"), F.explode(sides).alias("side"), F.col("event_id").alias("id"), "ts")
+    both = twins.ended(both, spark.read.parquet(path), folder, timedelta(days=2), cell_id="", side=0, id=-1)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return twins.drain(twins.greedy_match_stream(both, -SLACK, SLACK), _folder(spark), "matches")
+    return twins.drain(twins.greedy_match_stream(both, -SLACK, SLACK), folder, "matches")
 
 
 __all__ = ["QUERIES"]

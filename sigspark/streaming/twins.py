@@ -1,12 +1,14 @@
 """Structured Streaming forms of counts, norms, sessions, greedy matching and correlograms.
 
 Each takes a streaming (or batch) DataFrame with an event time and gives the rows of its batch twin, once the watermark
-has passed them.  Late rows beyond the watermark are dropped by it.
+has passed them.  Late rows beyond the watermark are dropped by it.  A stream that is drained takes all files in one
+trigger, so no order of files makes a row late, and ``ended`` lets the watermark pass all rows at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 from typing import Any
 
 import pandas as pd
@@ -15,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def event_stream(spark: SparkSession, path: str, *, files_per_trigger: int = 1) -> DataFrame:
-    """``events`` files as a stream, with ts as a timestamp."""
+def event_stream(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
+    """``events`` files as a stream, with ts as a timestamp; without ``files_per_trigger`` all files are one trigger's."""
     there = spark.read.parquet(path)
-    stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", files_per_trigger)
+    stream = spark.readStream.schema(there.schema)
+    if files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
     folder, _, name = path.rstrip("/").rpartition("/")
     if all(f.endswith(f"/{name}") for f in there.inputFiles()):  # a single file: streams read folders
         raw = stream.option("pathGlobFilter", name).parquet(folder)
@@ -114,6 +118,18 @@ def greedy_match_stream(both: DataFrame, low_us: int, high_us: int, *, late: str
     )
 
 
+def ended(stream: DataFrame, events: DataFrame, folder: str, after: timedelta, **values: Any) -> DataFrame:
+    """``stream`` with a last row of ``values``, ``after`` behind the greatest ts of ``events`` (the same rows as a batch).
+
+    ``after`` is more than the lateness and the reach of the operator that follows, so the watermark settles every other
+    row; what the last row opens stays in state and gives no row.
+    """
+    end = events.agg((F.max(F.col("ts").cast("timestamp")) + F.lit(after)).alias("ts")).where("ts is not null")
+    last = end.select(*(F.col("ts") if f.name == "ts" else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema))
+    last.write.parquet(f"{folder}/end")
+    return stream.unionByName(stream.sparkSession.readStream.schema(stream.schema).parquet(f"{folder}/end"))
+
+
 def drain(stream: DataFrame, folder: str, name: str, *, output: str = "append") -> DataFrame:
     """Run a stream over all that is there, into Parquet under a shared folder, and read the result."""
     path = f"{folder}/{name}"

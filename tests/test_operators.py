@@ -129,6 +129,21 @@ def test_stream_twins_give_the_batch_rows(spark, sf_dir):
     assert twins.event_stream(spark, f"{sf_dir}/events.parquet").isStreaming
 
 
+def test_streams_have_all_rows_in_any_order_of_files(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = events.agg(F.percentile_approx(micros, 0.5)).first()[0]
+    for part in (micros >= middle, micros < middle):  # the later half is the first file
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert len(spark.read.parquet(f"{tmp_path}/events.parquet").inputFiles()) == 2
+    for batch, stream in (("session_activity", "stream_sessions"), ("greedy_match", "stream_greedy_match")):
+        expected = numeric.QUERIES[batch](spark, sf_dir)
+        got = numeric.QUERIES[stream](spark, str(tmp_path)).select(*expected.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    counts = [sorted(map(tuple, numeric.stream_window_counts(spark, str(d)).select("event_type", "start", "n").collect())) for d in (sf_dir, tmp_path)]
+    assert counts[0] == counts[1] and sum(r[2] for r in counts[0]) == events.count()
+
+
 def test_sql_functions(spark):
     registry.register(spark)
     got = spark.sql("SELECT chi2_cdf(3.841458820694124D, 1D) AS p, erfc(0D) AS e").first()
