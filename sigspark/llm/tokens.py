@@ -1,77 +1,124 @@
-"""Token ids of a byte-level BPE vocabulary, with a memo of the pieces that its pattern splits a text into.
+"""Token ids of a byte-level BPE vocabulary, encoded by the tokenizers library, with a memo of words.
 
-A byte-level BPE merges only inside the pieces of its split pattern, so a text's ids are the ids of its
-pieces in order.  The tokenizers library encodes each distinct piece once; texts repeat their words.  A text that
-holds one of the vocabulary's added tokens, which the library takes out before it splits, is left to the library whole.
+The library's byte-level pre-tokenizer always cuts where white space follows another character, and where a letter is
+followed by an ASCII character that is none; what it does behind a cut doesn't depend on what stands before.  So a text's
+ids are the ids of its runs between such cuts in order.  Every id comes from the library: it encodes each distinct run
+once, many in one call; texts repeat their words.  Two kinds of text go to the library whole: those that hold one of the
+vocabulary's added tokens, which it takes out before it cuts, and all texts of a vocabulary with another pre-tokenizer.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 import numpy as np
 import public_tokenizers
-import regex
 from tokenizers import Tokenizer
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-MEMO_PIECES = 400_000
-MEMO_PIECE_CHARS = 64
+MEMO_RUNS = 600_000
+MEMO_RUN_CHARS = 64
 
-# Where a text holds only these characters, ``re`` and the pattern's classes agree: \p{L} is [^\W\d_] there.
-_COMMON_ONLY = re.compile(r"[\t-\r -~¡¿À-ÖØ-öø-ÿ]*").fullmatch
-_COMMON_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-_ANY_SPLIT = regex.compile(public_tokenizers.PATTERN).findall
-
-
-def split(text: str) -> list[str]:
-    """The pieces of a text by the vocabulary's public pattern; joined they are the text."""
-    return _COMMON_SPLIT(text) if _COMMON_ONLY(text) else _ANY_SPLIT(text)
-
-
-def _byte_alphabet() -> dict[int, str]:
-    """The printable stand-in of each byte that byte-level vocabularies use: printable Latin-1 stays, the rest follows 255."""
-    kept = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
-    rest = (b for b in range(256) if b not in kept)
-    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+# A space begins a run, unless it stands inside or at the end of more white space; then only one behind another character does.
+_ODD = re.compile(r"\s (?:\s|\Z)").search
+_CUT = re.compile(r"(?<=\S)(?= )").split
+# Inside a run: also before other ASCII white space, behind a lone line end, and between a letter and what is none.
+_PARTS = re.compile(r"(?<=\S)(?=[\t-\r])|(?<=\S\n)(?=\S)|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-@\[-`{-~])").split
+_WORD = re.compile(r" ?\S+").fullmatch
 
 
 class PieceEncoder(dict):
     """Encodes texts to ids as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
-    It is a memo from pieces to ids, of ``itemsize`` bytes each, emptied at ``MEMO_PIECES`` pieces; it keeps no piece of
-    over ``MEMO_PIECE_CHARS`` characters, so memory stays bounded on any text.
+    It is a memo from runs, without the space that they begin with, to ids, of ``itemsize`` bytes each.  At ``MEMO_RUNS`` runs it becomes the old generation, of
+    which only what is used again goes on; no run of over ``MEMO_RUN_CHARS`` characters is kept, so memory stays bounded
+    on any text.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, itemsize: int = 2):
         super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.parts_old: dict[str, bytes] = {}
+        self.long: list[str] = []  # runs of the text at hand that the memo won't keep
         self.tokenizer = Tokenizer.from_file(vocabulary)
         if self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << (8 * itemsize):
             raise ValueError(f"ids of {vocabulary} need more than {itemsize} bytes")
         self.itemsize = itemsize
         self.dtype = np.dtype(f"<u{itemsize}")
-        self.merge = self.tokenizer.model.tokenize
-        self.alphabet = _byte_alphabet()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def __missing__(self, piece: str) -> bytes:
-        spelled = piece.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        ids = b"".join([t.id.to_bytes(self.itemsize, "little") for t in self.merge(spelled)])
-        if len(piece) <= MEMO_PIECE_CHARS:
-            self[piece] = ids
-        return ids
+        with open(vocabulary, encoding="utf-8") as file:
+            parts = json.load(file)
+        before = parts.get("pre_tokenizer") or {}
+        self.cuts = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True) and not parts.get("normalizer")
+        ends = self._ids("\n").tolist() if self.cuts else []
+        self.line_end = ends[0] if len(ends) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of runs; those that hold no white space but a first space are joined by line ends, a token of their own."""
+        found, words = {}, []
+        for run in runs:
+            if self.line_end is not None and _WORD(run):
+                words.append(run)
+            else:
+                found[run] = self._ids(run).tobytes()
+        if words:
+            ids = self._ids("\n".join(words))
+            ends = np.r_[np.flatnonzero(ids == self.line_end), len(ids)]
+            at = 0
+            for word, end in zip(words, ends.tolist(), strict=True):
+                found[word] = ids[at:end].tobytes()
+                at = end + 1
+        return found
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian ids of a text; a null or empty text has none."""
         if not text:
             return b""
-        if len(self) > MEMO_PIECES:
+        if not self.cuts or any(t in text for t in self.added):
+            return self._ids(text).tobytes()
+        if _ODD(text):
+            first, *runs = _CUT(text)
+            runs = [r[1:] for r in runs]
+        else:
+            first, *runs = text.split(" ")
+        found = list(map(self.get, runs))
+        if None in found:
+            fresh = [i for i, ids in enumerate(found) if ids is None]
+            self._add({runs[i] for i in fresh})
+            for i in fresh:
+                found[i] = self[runs[i]]
+            for run in self.long:
+                del self[run]
+            self.long.clear()
+        return (self._ids(first).tobytes() if first else b"") + b"".join(found)
+
+    def _add(self, runs: set[str]) -> None:
+        """Put runs into the memo: from the old generation, or from their parts, which the library encodes if they are new."""
+        if len(self) > MEMO_RUNS:
+            self.old, self.parts_old = dict(self), self.parts
+            self.parts = {}
             self.clear()
-        if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        return b"".join([self[p] for p in split(text)])
+        cut, words, known, before = {}, set(), self.parts, self.parts_old
+        for run in runs:
+            if run in self.old:
+                self[run] = self.old[run]
+            else:
+                cut[run] = parts = _PARTS(" " + run)
+                words.update([p for p in parts if p not in known])
+        known.update({p: before[p] for p in words if p in before})
+        known.update(self._learn([p for p in words if p not in before]))
+        for run, parts in cut.items():
+            self[run] = b"".join([known[p] for p in parts])
+        self.long = [r for r in cut if len(r) > MEMO_RUN_CHARS]
+        for part in [p for p in words if len(p) > MEMO_RUN_CHARS]:
+            del known[part]
 
 
 @functools.lru_cache(maxsize=2)

@@ -30,18 +30,26 @@ def encoded(spark, sf_dir):
 
 @pytest.mark.parametrize("text", ODD_TEXTS)
 def test_ids_are_those_of_the_library(text):
-    LIBRARY.encode_special_tokens = True
-    got = np.frombuffer(tokens.encoder().encode(text), "<u2").tolist()
-    assert got == library_ids(text)[:-1]
-    assert "".join(tokens.split(text)) == text
+    assert np.frombuffer(tokens.encoder().encode(text), "<u2").tolist() == library_ids(text)[:-1]
 
 
-def test_ids_of_random_text_are_those_of_the_library():
+def test_ids_of_random_text_are_those_of_the_library(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_RUNS", 500)  # generations change often
     rng = random.Random(3)
-    alphabet = "ab Z9_'.\n\té½²ßſ 漢ね🙂́"
-    for _ in range(300):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
-        assert np.frombuffer(tokens.encoder().encode(text), "<u2").tolist() == library_ids(text)[:-1]
+    common = "  \n\t'sta.,9\x1c\xa0\u3000\x85é"
+    codec = tokens.PieceEncoder()
+    for _ in range(20_000):
+        parts = [rng.choice(common) if rng.random() < 0.7 else chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(rng.randrange(30))]
+        if rng.random() < 0.05:
+            parts.insert(rng.randrange(len(parts) + 1), "<|endoftext|>")
+        text = "".join(parts)
+        assert np.frombuffer(codec.encode(text), "<u2").tolist() == library_ids(text)[:-1]
+
+
+def test_other_vocabularies_go_to_the_library_whole():
+    codec = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(codec.encode("Some TEXT, here  now"), "<u2").tolist() == plain.encode("Some TEXT, here  now", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext|", "é\n <|endoftext|>\n x"])
