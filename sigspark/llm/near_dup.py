@@ -6,24 +6,28 @@ similarity to link, 0.85, a pair shares a band of a collection with a chance of
 A caller with a lesser threshold passes ``percent``, and more ``tables`` to keep that chance: 10 give it at 0.8.
 
 1. Documents of equal sets are one class; only its least document goes on.
-2. One shuffle by the bands of the first collection; a band that no other document has ends there, and the pairs
-   with the second collection are formed for the rest, inside the same partition.
-3. Documents that share a key are chained, and the chains' components are the candidate groups.
-4. Each group's full sets are compared exactly.  A group of any size is cut, by set size, into blocks of a bounded
-   number of shingles, and only pairs of blocks whose sizes can reach the threshold make a task.  A task finds its
-   pairs through the group's rarest shingles, skips pairs that are already connected, and emits a spanning forest of
-   the true links, never all pairs.
-5. Components of the true links, by their least document.
+2. Bands of the first collection that no other document has end in an aggregate; for the rest the pairs with the second
+   collection are formed.  Documents of a key hang on its least one, and the components of these stars are the
+   candidate groups.  No window orders a band's, a key's or a group's documents, so none of them need fit a task.
+3. Each group's full sets are compared exactly, in three rounds whose tasks hold a bounded number of shingles:
+   inside slices of the group, dealt by a hash; where a group has several slices, the few documents with most links
+   against all of its slices; and where it has several components left, blocks of those outside of its largest component
+   against each other and against that one, if their set sizes can reach the threshold.  The second round makes a large
+   group of true copies one component in time linear in its documents, so that little or nothing is left to the third.
+   A task finds its pairs through its rarest shingles, skips pairs that are already connected, and emits a spanning
+   forest of the true links, never all pairs.
+4. Components of the true links, by their least document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.llm import rolling, storage
@@ -33,8 +37,10 @@ WIDTH = 5
 PERCENT = 85
 TABLES = 8
 BAND = 2
-BLOCK_COST = 2_500_000  # shingles of a block, each document counting DOC_COST more
+SLICE_COST = 150_000  # shingles of a slice of a group, each document counting DOC_COST more
+BLOCK_COST = 1_000_000  # those of a block of the last round
 DOC_COST = 500
+PIVOTS = 8  # documents of a group that are held against all of its slices
 MAX_TABLES = 32
 _MULTIPLIERS = np.random.default_rng(0xD0C5).integers(0, 1 << 63, 2 * MAX_TABLES * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 _SIG = "doc_id long, n_shingles long, h1 long, h2 long, a array<long>, b array<long>"
@@ -75,8 +81,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if _fingerprint(s) == (h1, h2):
                 kept.append(i)
                 sets.append(s.tobytes())
-        rest = batch.select(["doc_id", "grp", "blk"]).take(pa.array(kept, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], names=["doc_id", "grp", "blk", "shingles"])
+        rest = batch.select(["doc_id", "grp", "slices", "slice", "n_shingles"]).take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary())], names=[*rest.schema.names, "shingles"])
 
 
 def similar(shared: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | bool:
@@ -84,11 +90,12 @@ def similar(shared: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int,
     return 100 * shared >= percent * (n + m - shared)
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int = PERCENT, known: list[int] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between documents of ``left`` and of ``right`` (masks; both all for one block).
 
     Exact: two sets that link share a shingle among the rarest n - ceil(n * percent / 100) + 1 of each (the prefix rule), so
-    candidates come from those alone; each is counted in full unless the two are already connected.
+    candidates come from those alone; each is counted in full unless the two are already connected, here or by equal
+    components in ``known``.
     """
     order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
     size = np.array([len(sets[i]) for i in order], np.int64)
@@ -100,6 +107,9 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, rig
     token = rank[token]
     at = np.r_[0, np.cumsum(size)]
     parent = np.arange(len(order))
+    if known is not None:
+        _, first, which = np.unique(np.array(known, np.int64)[order], return_index=True, return_inverse=True)
+        parent = first[which]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -109,7 +119,7 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, rig
 
     seen = np.zeros(len(count), bool)
     postings: dict[int, list[int]] = {}
-    label = np.arange(len(order))
+    label = parent.copy()
     links = []
     for i in range(len(order)):
         own = np.sort(token[at[i] : at[i + 1]])
@@ -142,41 +152,89 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], left: np.ndarray, rig
 
 
 def _links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links of each comparison: rows of one grp, one and two; ``side`` is 1 for the left, 2 for the right, 3 for both."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
-        rows: list[tuple[int, int, np.ndarray]] = []
+        rows: list[tuple[int, int, int, np.ndarray]] = []
 
         def done() -> Iterator[pa.RecordBatch]:
-            blk = np.array([r[1] for r in rows])
-            left, right = blk == key[1], blk == key[2]
-            found = spanning_links([r[0] for r in rows], [r[2] for r in rows], left, right, percent)
+            ids, known, side, sets = (list(x) for x in zip(*rows, strict=True))
+            mask = np.array(side)
+            found = spanning_links(ids, sets, mask & 1 > 0, mask & 2 > 0, percent, known)
             if found:
                 src, dst = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "one", "two", "doc_id", "blk")]
-            for grp, one, two, doc_id, blk, raw in zip(*columns, batch.column("shingles"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("grp", "one", "two", "doc_id", "known", "side")]
+            for grp, one, two, doc_id, known, side, raw in zip(*columns, batch.column("shingles"), strict=True):
                 if (grp, one, two) != key:
                     if len(rows) > 1:
                         yield from done()
                     key, rows = (grp, one, two), []
-                rows.append((doc_id, blk, np.frombuffer(raw.as_py(), np.uint64)))
+                rows.append((doc_id, known, side, np.frombuffer(raw.as_py(), np.uint64)))
         if len(rows) > 1:
             yield from done()
 
     return run
 
 
+def _compared(rows: DataFrame, percent: int, name: str) -> DataFrame:
+    """The links (src, dst) of comparisons given as rows (grp, one, two, doc_id, known, side, shingles)."""
+    dealt = rows.select("grp", "one", "two", "doc_id", "known", "side", "shingles").repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two", "doc_id")
+    return storage.materialize(storage.map_batches(dealt, _links(percent), "src long, dst long"), name)
+
+
 def candidate_groups(classes: DataFrame) -> DataFrame:
     """(id, component) of the documents that share a table key with another, over ``classes`` (doc_id, a, b)."""
     bands = classes.select("doc_id", "b", F.posexplode("a").alias("i", "band"))
-    same = Window.partitionBy("i", "band").orderBy("doc_id")
-    shared = bands.withColumn("near", F.coalesce(F.lag("doc_id").over(same), F.lead("doc_id").over(same))).where("near is not null")
-    keys = shared.select("doc_id", "i", "band", F.posexplode("b").alias("j", "other"))
-    chain = Window.partitionBy("i", "band", "j", "other").orderBy("doc_id")
-    edges = keys.select("doc_id", F.lag("doc_id").over(chain).alias("before")).where("before is not null")
-    return connected_components(edges.select(F.col("doc_id").alias("src"), F.col("before").alias("dst")).distinct(), "candidates")
+    shared = bands.groupBy("i", "band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = bands.join(shared, ["i", "band"]).select("doc_id", "i", "band", F.posexplode("b").alias("j", "other"))
+    keys = storage.materialize(pairs.select("doc_id", F.xxhash64("i", "band", "j", "other").alias("key")), "table-keys")
+    heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = keys.join(heads, "key").where("doc_id <> head").select(F.col("doc_id").alias("src"), F.col("head").alias("dst"))
+    return connected_components(edges.distinct(), "candidates")
+
+
+def _parts(rows: DataFrame, by: list[str], cost: int, count: str, part: str) -> DataFrame:
+    """``rows`` with the number of parts of their group ``by``, of about ``cost`` each, and their own part by a hash."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.sum(F.col("n_shingles") + DOC_COST) / cost).cast("int").alias(count))
+    return rows.join(sizes, by).withColumn(part, F.pmod(F.xxhash64("doc_id"), F.col(count)).cast("int"))
+
+
+def _pivot_rows(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """The second round: in groups of several slices, the documents with most links and each other slice."""
+    degree = links.select(F.col("src").alias("doc_id")).unionByName(links.select(F.col("dst").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("links"))
+    best = sets.drop("shingles").join(degree, "doc_id").groupBy("grp", "slice").agg(F.max(F.struct("links", F.negative("doc_id").alias("least"))).alias("x"))
+    # A row for each slice, of which the most linked ones are taken.
+    top = best.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list("x"), asc=False), 1, PIVOTS).alias("x"))
+    pivots = top.select(F.explode("x").alias("x")).select(F.negative("x.least").alias("doc_id"))
+    from_pivots = sets.join(pivots, "doc_id", "left_semi").withColumn("two", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("two <> slice").withColumn("side", F.lit(1))
+    to_slices = sets.withColumn("two", F.col("slice")).withColumn("side", F.lit(2))
+    return from_pivots.unionByName(to_slices).withColumn("one", F.lit(0)).withColumn("known", F.col("doc_id"))
+
+
+def _rest_rows(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """The third round: in groups of several components, blocks of all but the largest one with all blocks they can link to."""
+    joined = connected_components(links, "links")
+    rows = sets.select("doc_id", "grp", "n_shingles").join(joined.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("known", F.coalesce("component", "doc_id")).drop("component")
+    sizes = rows.groupBy("grp", "known").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("grp").agg(F.max(F.struct("n", "known")).alias("x"), F.count("*").alias("components")).where("components > 1").select("grp", F.col("x.known").alias("main"))
+    # Sets that can link are at most one level apart.
+    level = F.floor(F.log(F.col("n_shingles").cast("double")) / (math.log(100 / percent) * (1 + 1e-6))).cast("int")
+    rows = rows.join(main, "grp").select("grp", "doc_id", "n_shingles", "known", (F.col("known") == F.col("main")).alias("inside"), level.alias("level"))
+    rows = storage.materialize(_parts(rows, ["grp", "inside", "level"], BLOCK_COST, "blocks", "block"), "candidate-blocks")
+    name: Column = F.concat_ws("-", F.col("inside").cast("int"), "level", "block")
+    blocks = rows.select("grp", "inside", "level", "block", name.alias("name")).distinct()
+    other = blocks.select("grp", *(F.col(c).alias(f"other_{c}") for c in ("inside", "level", "block", "name")))
+    once = "level < other_level or (level = other_level and (block < other_block or (block = other_block and not inside)))"
+    pairs = blocks.where("not inside").join(other, "grp").where(f"abs(level - other_level) <= 1 and (other_inside or {once})")
+    sides = pairs.select("grp", F.col("name").alias("one"), F.col("other_name").alias("two"))
+    same = F.col("one") == F.col("two")
+    sides = sides.select("grp", "one", "two", F.col("one").alias("name"), F.when(same, 3).otherwise(1).alias("side")).unionByName(sides.where(~same).select("grp", "one", "two", F.col("two").alias("name"), F.lit(2).alias("side")))
+    dealt = rows.select("doc_id", "grp", "known", name.alias("name")).join(sides, ["grp", "name"])
+    return dealt.join(sets.select("doc_id", "shingles"), "doc_id")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, tables: int = TABLES) -> DataFrame:
@@ -192,19 +250,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = storage.materialize(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")
     classes = worded.join(reps.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
     groups = candidate_groups(classes.select("doc_id", "a", "b"))
-    # Blocks of each group by set size; these rows are a few numbers for each candidate.
-    by_size = Window.partitionBy("grp").orderBy("n_shingles", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = reps.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("grp")), "rep").select(F.col("rep").alias("doc_id"), "h1", "h2", "n_shingles", "grp")
-    placed = placed.withColumn("blk", F.floor(F.sum(F.col("n_shingles") + DOC_COST).over(by_size) / BLOCK_COST).cast("int"))
-    placed = storage.materialize(placed, "candidate-blocks")
-    blocks = placed.groupBy("grp", "blk").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    upper = blocks.select("grp", F.col("blk").alias("two"), F.col("low").alias("low_two"))
-    pairs = blocks.select("grp", F.col("blk").alias("one"), "high").join(upper, "grp").where(f"one = two or (one < two and 100 * high >= {percent} * low_two)").select("grp", "one", "two")
-    sides = pairs.select("grp", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("blk"))
+    placed = _parts(placed, ["grp"], SLICE_COST, "slices", "slice")
     # Candidates grow with the corpus, so they are never broadcast, however few they are here.
-    sets = storage.map_batches(texts.join(placed.select("doc_id", "h1", "h2", "grp", "blk").hint("merge"), "doc_id"), _sets, "doc_id long, grp long, blk int, shingles binary")
-    dealt = sets.join(sides, ["grp", "blk"]).repartition("grp", "one", "two").sortWithinPartitions("grp", "one", "two", "doc_id")
-    links = storage.map_batches(dealt.select("grp", "one", "two", "doc_id", "blk", "shingles"), _links(percent), "src long, dst long")
+    sets = storage.map_batches(texts.join(placed.hint("merge"), "doc_id"), _sets, "doc_id long, grp long, slices int, slice int, n_shingles long, shingles binary")
+    sets = storage.materialize(sets, "candidate-sets")
+    inside = sets.withColumns({"one": F.lit(0), "two": F.col("slice"), "known": F.col("doc_id"), "side": F.lit(3)})
+    links = _compared(inside, percent, "slice-links")
+    large = sets.where("slices > 1")
+    if not large.isEmpty():
+        links = links.unionByName(_compared(_pivot_rows(large, links), percent, "pivot-links"))
+        links = links.unionByName(_compared(_rest_rows(large, links, percent), percent, "rest-links"))
     equal_ids = worded.join(reps, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")).join(_repeated(worded), F.col("src") == F.col("again"), "left_semi")
     joined = connected_components(links.unionByName(equal_ids), "links")
     with_rep = sigs.join(reps.select("h1", "h2", "rep"), ["h1", "h2"], "left")

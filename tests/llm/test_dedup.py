@@ -96,9 +96,27 @@ def test_near_dup_links_around_the_threshold(spark, monkeypatch):
     expected = brute_components(docs)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()}
     assert got == expected
-    monkeypatch.setattr(near_dup, "BLOCK_COST", 4_000)  # many blocks in a group, as for very large ones
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()}
-    assert got == expected
+    monkeypatch.setattr(near_dup, "SLICE_COST", 3_000)  # many slices and blocks in a group, as for very large ones
+    monkeypatch.setattr(near_dup, "BLOCK_COST", 4_000)
+    for pivots in (1, 8):
+        monkeypatch.setattr(near_dup, "PIVOTS", pivots)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()}
+        assert got == expected
+
+
+def test_copies_that_link_through_one_text_alone(spark, monkeypatch):
+    """Copies of one text with edits of their own: each links with it (or with nothing), but not with each other."""
+    monkeypatch.setattr(near_dup, "SLICE_COST", 5_000)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    docs = [(50, " ".join(words))]
+    for i in range(1, 50):
+        copy = words.copy()
+        for k in range(3 if i % 5 else 4):
+            copy[rng.randrange(40 * k, 40 * k + 36)] = f"own{i}x{k}"
+        docs.append((i, " ".join(copy)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs) and len({c for _, c, _ in got.values()}) < 25
 
 
 def test_near_dup_edge_cases(spark):
