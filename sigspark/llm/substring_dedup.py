@@ -4,14 +4,19 @@ Every run of ``length`` bytes has a trigger: the window of ``TRIGGER`` bytes in
 phrase is a maximal run of starts with one trigger, so the parse of a text is the sequence of its phrases, and each
 ``length``-byte string of the corpus starts in exactly one phrase and is found again under the same trigger.
 
-The corpus order of suffixes, up to ``length`` bytes, then comes from two sorts, both spread by trigger:
+The corpus order of suffixes, up to ``length`` bytes, comes from two sorts, both spread by trigger (the order is that
+inside each trigger's bucket, since equal strings never lie in two buckets):
 
 * The parse: the phrases of the corpus, sorted by trigger and content.  A phrase that a smaller document has too is
   repeated as a whole.  This settles all but the ends of repeated passages, in one row for each phrase, and a task
   keeps the repeats that it sees itself, so a passage in a third of all documents sends one row from each task.
 * The dictionary: where a trigger has different phrases, each distinct phrase is fetched once, from its smallest
-  document, and the suffixes of these phrases are sorted; equal prefixes of ``length`` bytes are one string.  What is
-  found in a phrase holds at every place where its smallest document has it.
+  document, and the suffix array of these phrases is built from their bytes, up to ``length`` of them.  Suffixes of equal
+  rank follow one another by their phrases' documents, which gives the corpus order; what is found in a phrase holds at
+  every place where its smallest document has it.
+
+Bytes are compared in the dictionary, and for repeats that one task sees.  Of a whole phrase in two tasks' documents, 48
+bits of its trigger's hash and 48 of its own are compared instead.
 
 Removed bytes go back to their documents in blocks, and each text is cut once.
 """
@@ -26,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from sigspark.llm import rolling, storage
 
@@ -37,6 +43,7 @@ PART_BYTES = 16 << 20
 NO_ID = (1 << 63) - 1  # a null id counts as the greatest
 PHRASES, COVERS, WANTED, PLACES, DOCUMENT = 0, 1, 2, 3, 9
 _MESSAGE = "dest int, kind int, payload binary"
+_LOW48 = np.uint64((1 << 48) - 1)
 _SPREAD = np.uint64(0x9FB21C651E98DF25)
 _COLUMNS = (("trigger", np.uint64), ("phrase", np.uint64), ("doc", np.int64), ("tag", np.int64), ("at", np.int64), ("span", np.uint8))
 
@@ -126,6 +133,31 @@ def _by_dest(dest: np.ndarray, kind: int, columns: list[np.ndarray], pack: Calla
     return [(int(k), kind, pack(*(c[a:b] for c in columns))) for k, a, b in zip(keys, bounds[:-1], bounds[1:], strict=True)]
 
 
+def suffix_ranks(data: np.ndarray, start: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The rank of each start in the suffix array of ``data``, by its first ``length`` bytes: equal strings, equal ranks.
+
+    Starts are sorted by eight bytes at a time, and only those that are still equal to others go on.
+    """
+    rank = np.zeros(len(start), np.int64)
+    active = np.arange(len(start))
+    for at in [*range(0, length - 8, 8), length - 8]:
+        place = start[active] + at
+        key = np.zeros(len(active), np.uint64)
+        for k in range(8):
+            key = (key << np.uint64(8)) | data[place + k]
+        order = np.lexsort((key, rank[active]))
+        active, key = active[order], key[order]
+        now = rank[active]
+        group = np.r_[True, now[1:] != now[:-1]]
+        run = group | np.r_[True, key[1:] != key[:-1]]
+        index = np.arange(len(active))
+        rank[active] = now + np.maximum.accumulate(np.where(run, index, 0)) - np.maximum.accumulate(np.where(group, index, 0))
+        active = active[~(run & np.r_[run[1:], True])]
+        if not len(active):
+            break
+    return rank
+
+
 def _pack_phrases(trigger: np.ndarray, phrase: np.ndarray, *rest: np.ndarray) -> bytes:
     return _pack(_short(trigger, 6), _short(phrase, 6), *rest)
 
@@ -134,8 +166,23 @@ def _block(doc: np.ndarray, tag: np.ndarray, blocks: int) -> np.ndarray:
     return ((doc ^ tag) % blocks).astype(np.int32)
 
 
-def _dictionary_bucket(trigger: np.ndarray, buckets: int) -> np.ndarray:
-    return (trigger >> np.uint64(32)).astype(np.int64) % buckets
+def _bucket(trigger: np.ndarray, buckets: int) -> np.ndarray:
+    """A trigger's bucket.  Of the least of several hashes only the low bits are even, and all of them are mixed."""
+    return (rolling.mix(trigger & _LOW48) % np.uint64(buckets)).astype(np.int64)
+
+
+def _same_bytes(texts: list[bytes], of: np.ndarray, at: np.ndarray, span: np.ndarray, one: np.ndarray, two: np.ndarray, length: int) -> np.ndarray:
+    """Whether phrases ``one`` and ``two`` (numbers of phrases) have equal bytes; neighbours are compared in one go."""
+    if not len(one):
+        return np.zeros(0, bool)
+    size = span[one].astype(np.int64) + 1
+    follows = (of[one][1:] == of[one][:-1]) & (of[two][1:] == of[two][:-1]) & (at[one][1:] == (at[one] + size)[:-1]) & (at[two][1:] == (at[two] + size)[:-1])
+    first = np.flatnonzero(np.r_[True, ~follows])
+    last = np.r_[first[1:], len(one)] - 1
+    n = (at[one[last]] + size[last] - at[one[first]] + length - 1).tolist()
+    columns = (x.tolist() for x in (of[one[first]], at[one[first]], of[two[first]], at[two[first]]))
+    same = [texts[a][i : i + k] == texts[b][j : j + k] for a, i, b, j, k in zip(*columns, n, strict=True)]
+    return np.repeat(np.array(same), last - first + 1)
 
 
 def _parse(length: int, buckets: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -159,13 +206,13 @@ def _parse(length: int, buckets: int, blocks: int) -> Callable[[Iterator[pa.Reco
         trigger, phrase, of, at, span = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(phrase, kind="stable")
         bounds, _ = _runs(phrase[order])
-        least = np.repeat(ids[of[order[bounds[:-1]]]], np.diff(bounds)) if len(order) else ids[:0]
-        repeat = np.zeros(len(order), bool)
-        repeat[order] = ids[of[order]] > least
+        lead = np.empty(len(order), np.int64)
+        lead[order] = np.repeat(order[bounds[:-1]], np.diff(bounds))
+        repeat = ids[of] > ids[of[lead]]
+        repeat[repeat] = _same_bytes([x[2] for x in held], of, at, span, np.flatnonzero(repeat), lead[repeat], length)
         doc, tag = ids[of], tags[of]
         keep = ~repeat
-        bucket = (trigger[keep] >> np.uint64(48)).astype(np.int64) % buckets
-        out = _by_dest(bucket, PHRASES, [trigger[keep], phrase[keep], doc[keep], tag[keep], at[keep], span[keep]], _pack_phrases)
+        out = _by_dest(_bucket(trigger[keep], buckets), PHRASES, [trigger[keep], phrase[keep], doc[keep], tag[keep], at[keep], span[keep]], _pack_phrases)
         covers = _by_dest(_block(doc[repeat], tag[repeat], blocks), COVERS, [doc[repeat], tag[repeat], at[repeat], span[repeat].astype(np.int64)])
         # Covers ride along to a bucket, which sends them on; the block is the first byte group of the message.
         return out + [(dest % buckets, COVERS, dest.to_bytes(4, "little") + payload) for dest, _, payload in covers]
@@ -233,7 +280,7 @@ def _sort_parse(buckets: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]
         asked = (low < high)[group]
         other = np.flatnonzero(asked[which] & ~covered & ~new_phrase)
         first = lead[which[other]]
-        out += _by_dest(_dictionary_bucket(trigger[other], buckets), PLACES, [doc[other], tag[first], at[first], tag[other], at[other]])
+        out += _by_dest(_bucket(trigger[other], buckets), PLACES, [doc[other], tag[first], at[first], tag[other], at[other]])
         lead = lead[asked]
         return out + _by_dest(_block(doc[lead], tag[lead], blocks), WANTED, [doc[lead], tag[lead], at[lead], span[lead].astype(np.int64), trigger[lead]])
 
@@ -297,7 +344,7 @@ def _fetch(length: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     found.append((np.full(len(at), doc), np.full(len(at), tag), at, span, trigger, np.array(parts, object)))
             if found:
                 columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-                bucket = _dictionary_bucket(columns[4], buckets)
+                bucket = _bucket(columns[4], buckets)
 
                 def pack(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, span: np.ndarray, _: np.ndarray, parts: np.ndarray) -> bytes:
                     return _pack(doc, tag, at, span, np.frombuffer(b"".join(parts.tolist()), np.uint8))
@@ -325,7 +372,7 @@ def _matches(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _sort_dictionary(length: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sort the suffixes of a bucket's phrases by their first ``length`` bytes; starts that a smaller document has are covers,
+    """The suffix array of a bucket's phrases, by ``length`` bytes, with equal suffixes in their documents' order; starts that a smaller document has are covers,
     at each place of the phrase."""
 
     def settle(messages: list[bytes], places: list[bytes]) -> list[tuple[int, int, bytes]]:
@@ -335,7 +382,7 @@ def _sort_dictionary(length: int, blocks: int) -> Callable[[Iterator[pa.RecordBa
         of = np.repeat(np.arange(len(doc)), size)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
         start = base[of] + offset
-        suffix = rolling.hashes(rolling.sums(data), start, start + length)
+        suffix = suffix_ranks(data, start, length)
         order = np.lexsort((doc[of], suffix))
         bounds, _ = _runs(suffix[order])
         least = np.repeat(doc[of[order[bounds[:-1]]]], np.diff(bounds))
@@ -397,29 +444,30 @@ def _cut(length: int, passed: list[str], names: list[str], as_text: bool) -> Cal
     return run
 
 
-def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False, prefix: str = "") -> DataFrame:
     """Remove from each text every byte covered by a ``length``-byte string that starts in a document of a smaller id too.
 
     Returns the columns of ``keep`` (default: the id), n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes
     left, which need not be whole characters; with ``as_text`` a string without the rest of characters that a cut has split,
     and null for a null text).  Matches lie inside one text.  A null text is empty; documents of equal
     ids don't cut each other; a null id counts as greater than any other; texts under ``length`` bytes stay; an empty
-    table gives no row.  Columns of ``docs`` may have any names.
+    table gives no row.  Columns of ``docs`` may have any names; ``prefix`` is put before the names of the added ones, and
+    a column of ``keep`` of such a name is an error.
     """
     spark = docs.sparkSession
     keep = [id_col] if keep is None else keep
     passed = [f"kept_{i}" for i in range(len(keep))]
-    tag: Column = F.xxhash64(F.col(text_col)).bitwiseAND(F.lit((1 << 31) - 1))
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), F.col(text_col).alias("text"), *(F.col(c).alias(p) for c, p in zip(keep, passed, strict=True)))
+    tag: Column = F.xxhash64(storage.col(text_col)).bitwiseAND(F.lit((1 << 31) - 1))
+    base = docs.select(F.coalesce(storage.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), storage.col(text_col).alias("text"), *(storage.col(c).alias(p) for c, p in zip(keep, passed, strict=True)))
     n = storage.parts_for(spark, storage.input_bytes(base, "text"), PART_BYTES)
 
     def dealt(messages: DataFrame) -> DataFrame:
-        return messages.repartition(n, "dest").sortWithinPartitions("dest")
+        return messages.repartitionById(n, "dest").sortWithinPartitions("dest")
 
     def with_texts(messages: DataFrame, *columns: str) -> DataFrame:
         block = F.pmod(F.col("doc").bitwiseXOR(F.col("tag")), F.lit(n)).cast("int")
         texts = base.select(block.alias("dest"), F.lit(DOCUMENT).alias("kind"), "doc", "tag", "text", *columns)
-        return messages.unionByName(texts, allowMissingColumns=True).repartition(n, "dest").sortWithinPartitions("dest", "kind")
+        return messages.unionByName(texts, allowMissingColumns=True).repartitionById(n, "dest").sortWithinPartitions("dest", "kind")
 
     parsed = storage.map_batches(base.select("doc", "tag", "text"), _parse(length, n, n), _MESSAGE)
     settled = storage.materialize(storage.map_batches(dealt(parsed), _sort_parse(n, n), _MESSAGE), "parse")
@@ -428,7 +476,8 @@ def cut_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id"
     places = settled.where(F.col("kind") == PLACES)
     ends = storage.materialize(storage.map_batches(dealt(fetched.unionByName(places)), _sort_dictionary(length, n), _MESSAGE), "dictionary")
     covers = settled.where(F.col("kind") == COVERS).unionByName(ends)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in keep] + [_ADDED + ("string" if as_text else "binary")])
-    names = [*keep, *(x.split()[0] for x in _ADDED.split(", "))]
-    return storage.map_batches(with_texts(covers, *passed), _cut(length, passed, names, as_text), schema)
+    added = [StructField(prefix + x.split()[0], LongType() if "long" in x else StringType()) for x in _ADDED.split(", ")[:-1]]
+    schema = StructType([*(StructField(c, docs.schema[c].dataType) for c in keep), *added, StructField(f"{prefix}kept", StringType() if as_text else BinaryType())])
+    if len(set(schema.names)) < len(schema):
+        raise ValueError(f"a kept column has the name of an added one: {schema.names}")
+    return storage.map_batches(with_texts(covers, *passed), _cut(length, passed, schema.names, as_text), schema)

@@ -201,3 +201,21 @@ def test_phrases_follow_content_alone():
     a, b = np.concatenate([rng.integers(97, 123, 90).astype(np.uint8), passage]), np.concatenate([rng.integers(97, 123, 333).astype(np.uint8), passage])
     first, second = (set(substring_dedup.phrases(x, np.array([len(x)]))[1].tolist()) for x in (a, b))
     assert len(first & second) > 5
+
+
+def test_suffix_ranks_are_the_order_of_the_bytes():
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.integers(97, 99, 600), np.full(200, 97), rng.integers(0, 256, 300), np.full(80, 0), rng.integers(97, 99, 600)]).astype(np.uint8)
+    data = np.concatenate([data, data[100:900]])
+    start = np.arange(len(data) - 49)
+    strings = [data[i : i + 50].tobytes() for i in start]
+    places = {s: i for i, s in reversed(list(enumerate(sorted(strings))))}
+    assert substring_dedup.suffix_ranks(data, start).tolist() == [places[s] for s in strings]
+
+
+def test_repeats_of_a_task_are_held_against_bytes(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(97, 123, 300).astype(np.uint8).tobytes() for _ in range(2)]
+    texts.append(texts[0])
+    of, at, span = np.array([0, 0, 1, 2, 2]), np.array([0, 10, 0, 0, 10]), np.full(5, 9, np.uint8)
+    assert substring_dedup._same_bytes(texts, of, at, span, np.array([3, 4, 2]), np.array([0, 1, 0]), 50).tolist() == [True, True, False]
