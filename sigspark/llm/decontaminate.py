@@ -6,12 +6,14 @@ all within e diagonals (place in the text less place in the item).  Diagonals ar
 largest e, each overlapping half of the next, so some band holds them all; bands that reach the bound are aligned
 within their region, and those of at most e edits are leaks.
 
-The benchmark is the stated query set: it comes in blocks of at most ``BLOCK_BYTES`` of text, each shipped to the
-tasks as one index, and every block runs over all documents.  No document is shuffled.
+The benchmark is the stated query set: it comes in blocks of at most ``BLOCK_BYTES`` of text.  A pass over all documents
+takes ``PASS_BLOCKS`` blocks: it ships their texts to the tasks, and a task builds their indexes once (about 20 MB a
+block) and hashes each document once for all of them.  No document is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -26,7 +28,9 @@ from sigspark.llm import rolling, storage
 Q = 12
 BUDGET = 0.06
 BLOCK_BYTES = 1 << 20
+PASS_BLOCKS = 12
 FILTER_BITS = 22
+POSTINGS = 1 << 21  # q-gram hits that are counted at once
 FOUND = "doc_id long, item_id long, edits int, start long, end long"
 
 _MARKS = re.compile("[\u0300-\u036f]+")
@@ -52,17 +56,38 @@ def budget(m: int, q: int = Q, rate: float = BUDGET) -> int:
     return max(0, min(int(rate * m), (m - q) // q))
 
 
-def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """The least edits that turn ``item`` into a part of ``region``, and that part's end."""
-    j = np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64)
-    for k, c in enumerate(item.tolist(), 1):
-        best = np.empty_like(row)
-        best[0] = k
-        np.minimum(row[:-1] + (region != c), row[1:] + 1, out=best[1:])
-        row = np.minimum.accumulate(best - j) + j
-    end = int(row.argmin())
-    return int(row[end]), end
+def align_banded(item: np.ndarray, data: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """The least edits that turn ``item`` into a part of ``data``, and that part's start and end, within a band of diagonals.
+
+    Cells of the alignment are (row, diagonal) with diagonal, the place in ``data`` less the row, from ``low`` to ``high``; a
+    cell's start comes along with its cost.  None: no part of ``data`` lies in the band.
+    """
+    m, n, width = len(item), len(data), high - low + 1
+    far = m + n + 1
+    column = np.arange(width)
+    padded = np.full(m + width, 256, np.int64)  # data[low + k] at k; 256 outside of it
+    a, b = max(0, low), min(n, low + m + width)
+    if b > a:
+        padded[a - low : b - low] = data[a:b]
+    place = low + column
+    cost = np.where((place >= 0) & (place <= n), 0, far)
+    begin = place.copy()
+    for i, c in enumerate(item.tolist(), 1):
+        # Matched or changed (same diagonal), or left out (from the next diagonal); then bytes of data put in, from the left.
+        step = cost + (padded[i - 1 : i - 1 + width] != c)
+        skip = np.append(cost[1:] + 1, far)
+        take = skip < step
+        best = np.where(take, skip, step)
+        begin = np.where(take, np.append(begin[1:], 0), begin)
+        place = low + column + i
+        best[(place < 0) | (place > n)] = far
+        run = best - column
+        least = np.minimum.accumulate(run)
+        source = np.maximum.accumulate(np.where(run == least, column, 0))
+        cost, begin = least + column, begin[source]
+        cost[(place < 0) | (place > n)] = far
+    at = int(cost.argmin())
+    return (int(cost[at]), int(begin[at]), low + at + m) if cost[at] < far else None
 
 
 class Index:
@@ -80,53 +105,78 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.grams, at = np.unique(flat[order], return_index=True)
         self.bounds = np.r_[at, len(flat)]
-        self.of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order] if grams else np.empty(0, np.int64)
-        self.place = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.empty(0, np.int64)
+        self.of = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order].astype(np.int32) if grams else np.empty(0, np.int32)
+        self.place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])[order] if grams else np.empty(0, np.int32)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, edits, start, end) of each item found in a text, at its best place (in normalised bytes)."""
         data = normalise(text)
+        return self.leaks_in(data, hashed(data, self.q))
+
+    def leaks_in(self, data: np.ndarray, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """``leaks`` of a normalised text with its q-grams' hashes."""
         found = []
         if self.short and len(data):
             raw = b" " + data.tobytes() + b" "
             found += [(i, 0, at, at + len(t) - 2) for i, t in self.short if (at := raw.find(t)) >= 0]
-        if len(data) < self.q or not len(self.grams):
+        if not len(h) or not len(self.grams):
             return found
-        h = rolling.mix(rolling.windows(rolling.sums(data), self.q))
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         gram = np.searchsorted(self.grams, h[at])
         gram[gram == len(self.grams)] = 0
         same = self.grams[gram] == h[at]
         at, gram = at[same], gram[same]
         n = self.bounds[gram + 1] - self.bounds[gram]
-        total = int(n.sum())
-        if total < self.need.min():
+        if int(n.sum()) < self.need.min():
             return found
-        posting = np.arange(total) + np.repeat(self.bounds[gram] - (np.cumsum(n) - n), n)
-        item, diagonal = self.of[posting], np.repeat(at, n) - self.place[posting]
-        enough = np.bincount(item, minlength=len(self.items)) >= self.need
-        for k in np.flatnonzero(enough).tolist():
-            best = self._place(k, np.sort(diagonal[item == k]), data)
-            if best:
-                found.append((self.items[k][0], *best))
-        return found
-
-    def _place(self, k: int, diagonals: np.ndarray, data: np.ndarray) -> tuple[int, int, int] | None:
+        best: dict[int, tuple[int, int, int]] = {}
+        for item, band in self._bands(at, gram, n, len(data)):
+            here = self._place(item, band, data)
+            if here and (item not in best or here < best[item]):
+                best[item] = here
+        return found + [(self.items[k][0], *best[k]) for k in sorted(best)]
+
+    def _bands(self, at: np.ndarray, gram: np.ndarray, n: np.ndarray, size: int) -> list[tuple[int, int]]:
+        """(item, band) of the bands that reach the bound, from counts of the shared q-grams in each.
+
+        Hits are counted in parts of about ``POSTINGS``, so a common q-gram in a long text doesn't need memory for all at once.
+        """
+        ends = np.cumsum(n)
+        cuts = np.searchsorted(ends, np.arange(POSTINGS, int(ends[-1]) + POSTINGS, POSTINGS), side="left") + 1
+        bands = size // self.stride + 2 + max((len(t) for _, t, _ in self.items)) // self.stride + 2
+        shift = max((len(t) for _, t, _ in self.items)) // self.stride + 2
+        seen, count = np.empty(0, np.int64), np.empty(0, np.int64)
+        a = 0
+        for b in np.unique(np.minimum(cuts, len(n))).tolist():
+            part = n[a:b]
+            posting = np.arange(part.sum()) + np.repeat(self.bounds[gram[a:b]] - (np.cumsum(part) - part), part)
+            item = self.of[posting].astype(np.int64)
+            band = (np.repeat(at[a:b], part) - self.place[posting]) // self.stride + shift
+            key, number = np.unique(np.concatenate([item * bands + band, item * bands + band - 1]), return_counts=True)
+            both = np.concatenate([seen, key])
+            seen, where = np.unique(both, return_inverse=True)
+            count = np.bincount(where, weights=np.concatenate([count, number]), minlength=len(seen)).astype(np.int64)
+            a = b
+        enough = seen[count >= self.need[seen // bands]]
+        return [(k // bands, k % bands - shift) for k in enough.tolist()]
+
+    def _place(self, k: int, band: int, data: np.ndarray) -> tuple[int, int, int] | None:
+        """Edits, start and end of an item in the diagonals of a band, and as far beside it as its edits reach."""
         _, item, most = self.items[k]
-        band = diagonals // self.stride
-        band, count = np.unique(np.concatenate([band, band - 1]), return_counts=True)
-        best: tuple[int, int, int] | None = None
-        for b in band[count >= self.need[k]].tolist():
-            low = max(0, b * self.stride - most)
-            region = data[low : max(0, (b + 2) * self.stride) + len(item) + most]
-            exact = region.tobytes().find(item.tobytes())
-            edits, end = (0, exact + len(item)) if exact >= 0 else align(item, region)
-            if edits <= most and (best is None or edits < best[0]):
-                begin = end - len(item) if edits == 0 else end - align(item[::-1], region[:end][::-1])[1]
-                best = (edits, low + begin, low + end)
-        return best
+        low, high = band * self.stride - most, (band + 2) * self.stride - 1 + most
+        begin = max(0, low)
+        exact = data[begin : max(0, high + len(item))].tobytes().find(item.tobytes())
+        if exact >= 0:
+            return 0, begin + exact, begin + exact + len(item)
+        found = align_banded(item, data, low, high)
+        return found if found and found[0] <= most else None
+
+
+def hashed(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """The hashes of a normalised text's q-grams."""
+    return rolling.mix(rolling.windows(rolling.sums(data), q)) if len(data) >= q else np.empty(0, np.uint64)
 
 
 def item_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
@@ -140,10 +190,35 @@ def item_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str
             yield [(r["item_id"], r["text"]) for r in rows]
 
 
-def _scan(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _passes(benchmark: DataFrame) -> Iterator[list[list[tuple[int, str]]]]:
+    """The benchmark's blocks, ``PASS_BLOCKS`` at a time."""
+    held: list[list[tuple[int, str]]] = []
+    for block in item_blocks(benchmark):
+        held.append(block)
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _searcher(blocks: list[list[tuple[int, str]]]) -> Callable[[str | None], list[tuple[int, int, int, int]]]:
+    """All leaks of a text in the items of ``blocks``; built where it is called, which is in a task."""
+    indexes = [Index(b) for b in blocks]
+
+    def leaks(text: str | None) -> list[tuple[int, int, int, int]]:
+        data = normalise(text)
+        h = hashed(data)
+        return [x for index in indexes for x in index.leaks_in(data, h)]
+
+    return leaks
+
+
+def _scan(blocks: list[list[tuple[int, str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaks = _searcher(blocks)
         for batch in batches:
-            rows = [(doc, *leak) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for leak in index.leaks(text.as_py())]
+            rows = [(doc, *leak) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) for leak in leaks(text.as_py())]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
@@ -154,27 +229,29 @@ def _scan(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each benchmark item in each document: doc_id, item_id, edits, start, end (in normalised bytes).
 
-    An item's best place counts.  Items of under ``Q`` bytes must stand as whole words and exactly; empty and null items
-    and texts leak nothing; repeated rows are searched each; an empty table on either side gives no row.
+    An item's best place counts: of least edits, then the first.  Items of under ``Q`` bytes must stand as whole words and
+    exactly; empty and null items and texts leak nothing; repeated rows are searched each, and a repeated item once; an
+    empty table on either side gives no row; other columns are not read.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = docs.sparkSession.createDataFrame([], FOUND)
-    for k, block in enumerate(item_blocks(benchmark)):
-        part = storage.map_batches(named, _scan(Index(block)), FOUND)
-        found = found.unionByName(part) if k else part
-    return found
+    named = docs.select(storage.col(id_col).cast("long").alias("doc_id"), storage.col(text_col).alias("text"))
+    parts = [storage.map_batches(named, _scan(blocks), FOUND) for blocks in _passes(benchmark)]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], FOUND)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
+    """The rows of ``docs`` whose text holds no benchmark item, with all their columns, of any names.
+
+    A row of a null or empty text stays, and repeated rows each; an empty benchmark takes nothing away.
+    """
 
-    def keep(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keep(blocks: list[list[tuple[int, str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            leaks = _searcher(blocks)
             for batch in batches:
-                yield batch.filter(pa.array([not index.leaks(text.as_py()) for text in batch.column(text_col)], pa.bool_()))
+                yield batch.filter(pa.array([not leaks(text.as_py()) for text in batch.column(text_col)], pa.bool_()))
 
         return run
 
-    for block in item_blocks(benchmark):
-        docs = storage.map_batches(docs, keep(Index(block)), docs.schema)
+    for blocks in _passes(benchmark):
+        docs = storage.map_batches(docs, keep(blocks), docs.schema)
     return docs

@@ -93,12 +93,58 @@ def test_q_gram_lemma_loses_nothing():
         assert {j: e for j, e, *_ in index.leaks(text)} == expected
 
 
-def test_decontamination_query_finds_whole_items(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
-    exact = {(d["doc_id"], i["item_id"]) for d in docs for i in items if d["text"] and i["text"] and len(i["text"]) > 20 and i["text"] in d["text"]}
-    got = {(r["doc_id"], r["item_id"]) for r in queries.op2_decontamination(spark, sf_dir).collect()}
-    assert exact <= got
+def banded_cost(item, data, low, high):
+    """Least edits of ``item`` and a part of ``data`` on diagonals ``low`` to ``high``, cell by cell."""
+    far = 10**6
+    cost = {(0, d): 0 for d in range(low, high + 1) if 0 <= d <= len(data)}
+    for i in range(1, len(item) + 1):
+        for d in range(low, high + 1):
+            j = i + d
+            if 0 <= j <= len(data):
+                change = cost.get((i - 1, d), far) + (1 if j == 0 or item[i - 1] != data[j - 1] else 0)
+                cost[i, d] = min(change if j else far, cost.get((i - 1, d + 1), far) + 1, cost.get((i, d - 1), far) + 1)
+    return min([far, *(c for (i, _), c in cost.items() if i == len(item))])
+
+
+def test_banded_alignment_is_that_of_single_cells():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        item, data = rng.integers(0, 3, rng.integers(1, 14)).astype(np.uint8), rng.integers(0, 3, rng.integers(0, 20)).astype(np.uint8)
+        low = int(rng.integers(-8, 12))
+        high = low + int(rng.integers(0, 9))
+        found = decontaminate.align_banded(item, data, low, high)
+        expected = banded_cost(item.tolist(), data.tolist(), low, high)
+        assert (found[0] if found else 10**6) == expected
+        if found:  # the part that it names has that distance
+            assert edit_distance_in(item.tolist(), data[found[1] : found[2]].tolist()) <= found[0] and 0 <= found[1] <= found[2] <= len(data)
+
+
+def best_edits(item, text):
+    """Least edits of ``item`` in any part of ``text``: the whole matrix, a row at a time."""
+    item, text = np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8)
+    place = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for i, c in enumerate(item.tolist(), 1):
+        new = np.minimum(np.append(i, row[:-1] + (text != c)), row + 1)
+        row = np.minimum.accumulate(new - place) + place
+    return int(row.min())
+
+
+def test_decontamination_query_is_brute_force(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20_000)  # several blocks and passes
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)
+    docs = [(r["doc_id"], decontaminate.normalise(r["text"]).tobytes()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(r["item_id"], decontaminate.normalise(r["text"]).tobytes()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    # Of an item cut in edits + 1 pieces one stands unhurt in any text that leaks it, so other pairs need no matrix.
+    expected = {}
+    for i, item in items:
+        most = decontaminate.budget(len(item))
+        cut = [item[len(item) * k // (most + 1) : len(item) * (k + 1) // (most + 1)] for k in range(most + 1)]
+        for d, text in docs:
+            if any(p in text for p in cut) and (edits := best_edits(item, text)) <= most:
+                expected[d, i] = edits
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in queries.op2_decontamination(spark, sf_dir).collect()}
+    assert got == expected and len(got) > 0
 
 
 def test_decontamination_edges(spark):
