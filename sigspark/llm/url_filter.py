@@ -1,13 +1,17 @@
-"""URL rules by a sort-merge range join, in DataFrame functions alone.
+"""URL rules by sort-merge range joins, in DataFrame functions alone.
 
-A host is spelled by its labels in reverse, each followed by a separator below every host character
+A host is spelled by its labels in reverse, each followed by a separator below every other byte of a key
 (``www.example.net`` becomes ``net|example|www|``), so a rule's host and all its subdomains are one interval of
-keys, and the intervals of a set of rules nest or are disjoint.  Rules open and close in key order, and at each of
-those events the stack of active nested rules is known from the rules alone.  One sorted sweep over events and
-pages gives each page the last event before it, whose stack is then filtered by path; the longest rule wins.
+keys.  With its path behind it, a rule is an interval of (host, path) keys in the same way.  Intervals of either kind
+nest or are disjoint, so they open and close in key order like brackets.  Two sorted sweeps judge the pages:
 
-The sweep runs apart for each (top label, slice): a top label's rules are repeated in each of its slices, and the
-number of slices follows that label's pages, so a host with a third of all pages is spread like any other.
+1. Over host keys: each page gets the stack of rule hosts that it lies in, at most one for each of its labels.
+2. Over (rule host, path) keys: a page stands there once for each host of its stack, and takes the innermost rule that is
+   open, which is the longest of that host.  A closing rule leaves its enclosing one, so no list of rules is kept.
+
+Of a page's hosts the one with the longest rule wins.  Each sweep runs apart for each group (top label, or rule host) and
+slice: a group's rules are repeated in each of its slices, and the number of slices follows that group's pages, so a
+host with a third of all pages is spread like any other.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigspark.llm import storage
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEP = "\x01"
-END = "\U0010ffff"  # above every character, so an interval closes after all its keys
 MIN_SLICE_ROWS = 20_000
 NO_RULE = "allow"
 
@@ -33,26 +38,68 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def host_key(host: Column) -> Column:
-    """Reversed labels, each with a separator; a page's host inside a rule's has the rule's key as a prefix."""
-    return F.concat(F.concat_ws(SEP, F.reverse(F.split(host, r"\."))), F.lit(SEP))
+    """Reversed labels, each with a separator; a page's host inside a rule's has the rule's key as a prefix.
+
+    A U+0001 or U+0002 of a label is spelled U+0002 and a letter, so a separator never stands inside a label.
+    """
+    safe = F.replace(F.replace(host, F.lit("\x02"), F.lit("\x02b")), F.lit(SEP), F.lit("\x02a"))
+    return F.concat(F.concat_ws(SEP, F.reverse(F.split(safe, r"\."))), F.lit(SEP))
+
+
+def _prefixes(key: Column) -> Column:
+    """The keys of a host key's host and of all hosts above it."""
+    labels = F.split(key, SEP)
+    return F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.concat(F.concat_ws(SEP, F.slice(labels, 1, n)), F.lit(SEP)))
+
+
+def _start(key: Column) -> Column:
+    return F.encode(key, "UTF-8")
+
+
+def _end(key: Column) -> Column:
+    """Above all keys that begin with ``key``, and below all others above it: no UTF-8 text holds the byte FF."""
+    return F.concat(F.encode(key, "UTF-8"), F.lit(bytearray(b"\xff")))
+
+
+def _swept(events: DataFrame, points: DataFrame, group: str, value: str) -> DataFrame:
+    """``points`` (group, at, ...) with ``value`` of the last of ``events`` (group, at, value) at or before them.
+
+    Points of a group without events fall out.  A group has as many slices as its points ask for, at ``MIN_SLICE_ROWS`` and
+    four for each of its events at least.
+    """
+    load = events.groupBy(group).agg(F.count("*").alias("events")).join(points.groupBy(group).agg(F.count("*").alias("n")), group)
+    slices = load.select(group, F.greatest(F.lit(1), F.ceil(F.col("n") / F.greatest(F.lit(MIN_SLICE_ROWS), 4 * F.col("events")))).cast("int").alias("slices"))
+    opened = events.join(slices, group).select(group, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "at", F.lit(0).alias("kind"), value)
+    dealt = points.join(slices, group).withColumns({"slice": F.pmod(F.xxhash64("row"), F.col("slices")).cast("int"), "kind": F.lit(1)}).drop("slices")
+    order = Window.partitionBy(group, "slice").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = opened.unionByName(dealt, allowMissingColumns=True)
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(order)).where("kind = 1").drop("slice", "kind", "at")
+
+
+def _host_events(keyed: DataFrame) -> DataFrame:
+    """The opening and closing of each rule host, with the stack of rule hosts that are open after it."""
+    hosts = keyed.select("key").distinct()
+    above = hosts.select("key", F.explode(_prefixes(F.col("key"))).alias("above")).join(hosts.select(F.col("key").alias("above")), "above")
+    stacks = above.groupBy("key").agg(F.collect_list("above").alias("stack"))
+    closed = F.filter("stack", lambda k: k != F.col("key"))
+    both = stacks.select("key", _start(F.col("key")).alias("at"), "stack").unionByName(stacks.select("key", _end(F.col("key")).alias("at"), closed.alias("stack")))
+    return both.select(F.split("key", SEP)[0].alias("top"), "at", "stack")
 
 
-def _events(rules: DataFrame) -> DataFrame:
-    """An opening and a closing event of each rule host, with the stack of rules active after it.
+def _path_events(keyed: DataFrame) -> DataFrame:
+    """The opening and closing of each rule in its host's paths, with the rule that is innermost after it.
 
-    Stacks come from a self-join of rule hosts on their own ancestors' keys, which is an equality on the key's
-    prefixes; its rows are bounded by the hosts times their labels.
+    A rule's enclosing one is that of its longest proper prefix, by an equality on prefixes.
     """
-    hosts = rules.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("path", "action", "rule"))).alias("own"))
-    labels = F.split(F.expr(f"substring(key, 1, length(key) - {len(SEP)})"), SEP)
-    chain = hosts.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.concat_ws(SEP, F.slice(labels, 1, n)), F.lit(SEP)))).alias("above"))
-    up = chain.join(hosts.select(F.col("key").alias("above"), "own"), "above")
-    inside = up.groupBy("key").agg(F.flatten(F.collect_list("own")).alias("stack"))
-    outside = hosts.select("key").join(up.where("above <> key").groupBy("key").agg(F.flatten(F.collect_list("own")).alias("stack")), "key", "left")
-    opening = inside.select("key", F.col("key").alias("at"), "stack")
-    closing = outside.select("key", F.concat("key", F.lit(END)).alias("at"), "stack")
-    nothing = F.array().cast("array<struct<path:string,action:string,rule:string>>")
-    return opening.unionByName(closing).select(F.split("key", SEP)[0].alias("top"), "at", F.coalesce("stack", nothing).alias("stack"))
+    rules = keyed.groupBy("key", "path").agg(F.min(F.struct("action", "rule")).alias("rule"))
+    named = rules.select("key", "path", F.struct(F.length("rule.rule").alias("n"), F.col("rule.rule").alias("rule"), F.col("rule.action").alias("action")).alias("judged"))
+    size = F.length("path")
+    shorter = named.where(size > 0).select("key", "path", F.explode(F.transform(F.sequence(F.lit(0), size - 1), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("before"))
+    outer = shorter.join(named.select("key", F.col("path").alias("before"), F.col("judged").alias("outer")), ["key", "before"])
+    outer = outer.groupBy("key", "path").agg(F.max_by("outer", F.length("before")).alias("outer"))
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
+    closed = named.join(outer, ["key", "path"], "left").select("key", _end(F.col("path")).alias("at"), F.coalesce("outer", nothing).alias("judged"))
+    return named.select("key", _start(F.col("path")).alias("at"), "judged").unionByName(closed)
 
 
 def match_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -62,25 +109,19 @@ def match_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", u
     rule's; the longest host and path win, and equal rules resolve by action order.  No rule fits: rule null, verdict
     ``allow``.  A null url, or one without ``://``, has an empty host and path and fits no rule; repeated rows and null
     ids stay; an empty table of pages gives no row, one of rules leaves every page allowed; other columns are not read.
+    Hosts and paths may hold any characters; a rule with a null host, path or action is none.
     """
-    host, path = url_parts(F.col(url_col))
-    urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("key", host_key(F.col("host"))).withColumn("top", F.split("key", SEP)[0])
-    keyed = rules.select(host_key(F.translate(F.col("host"), UPPER, UPPER.lower())).alias("key"), "path", "action", F.concat("host", "path").alias("rule")).distinct()
-    events = _events(keyed)
-    # One row for each top label among the rules; a slice has at least MIN_SLICE_ROWS pages and 4 for each of its events.
-    load = events.groupBy("top").agg(F.count("*").alias("events")).join(urls.groupBy("top").agg(F.count("*").alias("n")), "top", "left")
-    each = F.greatest(F.lit(MIN_SLICE_ROWS), 4 * F.col("events"))
-    slices = load.select("top", F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / each)).cast("int").alias("slices"))
-    opened = events.join(slices, "top").select("top", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "at", F.lit(0).alias("kind"), "stack")
-    nothing = F.lit(None).cast("array<struct<path:string,action:string,rule:string>>")
-    wide = urls.join(slices, "top", "left").withColumn("stack", nothing)
-    dealt = wide.where("slices is not null").select("top", F.pmod(F.xxhash64("page_id", "path"), "slices").cast("int").alias("slice"), F.col("key").alias("at"), F.lit(1).alias("kind"), "stack", "page_id", "host", "path")
-    swept = opened.unionByName(dealt, allowMissingColumns=True)
-    order = Window.partitionBy("top", "slice").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    active = swept.withColumn("stack", F.last("stack", ignorenulls=True).over(order)).where("kind = 1").select("page_id", "host", "path", "stack")
-    active = active.unionByName(wide.where("slices is null").select("page_id", "host", "path", "stack"))  # no rule has their top label
-    fitting = F.filter(F.coalesce("stack", nothing), lambda r: F.startswith(F.col("path"), r["path"]))
-    best = F.element_at(F.array_sort(F.transform(fitting, lambda r: F.struct((-F.length(r["rule"])).alias("longest"), r["action"].alias("action"), r["rule"].alias("rule")))), 1)
-    judged = active.withColumn("best", F.when(F.size(fitting) > 0, best))
+    host, path = url_parts(storage.col(url_col))
+    # Rows are numbered once, and written, so a task that runs again doesn't number them anew.
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), storage.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    urls = storage.materialize(numbered, "urls")
+    whole = rules.select("host", "path", "action").where("host is not null and path is not null and action is not null")
+    keyed = whole.select(host_key(F.translate(F.col("host"), UPPER, UPPER.lower())).alias("key"), "path", "action", F.concat("host", "path").alias("rule")).distinct()
+    points = urls.select("row", "path", host_key(F.col("host")).alias("host_key"))
+    points = points.select("row", "path", F.split("host_key", SEP)[0].alias("top"), _start(F.col("host_key")).alias("at"))
+    inside = _swept(_host_events(keyed), points, "top", "stack").select("row", F.explode("stack").alias("key"), _start(F.col("path")).alias("at"))
+    hits = _swept(_path_events(keyed), inside, "key", "judged").where("judged.rule is not null")
+    # The longest rule of a page's hosts; equally long ones are one rule spelled in different ways, and go by their order.
+    best = hits.groupBy("row").agg(F.max_by("judged", F.struct(F.col("judged.n").alias("n"), F.length("key").alias("k"))).alias("best"))
+    judged = urls.join(best, "row", "left")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(NO_RULE)).alias("verdict"))

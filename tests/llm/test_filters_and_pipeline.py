@@ -207,8 +207,9 @@ def test_url_rules_nest_and_hot_hosts_are_sliced(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MIN_SLICE_ROWS", 16)
     rng = random.Random(6)
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.example.net", "/", "block"), ("b.a.example.net", "/x", "allow"), ("com", "/q", "block"), ("le.net", "/", "allow")]
-    hosts = ["example.net", "www.example.net", "a.example.net", "c.b.a.example.net", "xle.net", "le.net", "net", "Q.COM", "org", "", "example.net.", "exam-ple.net"]
-    urls = [f"{rng.choice(['http', 'x', ''])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/x', '/xy', '/q?z=/', '#/en/', '?a/b'])}" for _ in range(400)] + [None, "", "no scheme", "http://", "a://b://c/d", "http://net/\n/en/"]
+    rules += [("com", "", "allow"), ("com", "/q/a", "allow"), ("com", "/q/a/b", "block"), ("com", "/q/ab", "block"), ("a\x01net", "/", "block"), ("a", "/x", "block"), ("com", "/\U0010ffff", "block")]
+    hosts = ["example.net", "a\x01net", "a", "b.a\x01net", "a\x02net", "x.com", "com", "www.example.net", "a.example.net", "c.b.a.example.net", "xle.net", "le.net", "net", "Q.COM", "org", "", "example.net.", "exam-ple.net"]
+    urls = [f"{rng.choice(['http', 'x', ''])}://{rng.choice(hosts)}{rng.choice(['', '/', '/en/x', '/xy', '/q?z=/', '#/en/', '?a/b', '/q/a', '/q/a/bc', '/q/a/c', '/q/abc', '/\U0010ffff\U0010ffffz', '/q/'])}" for _ in range(900)] + [None, "", "no scheme", "http://", "a://b://c/d", "http://net/\n/en/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://net/", "h"), (0, urls[0], "h")], "page_id long, url string, host string")
     table = spark.createDataFrame(rules, "host string, path string, action string")
     got = url_filter.match_urls(pages, table).collect()
