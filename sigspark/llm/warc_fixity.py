@@ -1,9 +1,10 @@
 """WARC archives and a Merkle fixity audit of their replicas.
 
-A shard is a WARC file of gzip records.  The hash of a record's stored bytes is a leaf; ``FANOUT`` neighbours in
-offset order make a node, which covers the range from its first offset to its last end, up to one root for each
-shard, and shards are gathered likewise up to the root of the archive.  Two replicas are compared from the root:
-only the children of a node whose hashes differ are looked at.
+A shard is a WARC file of gzip records.  The hash of a record's offset range and stored bytes is a leaf, and so is that of
+what a file has behind its last record; ``FANOUT`` neighbours in offset order make a node, whose hash is of its range, from
+its first offset to its last end, and its children's hashes, up to one root for each shard, and shards are gathered
+likewise up to the root of the archive.  Two replicas are compared from the root: only the children of a node whose
+hashes differ are looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from sigspark.llm import storage
 
 FANOUT = 16
 DATE = "2024-01-01T00:00:00Z"
+READ_BYTES = 4 << 20  # records are read in runs of about so many bytes
 INDEX = "shard int, seq long, offset long, length long, page_id long, path string"
 
 
@@ -61,6 +63,14 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
         shard, at = TaskContext.get().partitionId(), 0
         path = f"{folder}/shard-{shard:06d}.warc.gz"
         rows: list[tuple] = []
+        seq = 0
+        kinds = [pa.int32(), *[pa.int64()] * 4, pa.string()]
+
+        def indexed() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -70,22 +80,24 @@ def write_warc(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_co
                 for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                     stored = record(page_id, url.as_py(), html.as_py())
                     out.write(stored)
-                    rows.append((shard, len(rows), at, len(stored), page_id, path))
+                    rows.append((shard, seq, at, len(stored), page_id, path))
+                    seq += 1
                     at += len(stored)
+                    if len(rows) == 1 << 16:
+                        yield indexed()
                 batch = next(batches, None)
-        kinds = [pa.int32(), *[pa.int64()] * 4, pa.string()]
-        for k in range(0, len(rows), 1 << 16):
-            columns = zip(*rows[k : k + (1 << 16)], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+        if rows:
+            yield indexed()
 
-    named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    named = pages.select(storage.col(id_col).cast("long").alias("page_id"), storage.col(url_col).alias("url"), storage.col(html_col).alias("html"))
     return storage.materialize(storage.map_batches(named, run, INDEX), "warc-index")
 
 
 def copy_with_faults(index: DataFrame, folder: str, flip: Column) -> DataFrame:
     """A replica of an archive under ``folder`` in which the records with ``flip`` have one bit changed: shard, path.
 
-    It stands for the decay that an audit looks for, and is what tests and the demonstration query audit.
+    It stands for the decay that an audit looks for, and is what tests and the demonstration query audit.  A record of a
+    null ``flip``, or of no bytes, stays as it is; an empty index gives no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,33 +122,60 @@ def copy_with_faults(index: DataFrame, folder: str, flip: Column) -> DataFrame:
     return storage.materialize(storage.map_batches(marks, run, "shard int, path string"), "warc-replica")
 
 
+class _Runs:
+    """Ranges of a file that are asked for in rising order, read ``READ_BYTES`` at a time."""
+
+    def __init__(self, path: str):
+        files, inside = storage.open_fs(path)
+        self.file = files.open_input_file(inside)
+        self.size = self.file.size()
+        self.at, self.held = 0, b""
+
+    def get(self, offset: int, length: int) -> bytes:
+        """The bytes that there are of a range."""
+        length = max(0, min(length, self.size - offset))
+        if offset < self.at or offset + length > self.at + len(self.held):
+            self.at, self.held = offset, self.file.read_at(max(length, min(READ_BYTES, self.size - offset)), offset) if length else b""
+        return self.held[offset - self.at : offset - self.at + length]
+
+    def rest(self, offset: int) -> str:
+        """The hash of all that stands at ``offset`` and behind it, a part at a time."""
+        digest = hashlib.sha256()
+        while part := self.get(offset, READ_BYTES):
+            digest.update(part)
+            offset += len(part)
+        return digest.hexdigest()
+
+
 def hash_records(index: DataFrame, replica: DataFrame) -> DataFrame:
     """The leaves of a replica: shard, seq, offset, length, hash of the bytes stored at each record's place.
 
-    ``replica`` has shard and path.  Bytes that are missing in the file leave what there is to be hashed; a missing
-    shard has the hash ``missing``.
+    ``replica`` has shard and path.  One more leaf of each shard, behind its last record and of length 0 in the index,
+    holds what the file has there.  Bytes that are missing in the file leave what there is to be hashed; a missing
+    shard has the hash ``missing``; an empty index gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened: tuple[str | None, pa.NativeFile | None] = (None, None)
+        opened: tuple[str | None, _Runs | None] = (None, None)
         for batch in batches:
             hashes = []
-            for path, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
+            for path, offset, length, tail in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length", "tail")), strict=True):
                 if path is not None and opened[0] != path:
-                    files, inside = storage.open_fs(path)
                     try:
-                        opened = (path, files.open_input_file(inside))
+                        opened = (path, _Runs(path))
                     except FileNotFoundError:
                         opened = (path, None)
                 file = opened[1] if path is not None else None
                 if file is None:
                     hashes.append("missing")
                 else:
-                    there = max(0, min(length, file.size() - offset))
-                    hashes.append(hashlib.sha256(file.read_at(there, offset) if there else b"").hexdigest())
+                    hashes.append(file.rest(offset) if tail else hashlib.sha256(file.get(offset, length)).hexdigest())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "seq", "offset", "length")), pa.array(hashes, pa.string())], names=["shard", "seq", "offset", "length", "hash"])
 
-    rows = index.select("shard", "seq", "offset", "length").join(replica.select("shard", "path"), "shard", "left")
+    records = index.select("shard", "seq", "offset", "length", F.lit(False).alias("tail"))
+    tails = index.groupBy("shard").agg((F.max("seq") + 1).alias("seq"), F.max(F.col("offset") + F.col("length")).alias("offset"))
+    rows = records.unionByName(tails.select("shard", "seq", "offset", F.lit(0).cast("long").alias("length"), F.lit(True).alias("tail")))
+    rows = rows.join(replica.select("shard", "path"), "shard", "left")
     # Runs of a shard's records stay together, whatever a shard's size.
     spread = rows.repartition("shard", F.floor(F.col("seq") / 4096)).sortWithinPartitions("shard", "seq")
     return storage.map_batches(spread, run, "shard int, seq long, offset long, length long, hash string")
@@ -152,9 +191,15 @@ class Level(NamedTuple):
 def merkle_levels(leaves: DataFrame, name: str) -> list[Level]:
     """The levels of a replica's tree, leaves first.
 
-    Up to a shard's root grp is the shard; from there up it is -1 and nodes are runs of shards.
+    Up to a shard's root grp is the shard; from there up it is -1 and nodes are runs of shards.  A hash is of the node's
+    range too, so bytes that have moved differ.  No leaves give levels without nodes.
     """
+
+    def ranged(content: Column) -> Column:
+        return F.sha2(F.concat_ws(",", "start", "end", content), 256)
+
     first = leaves.select(F.col("shard").cast("long").alias("grp"), F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash")
+    first = first.withColumn("hash", F.when(F.col("hash") == "missing", F.col("hash")).otherwise(ranged(F.col("hash"))))
     levels = [Level(storage.materialize(first, f"{name}-leaves"))]
 
     def climb() -> None:
@@ -162,7 +207,7 @@ def merkle_levels(leaves: DataFrame, name: str) -> list[Level]:
         while most > 1:
             ordered = F.sort_array(F.collect_list(F.struct("node", "hash")))
             joined = F.concat_ws(",", F.transform(ordered, lambda x: x["hash"]))
-            above = levels[-1].nodes.groupBy("grp", F.floor(F.col("node") / FANOUT).alias("node")).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(joined, 256).alias("hash"))
+            above = levels[-1].nodes.groupBy("grp", F.floor(F.col("node") / FANOUT).alias("node")).agg(F.min("start").alias("start"), F.max("end").alias("end"), joined.alias("hash")).withColumn("hash", ranged(F.col("hash")))
             levels.append(Level(storage.materialize(above, f"{name}-nodes")))
             most = -(-most // FANOUT)
 
@@ -176,7 +221,9 @@ def merkle_levels(leaves: DataFrame, name: str) -> list[Level]:
 def audit(ours: list[Level], theirs: list[Level], index: DataFrame) -> DataFrame:
     """Descend two trees of the same index and return the records whose bytes differ.
 
-    Returns page_id, shard, seq, offset, length, ours, theirs (hashes).  Only children of differing nodes are compared.
+    Returns page_id, shard, seq, offset, length, ours, theirs (hashes of a record's range and bytes).  Only children of
+    differing nodes are compared.  Bytes behind a shard's last record give a row of page_id null and length 0; repeated
+    pages are records of their own; two empty trees give no row.
     """
     wanted = None
     for k in range(len(ours) - 1, -1, -1):
@@ -187,7 +234,8 @@ def audit(ours: list[Level], theirs: list[Level], index: DataFrame) -> DataFrame
         differ = a.join(theirs[k].nodes.select("grp", "node", F.col("hash").alias("other")), ["grp", "node"], "left").where("not (hash <=> other)")
         wanted = differ.select(F.struct("grp", "node").alias("up"))
     found = differ.select(F.col("grp").cast("int").alias("shard"), F.col("node").alias("seq"), F.col("hash").alias("ours"), F.col("other").alias("theirs"))
-    return index.drop("path").join(found, ["shard", "seq"]).select("page_id", "shard", "seq", "offset", "length", "ours", "theirs")
+    spots = found.join(ours[0].nodes.select(F.col("grp").cast("int").alias("shard"), F.col("node").alias("seq"), F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length")), ["shard", "seq"])
+    return spots.join(index.select("shard", "seq", "page_id"), ["shard", "seq"], "left").select("page_id", "shard", "seq", "offset", "length", "ours", "theirs")
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

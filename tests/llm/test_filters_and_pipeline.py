@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sigspark.llm import chat_format, decontaminate, language_id, media, near_dup, queries, storage, url_filter, warc_fixity
@@ -180,8 +181,15 @@ def test_fixity_of_missing_shards_and_record_round_trip(spark):
     lost = index.agg({"shard": "min"}).first()[0]
     half = warc_fixity.merkle_levels(warc_fixity.hash_records(index, primary.where(f"shard <> {lost}")), "b")
     found = warc_fixity.audit(ours, half, index).collect()
-    assert len(found) == index.where(f"shard = {lost}").count() and {r["theirs"] for r in found} == {"missing"}
+    assert len(found) == index.where(f"shard = {lost}").count() + 1 and {r["theirs"] for r in found} == {"missing"}
     assert warc_fixity.audit(ours, ours, index).collect() == []
+    copy = warc_fixity.copy_with_faults(index, storage.new_dir(spark, "mirror"), F.lit(None).cast("boolean"))
+    path = copy.where(f"shard = {lost}").first()["path"].removeprefix("file://")
+    with open(path, "ab") as file:
+        file.write(b"more")
+    grown = warc_fixity.merkle_levels(warc_fixity.hash_records(index, copy), "d")
+    at = index.where(f"shard = {lost}").agg(F.max(F.col("offset") + F.col("length"))).first()[0]
+    assert [(r["page_id"], r["shard"], r["offset"], r["length"]) for r in warc_fixity.audit(ours, grown, index).collect()] == [(None, lost, at, 0)]
     nothing, none = warc_fixity.archive(pages.limit(0))
     empty = warc_fixity.merkle_levels(warc_fixity.hash_records(nothing, none), "c")
     assert warc_fixity.audit(empty, empty, nothing).collect() == []
