@@ -89,7 +89,7 @@ def format_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
             done = [render(role.as_py(), text.as_py()) for role, text in zip(batch.column("role"), batch.column("text"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.bool_())], names=["conv_id", "turn", "formatted", "escaped"])
 
-    named = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    named = turns.select(storage.col(conv_col).cast("long").alias("conv_id"), storage.col(turn_col).cast("long").alias("turn"), storage.col(role_col).alias("role"), storage.col(text_col).alias("text"))
     return storage.map_batches(named, run, "conv_id long, turn long, formatted string, escaped boolean")
 
 
@@ -115,7 +115,9 @@ class _Digest:
 def audit_conversations(formatted: DataFrame) -> DataFrame:
     """Reparse formatted conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, escaped_turns.
 
-    The loss mask covers the assistant's texts; turns of the same number follow each other by their text.
+    The loss mask covers the assistant's texts; turns of the same number follow each other by their text.  A null or empty
+    ``formatted`` holds no turn; repeated rows are turns of their own; rows of a null conversation are one; an empty table
+    gives no row; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,7 @@ def audit_conversations(formatted: DataFrame) -> DataFrame:
                     if digest is not None:
                         done.append((current, *digest.row()))
                     current, digest = conv, _Digest()
-                digest.add(text.as_py())
+                digest.add(text.as_py() or "")
             if len(done) >= 4096:
                 yield out()
         if digest is not None:

@@ -1,9 +1,10 @@
 """Language identification: scripts narrow the candidates, and Viterbi labels spans of mixed-language text.
 
 The model holds, for each language, smoothed log shares of hashed letter trigrams (with word borders), and the
-scripts that the language is written in.  A word scores the sum of its trigrams for each candidate language, and the
-best path over a text's words, with a penalty for each change of language, gives its spans.  The text's language is
-that of most of its letters.
+scripts that the language is written in.  A word's script (that of its first letter) narrows its candidates to the
+languages written in it; in a script that no language is written in, all are.  Only languages that some word of a text has
+for a candidate are scored, by the sum of the word's trigrams, and the best path over the words, with a penalty for each
+change of language, gives the text's spans.  The text's language is that of most of its letters.
 
 Where no language but the best one ever gains half a penalty on it over any run of words, no change can pay, so the
 best path is that one language; this test is a prefix sum, and only other texts need the word-by-word recursion.
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from sigspark.llm import storage
 
@@ -26,9 +28,9 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 SWITCH = 12.0
 SCRIPT_SHARE = 1e-3
-OUTSIDE = -8.0  # the score of a word in a script that the language isn't written in
+OUTSIDE = -1e6  # of a language that is no candidate of a word: less than any path that avoids it
+_HASHES = 1 << 63
 TRAIN_CHARS = 4_000_000  # characters of text of each language, at most about so many, that a model is fitted on
-SLICE = 10_000
 
 # First code points of the blocks that tell scripts apart, in order; each reaches to the next.
 SCRIPTS = [(0x0000, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0700, "Other"), (0x0900, "Devanagari"), (0x0980, "Bengali"), (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Other"), (0x0B80, "Tamil"), (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"), (0x0E00, "Thai"), (0x0E80, "Lao"), (0x0F00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x13A0, "Other"), (0x1780, "Khmer"), (0x1800, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x323B0, "Other")]
@@ -68,15 +70,18 @@ class Model:
     written: np.ndarray  # scripts x languages
     switch: float = SWITCH
 
-    def word_scores(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each word for each language, and the letters of each word."""
+    def word_scores(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of each word for each candidate language of the text, these languages, and the letters of each word."""
         bucket, first, script = letters(text)
-        if not len(first):
-            return np.empty((0, len(self.languages)), np.float32), first
-        score = np.add.reduceat(self.scores[bucket], first, axis=0)
-        if not self.written[script].all():
-            score = score + np.where(self.written[script], 0, OUTSIDE).astype(np.float32)
-        return score, np.diff(np.r_[first, len(bucket)])
+        if not len(first) or not self.languages:
+            return np.empty((0, 0), np.float32), np.empty(0, np.int64), np.empty(0, np.int64)
+        n = np.diff(np.r_[first, len(bucket)])
+        open_to = self.written[script]
+        among = np.flatnonzero(open_to.any(axis=0))
+        score = np.add.reduceat(self.scores[bucket] if len(among) == len(self.languages) else self.scores[bucket][:, among], first, axis=0)
+        if not open_to[:, among].all():
+            score = np.where(open_to[:, among], score, np.float32(OUTSIDE))
+        return score, among, n
 
     def path(self, score: np.ndarray) -> np.ndarray:
         """The language of each word on the best path."""
@@ -90,19 +95,19 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language of most letters and their share; ``und`` and 0 where there is no letter."""
-        score, n = self.word_scores(text)
-        if not len(n) or not self.languages:
+        score, among, n = self.word_scores(text)
+        if not len(n):
             return UNKNOWN, 0.0
-        share = np.bincount(self.path(score), weights=n, minlength=len(self.languages))
+        share = np.bincount(self.path(score), weights=n, minlength=len(among))
         best = int(share.argmax())
-        return self.languages[best], float(share[best] / share.sum())
+        return self.languages[among[best]], float(share[best] / share.sum())
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """Runs of words of one language: language, first word, end word."""
-        score, n = self.word_scores(text)
-        if not len(n) or not self.languages:
+        score, among, n = self.word_scores(text)
+        if not len(n):
             return []
-        path = self.path(score)
+        path = among[self.path(score)]
         at = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
         return [(self.languages[path[a]], int(a), int(b)) for a, b in zip(at, np.r_[at[1:], len(path)], strict=True)]
 
@@ -136,15 +141,16 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     The sample takes whole texts by a hash of their id.  Rows without a label, text or id don't count; no rows at all
     give a model of no language.  What comes to the driver is a count for each language and bucket.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
+    rows = docs.select(storage.col(id_col).alias("doc_id"), storage.col(text_col).alias("text"), storage.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.ones((len(NAMES), 0), bool), switch)
     languages = sorted(sizes)
-    bar = F.lit(0)
+    # A text is in the sample if its hash, of 63 bits, is below its language's share of them: alike at every size.
+    bar = F.lit(0).cast("long")
     for name in languages:
-        bar = F.when(F.col("lang") == name, int(SLICE * min(1.0, chars / max(1, sizes[name])) + 0.5)).otherwise(bar)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICE)) < bar)
+        bar = F.when(F.col("lang") == name, F.lit(min(_HASHES - 1, _HASHES * chars // max(1, sizes[name]))).cast("long")).otherwise(bar)
+    sample = rows.where(F.xxhash64("doc_id").bitwiseAND(F.lit(_HASHES - 1)) <= bar)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -175,15 +181,15 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col:
 
     A null text, or one without a letter, is ``und`` with score 0; repeated rows stay; an empty table gives no row.
     """
-    kept = [f for f in docs.schema.fields if f.name not in (pred_col, score_col)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{pred_col}` string", f"`{score_col}` double"])
+    kept = [f for f in docs.schema.fields if f.name.lower() not in (pred_col.lower(), score_col.lower())]
+    schema = StructType([*kept, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.predict(text.as_py()) for text in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*(f.name for f in kept), pred_col, score_col])
 
-    return storage.map_batches(docs.select(*(f"`{f.name}`" for f in kept)), run, schema)
+    return storage.map_batches(docs.select(*(storage.col(f.name) for f in kept)), run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from sigspark.llm import storage
 
@@ -96,6 +96,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     rows = rows[::-1] if h > 0 else rows
     if bits == 8:
         n = struct.unpack_from("<46xI", data)[0] or 256
+        if n > 256 or len(data) < 14 + head + 4 * n:
+            raise MediaError("BMP colours")
         colours = np.zeros((256, 3), np.uint8)
         colours[:n] = np.frombuffer(data, np.uint8, 4 * n, 14 + head).reshape(n, 4)[:, 2::-1]
         return colours[rows[:, :w]]
@@ -166,7 +168,14 @@ def texts_to_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 media.append(encode_ppm(np.frombuffer(payload, np.uint8).reshape(-1, PAYLOAD_WIDTH, 3)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return storage.map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_bytes long, media binary")
+    return storage.map_batches(docs.select(storage.col(id_col).cast("long").alias("doc_id"), storage.col(text_col).alias("text")), run, "doc_id long, n_bytes long, media binary")
+
+
+_FEATURES = {
+    "payload_bytes": (LongType(), pa.int64()), "payload_sha256": (StringType(), pa.string()), "tail_crc32": (LongType(), pa.int64()),
+    "media_bytes": (LongType(), pa.int64()), "media_sha256": (StringType(), pa.string()), "feature": (StringType(), pa.string()),
+    "height": (IntegerType(), pa.int32()), "width": (IntegerType(), pa.int32()), "tile": (BinaryType(), pa.binary()),
+}
 
 
 def media_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:
@@ -174,10 +183,11 @@ def media_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:
     (difference hash), height, width and tile (NPY).
 
     Bytes that are null or no whole image give nulls in all of these but media_bytes and media_sha256 (null for null).
+    Other columns of any names stay, but for those of the added names, whose place these take; repeated rows stay; an
+    empty table gives no row.
     """
-    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, tile binary"
-    kept = [f for f in media.schema.fields if f.name != media_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    kept = [f for f in media.schema.fields if f.name != media_col and f.name.lower() not in _FEATURES]
+    schema = StructType([*kept, *(StructField(name, kind) for name, (kind, _) in _FEATURES.items())])
 
     def one(data: bytes | None) -> tuple:
         if data is None:
@@ -191,14 +201,13 @@ def media_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:
         return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, difference_hash(image), *image.shape[:2], tile(image))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
-        names = [x.split()[0] for x in added.split(", ")]
+        kinds, names = [kind for _, kind in _FEATURES.values()], [*(f.name for f in kept), *_FEATURES]
         for batch in batches:
             rows = [one(x.as_py()) for x in batch.column(media_col)]
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, names=[f.name for f in kept] + names)
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, names=names)
 
-    return storage.map_batches(media.select(*(f.name for f in kept), media_col), run, f"{schema}, {added}")
+    return storage.map_batches(media.select(*(storage.col(c) for c in [*(f.name for f in kept), media_col])), run, schema)
 
 
 def stored_media(docs: DataFrame, **columns: str) -> DataFrame:

@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id is one document whose rows' links are joined; a null id stays alone (component null, kept).  An empty table
     gives no row; other columns are not read.  Sets link at a similarity of ``percent`` hundredths or more.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(storage.col(id_col).cast("long").alias("doc_id"), storage.col(text_col).alias("text"))
     sigs = storage.materialize(storage.map_batches(texts, _signatures(tables), _SIG), "signatures")
     worded = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = storage.materialize(worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles")), "classes")

@@ -144,7 +144,7 @@ def pack_sequences(docs: DataFrame, *, capacity: int = CAPACITY, slack: int | No
     a sequence may have that no later round tries to fill.
     """
     slack = capacity // 128 if slack is None else slack
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(storage.col(id_col).cast("long").alias("doc_id"), storage.col(text_col).alias("text"))
     packed = storage.materialize(storage.map_batches(rows, _leaf(capacity, slack, end_id, vocabulary), SCHEMA), "packed-0")
     done = [packed.where("not open")]
     left = packed.where("open")

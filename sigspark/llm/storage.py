@@ -85,17 +85,19 @@ def committed(uri: str) -> Iterator[pa.NativeFile]:
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
     """``mapInArrow`` whose workers give memory back when a task ends: Spark reuses them, and what a stage needed at its
-    peak would otherwise stay with its workers while later stages run."""
+    peak would otherwise stay with its workers while later stages run.  Columns may have any names: ``mapInArrow`` alone
+    takes a dot in one for a field's."""
+    names = df.columns
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(b.rename_columns(names) for b in batches)
         finally:
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
                 ctypes.CDLL(None).malloc_trim(0)
 
-    return df.mapInArrow(task, schema)
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(task, schema)
 
 
 def input_bytes(df: DataFrame, column: str) -> int:

@@ -28,6 +28,7 @@ from sigspark.llm.tokens import END_ID, VOCABULARY, encoder
 
 FRAME_BYTES = 256 * 1024
 SHARD_TEXT_BYTES = 24 << 20
+RUN_SHARDS = 4096
 LEVEL = 3
 MAGIC = b"SGTOKFR1"
 _FOOTER = struct.Struct("<8sIIQQQ")  # magic, id width, frames, documents, table offset, table bytes
@@ -118,7 +119,7 @@ def write_token_frames(docs: DataFrame, folder: str, *, id_col: str = "doc_id",
     comes first; an empty table gives no shard; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(storage.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(storage.col(text_col), F.lit("")).alias("text"))
     n = storage.parts_for(spark, storage.input_bytes(rows, "text"), SHARD_TEXT_BYTES)
     ordered = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
 
@@ -143,8 +144,12 @@ def write_token_frames(docs: DataFrame, folder: str, *, id_col: str = "doc_id",
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     manifest = storage.materialize(storage.map_batches(ordered, write, "shard int, path string, n_docs long, n_tokens long"), "token-manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # Starts by runs of RUN_SHARDS shards: only one row for each run is ordered in one task.
+    runs = manifest.withColumn("run", F.floor(F.col("shard") / RUN_SHARDS))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    base = runs.groupBy("run").agg(F.sum("n_tokens").alias("ids")).withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).drop("ids")
+    inside = Window.partitionBy("run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.join(base, "run").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).drop("run", "base")
 
 
 def read_token_frames(manifest: DataFrame, wanted: set[int] | None = None) -> DataFrame:

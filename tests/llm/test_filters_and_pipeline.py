@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
-from sigspark.llm import chat_format, decontaminate, language_id, media, near_dup, queries, storage, url_filter, warc_fixity
+from sigspark.llm import chat_format, decontaminate, language_id, media, near_dup, queries, storage, token_frames, url_filter, warc_fixity
 
 # Language identification
 
@@ -59,6 +60,36 @@ def test_languages_spans_scripts_and_edges(spark):
     assert nothing.predict("abc") == ("und", 0.0)
 
 
+def test_scripts_narrow_the_candidates():
+    languages = ["de", "el", "en"]
+    scores = np.zeros((language_id.BUCKETS, 3), np.float32)
+    scores[:, 1] = 50  # Greek would win everywhere
+    written = np.ones((len(language_id.NAMES), 3), bool)
+    written[language_id.NAMES.index("Latin")] = [True, False, True]
+    written[language_id.NAMES.index("Greek")] = [False, True, False]
+    model = language_id.Model(languages, scores, written)
+    assert model.word_scores("only latin here")[1].tolist() == [0, 2]
+    assert model.predict("only latin here")[0] == "de" and model.predict("λόγος")[0] == "el"
+    assert [x for x, *_ in model.spans("some words λόγος more words")] == ["de", "el", "de"]
+
+
+def test_language_query_is_the_plain_viterbi(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    held = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.fit(held.where(~language_id.held_out(F.col("doc_id"))))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op5_language_id(spark, sf_dir).collect()}
+    for doc_id, text in docs:
+        score, among, n = model.word_scores(text)
+        if not len(n):
+            assert got[doc_id] == ("und", 0.0)
+            continue
+        path = model.path(score)
+        total = sum(float(score[i, p]) for i, p in enumerate(path)) - model.switch * int((np.diff(path) != 0).sum())
+        assert total == pytest.approx(best_path(score, model.switch), rel=1e-4, abs=1e-2)
+        share = np.bincount(path, weights=n, minlength=len(among))
+        assert got[doc_id] == (model.languages[among[share.argmax()]], pytest.approx(share.max() / share.sum()))
+
+
 # Decontamination
 
 
@@ -258,6 +289,27 @@ def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     assert set(kept[2]) - set(kept[3]) == {50}
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == set(kept[3])
+    (folder,) = {r["tokens"] for r in packed}
+    stored = {r["doc_id"]: r["n_tokens"] for r in token_frames.read_token_frames(spark.read.parquet(f"{folder}/manifest")).collect()}
+    assert stored == {i: sum(r["length"] for r in packed if r["doc_id"] == i) for i in kept[3]}
+
+
+def test_pipeline_stages_keep_columns_of_any_names(spark, tmp_path):
+    sf_dir = f"file://{tmp_path}"
+    extra = ["n_removed", "kept", "n_bytes", "tile", "a.b", "found_lang", "cut_kept", "rep", "grp", "dest", "shingles", "component_id", "item_id", "c0", "x`y", "Found_Share"]
+    texts = [(1, "the house and where they should think of it all day long"), (1, "the house and where they should think of it all day long"), (2, None), (3, ""), (None, "nothing else like this one, a text of no id"), (4, "une maison " * 9000), (5, "the house and where they should think of it all day long again")]
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType()), *(StructField(c, StringType()) for c in extra)])
+    docs = spark.createDataFrame([(i, t, "en", None, None, *extra) for i, t in texts], schema)
+    spark.createDataFrame([(1, "no such text in any of the documents here")], "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, empty = (storage.materialize(stage(spark, x, sf_dir), name) for x in (docs, empty))
+        assert docs.schema.names == empty.schema.names == schema.names
+        assert all([r[c] for c in extra] == extra for r in docs.collect()) and empty.count() == 0
+    assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "1", "4", "None"]
+    packed = corpus_pipeline.best_fit_packing(spark, docs, sf_dir)
+    assert {r["doc_id"] for r in packed.collect()} == {1, 4, None}
+    assert corpus_pipeline.best_fit_packing(spark, empty, sf_dir).count() == 0
 
 
 def test_pipeline_drops_near_copies_of_similarity_80(spark):

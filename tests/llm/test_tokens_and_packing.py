@@ -69,6 +69,7 @@ def test_token_query_is_the_library(spark, sf_dir, encoded):
 
 def test_token_frames_edges_and_selective_reads(spark, monkeypatch):
     monkeypatch.setattr(token_frames, "FRAME_BYTES", 64)
+    monkeypatch.setattr(token_frames, "RUN_SHARDS", 2)
     rows = [(3, "x y z" * 50), (1, None), (None, "null id"), (2, ""), (3, "x y z" * 50), (2, "tie"), (-5, "first")]
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, start string")
     manifest = token_frames.write_token_frames(df, storage.new_dir(spark, "t"))
@@ -239,3 +240,23 @@ def test_chat_edges(spark):
     assert chat_format.audit_conversations(chat_format.formatted_table(df.limit(0))).collect() == []
     with pytest.raises(chat_format.GrammarError):
         chat_format.parse("[INST]x[/OUT]\n")
+
+
+def test_media_features_edges(spark):
+    colours = bytearray(media.encode_bmp(np.zeros((2, 2, 3), np.uint8)))
+    colours[28], colours[46:50] = 8, (300).to_bytes(4, "little")
+    rows = [(1, None), (2, b""), (3, b"BM"), (4, bytes(colours)), (5, media.encode_bmp(np.zeros((2, 2, 3), np.uint8))), (5, media.encode_bmp(np.zeros((2, 2, 3), np.uint8)))]
+    df = spark.createDataFrame([(i, m, "t", "x", "y") for i, m in rows], "doc_id long, media binary, tile string, Feature string, `a.b` string")
+    out = media.media_features(df)
+    assert out.columns[:2] == ["doc_id", "a.b"]
+    got = {r["doc_id"]: (r["payload_bytes"], r["media_bytes"], r["a.b"]) for r in out.collect()}
+    assert got == {1: (None, None, "y"), 2: (None, 0, "y"), 3: (None, 2, "y"), 4: (None, len(colours), "y"), 5: (12, 70, "y")}
+    assert out.count() == 6 and media.media_features(df.limit(0)).collect() == []
+    with pytest.raises(media.MediaError):
+        media.decode(bytes(colours))
+
+
+def test_audit_of_null_and_repeated_turns(spark):
+    df = spark.createDataFrame([(1, 0, None, "e"), (2, 0, "[INST]a[/INST]\n", "e"), (2, 0, "[INST]a[/INST]\n", "e"), (None, 1, "[OUT]b[/OUT]\n", "e")], "conv_id long, turn long, formatted string, n_turns string")
+    assert {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat_format.audit_conversations(df).collect()} == {1: (0, 0), 2: (2, 0), None: (1, 1)}
+    assert chat_format.audit_conversations(df.limit(0)).collect() == []
