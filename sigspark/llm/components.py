@@ -14,7 +14,8 @@ def _stars(edges: DataFrame, *, large: bool) -> DataFrame:
     """Hang nodes onto the least neighbour: from each node its greater neighbours (large), or itself and its lesser ones."""
     if large:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least"))
+        # Written first, so that the join shuffles both sides, and Spark can split a node with very many neighbours.
+        least = storage.materialize(both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("least")), "least")
         hung = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
     else:
         least = edges.groupBy("src").agg(F.min("dst").alias("least"))
