@@ -10,5 +10,3 @@ VECTORS = "snip_id long, features array<double>, label int"
 WAVEFORMS = "cell_id int, w array<array<double>>"
 SPIKES = "cell_id int, t double, amp double"
 MATCHES = "cell_id int, est_idx long, true_idx long"
-SOCP = "prob_id long, c array<double>, h array<double>, b array<double>, g array<struct<i:int,j:int,v:double>>, a array<struct<i:int,j:int,v:double>>, l int, q array<int>"
-SOLUTION = "prob_id long, x array<double>, y array<double>, s array<double>, z array<double>, exitflag int, pcost double, dcost double, gap double, iter int"

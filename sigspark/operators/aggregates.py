@@ -11,9 +11,13 @@ from sigspark.functions.columns import bin_of
 from sigspark.operators.joins import band_join
 
 
-def centered(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """Each channel less its mean; the means are one row, joined on a constant key."""
-    means = wide.agg(*(F.avg(c).alias(f"_m_{c}") for c in channels)).first()
+def centered(wide: DataFrame, channels: Sequence[str], digits: int | None = None) -> DataFrame:
+    """Each channel less its mean; the means, one number for each channel, come to the driver.
+
+    With ``digits`` values are summed as decimals of so many digits, so a mean doesn't depend on the order of its sum.
+    """
+    mean = F.avg if digits is None else lambda c: F.sum(F.col(c).cast(f"decimal(38,{digits})")).cast("double") / F.count(c)
+    means = wide.agg(*(mean(c).alias(f"_m_{c}") for c in channels)).first()
     return wide.withColumns({c: F.col(c) - F.lit(means[f"_m_{c}"]) for c in channels})
 
 

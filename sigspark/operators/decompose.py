@@ -1,28 +1,20 @@
-"""Sparse decomposition of snippets and batches of cone programs, in parallel over rows."""
+"""Templates in a trace: snippets, greedy pursuit of spikes, their reconstruction, and waveforms fitted again.
+
+The pursuit is a row of Spark jobs over the whole trace: filters in blocks, local peaks, and a join that takes the found
+templates away.  No snippet is solved by a local program.
+"""
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.functions import polar
-from sigspark.functions.conic import solve_socp
+from sigspark.operators import aggregates, windows
 from sigspark.operators.joins import band_join
 
-FOUND = "rec_id string, snip_id long, cell_id int, t double, amp double"
-
-_CORES: dict[str, Callable[[np.ndarray, polar.Dictionary, polar.Settings], list[tuple[int, float, float]]]] = {"polar": polar.decompose}
-
-
-def register_core(name: str, core: Callable[[np.ndarray, polar.Dictionary, polar.Settings], list[tuple[int, float, float]]]) -> None:
-    """Offer another decomposition of a snippet, by name; it is shipped to the tasks that use it."""
-    _CORES[name] = core
-
 
 def snippet_rows(trace: DataFrame, snippets: DataFrame, channels: Sequence[int], *, rec: str = "rec_id") -> DataFrame:
     """Snippets (start, end, center) with their samples, time by channel: rec_id, snip_id, center, len, data."""
@@ -35,25 +27,44 @@ def snippet_rows(trace: DataFrame, snippets: DataFrame, channels: Sequence[int],
     return at.groupBy(rec, "snip_id", "center", "len").agg(F.transform(ordered, lambda p: p["x"]).alias("data"))
 
 
-def infer(snippets: DataFrame, waveforms: list[np.ndarray], settings: polar.Settings, *, accuracy: float = 0.1, steps: list[int] | None = None, core: str = "polar") -> DataFrame:
-    """Spikes of all snippets in absolute time: rec_id, snip_id, cell_id, t, amp.
+def template_gains(trace: DataFrame, waveforms: list[np.ndarray], channels: Sequence[int]) -> DataFrame:
+    """At each sample the template (time x channel, of one odd length) that takes most of the squares away: rec_id, t, cell_id, amp, gain.
 
-    Waveforms are a few small matrices and travel with the task; a worker keeps one dictionary for each snippet length.
+    ``amp`` is the least-squares amplitude of the template centred there, and ``gain`` the squares that it explains; only
+    positive amplitudes count.  A channel is filtered once for each template, in blocks.
     """
-    steps = steps or [polar.spacing(w, accuracy) for w in waveforms]
-    kernel = _CORES[core]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        atoms = functools.lru_cache(maxsize=64)(lambda n: polar.dictionary(waveforms, steps, n))
-        for rows in batches:
-            out = []
-            for rec, snip, center, data in zip(rows["rec_id"], rows["snip_id"], rows["center"], rows["data"], strict=True):
-                snippet = np.stack([np.asarray(x, float) for x in data])
-                out += [(rec, snip, cell, center + offset, amp) for cell, offset, amp in kernel(snippet, atoms(len(snippet)), settings)]
-            yield pd.DataFrame(out, columns=["rec_id", "snip_id", "cell_id", "t", "amp"])
-
-    # Work grows with a snippet's length, not with bytes: rows are dealt evenly.
-    return snippets.repartition("rec_id", "snip_id").mapInPandas(run, FOUND)
+    half = len(waveforms[0]) // 2
+    found = None
+    for cell, w in enumerate(waveforms):
+        parts = [aggregates.fir(trace.where(F.col("channel") == c), w[::-1, i].tolist(), advance=half) for i, c in enumerate(channels)]
+        both = parts[0]
+        for part in parts[1:]:
+            both = both.unionByName(part)
+        power = float((w**2).sum())
+        one = both.groupBy("rec_id", "t").agg((F.sum("y") / power).alias("amp")).select("rec_id", "t", F.struct((F.greatest("amp", F.lit(0.0)) ** 2 * power).alias("gain"), F.lit(-cell).alias("least"), "amp").alias("x"))
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy("rec_id", "t").agg(F.max("x").alias("x"))
+    return best.select("rec_id", "t", F.negative("x.least").alias("cell_id"), "x.amp", "x.gain")
+
+
+def pursue(trace: DataFrame, waveforms: list[np.ndarray], threshold: float, rounds: int, channels: Sequence[int], keep: object = None) -> DataFrame:
+    """Spikes by matching pursuit: rec_id, cell_id, t, amp, round.
+
+    In each round the samples whose gain no other within a template's length exceeds, and whose amplitude is over
+    ``threshold``, are spikes, all at once; their templates are taken from the trace, and the next round goes on with what is
+    left.  ``keep`` writes a DataFrame and reads it back, so that lineage ends with each round (none: it grows).
+    """
+    keep = keep or (lambda df: df)
+    left, spikes = trace.select("rec_id", "channel", "t", "v"), None
+    for k in range(rounds):
+        gains = template_gains(left, waveforms, channels).withColumnRenamed("gain", "v")
+        peaks = windows.local_peaks(gains, 0.0, len(waveforms[0]), keys=("rec_id",)).where(F.col("amp") > threshold)
+        found = keep(peaks.select("rec_id", "cell_id", "t", "amp", F.lit(k).alias("round")))
+        spikes = found if spikes is None else spikes.unionByName(found)
+        if k + 1 < rounds:
+            model = reconstruct(found, waveforms, len(waveforms[0])).withColumnRenamed("v", "m")
+            left = keep(left.join(model, ["rec_id", "channel", "t"], "left").select("rec_id", "channel", "t", (F.col("v") - F.coalesce("m", F.lit(0.0))).alias("v")))
+    return spikes
 
 
 def reconstruct(spikes: DataFrame, waveforms: list[np.ndarray], length: int) -> DataFrame:
@@ -76,43 +87,4 @@ def refit_waveforms(trace: DataFrame, spikes: DataFrame, thresholds: dict[int, f
     return out
 
 
-def learn(trace: DataFrame, snippets: DataFrame, waveforms: list[np.ndarray], settings: polar.Settings, *, accuracy: float, channels: Sequence[int], rounds: int, step: float, fraction: float, seed: int = 7) -> tuple[list[np.ndarray], list[float]]:
-    """Gradient steps of the waveforms on random batches of snippets, with the squared error of each round."""
-    errors = []
-    half = len(waveforms[0]) // 2
-    for k in range(rounds):
-        batch = snippets.sample(fraction=fraction, seed=seed + k).checkpoint() if snippets.sparkSession.sparkContext.getCheckpointDir() else snippets.sample(fraction=fraction, seed=seed + k)
-        spikes = infer(batch, waveforms, settings, accuracy=accuracy)
-        model = reconstruct(spikes, waveforms, len(waveforms[0]))
-        samples = batch.select("rec_id", "center", "len", F.posexplode("data").alias("i", "x")).select("rec_id", (F.col("center") - F.floor(F.col("len") / 2) + F.col("i")).alias("t"), F.posexplode("x").alias("channel", "v"))
-        left = samples.join(model.withColumnRenamed("v", "m"), ["rec_id", "channel", "t"], "left").withColumn("v", F.col("v") - F.coalesce("m", F.lit(0.0))).drop("m")
-        errors.append(left.agg(F.avg(F.col("v") * F.col("v"))).first()[0])
-        moves = refit_waveforms(left, spikes, {}, half, range(len(channels)))
-        waveforms = [w + step * moves.get(i, 0) for i, w in enumerate(waveforms)]
-    return waveforms, errors
-
-
-def solve_batch(problems: DataFrame) -> DataFrame:
-    """Cone programs as rows (``sigspark.model.SOCP``) to solutions: prob_id, x, y, s, z, exitflag, pcost, dcost, gap, iter."""
-
-    def dense(entries: list, rows: int, cols: int) -> np.ndarray:
-        out = np.zeros((rows, cols))
-        for e in entries if entries is not None else []:
-            out[e["i"], e["j"]] += e["v"]
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for r in rows.itertuples():
-                n, m, p = len(r.c), len(r.h), len(r.b) if r.b is not None else 0
-                s = solve_socp(r.c, dense(r.g, m, n), r.h, r.l, list(r.q), dense(r.a, p, n) if p else None, r.b if p else None)
-                out.append((r.prob_id, s.x, s.y, s.s, s.z, s.exitflag, s.pcost, s.dcost, s.gap, s.iterations))
-            yield pd.DataFrame(out, columns=["prob_id", "x", "y", "s", "z", "exitflag", "pcost", "dcost", "gap", "iter"])
-
-    from sigspark.model import SOLUTION
-
-    return problems.mapInPandas(run, SOLUTION)
-
-
-__all__ = ["infer", "learn", "reconstruct", "refit_waveforms", "register_core", "snippet_rows", "solve_batch"]
+__all__ = ["pursue", "reconstruct", "refit_waveforms", "snippet_rows", "template_gains"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,14 +38,15 @@ def nearest_join(points: DataFrame, intervals: DataFrame, *, keys: Sequence[str]
     shown = p.select(*keys, "_block").distinct().join(edges, [*keys, "_block"], "left")
     shown = shown.unionByName(edges.join(shown, [*keys, "_block"], "left_anti"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    carried = shown.withColumn("b", F.last("hi", ignorenulls=True).over(before)).withColumn("a", F.first("lo", ignorenulls=True).over(after))
+    after = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)  # frames grow, whichever way they look
+    carried = shown.withColumn("b", F.last("hi", ignorenulls=True).over(before)).withColumn("a", F.last("lo", ignorenulls=True).over(after))
     outside = carried.select(*keys, "_block", F.explode(F.array_compact(F.array(F.col("b"), F.when(F.col("a").isNotNull(), F.struct(F.col("a._c").alias("_c"), (-F.col("a._n")).alias("_w")))))).alias("x")).select(*keys, "_block", "x._c", "x._w")
     marks = c.unionByName(outside).select(*keys, "_block", F.col("_c").alias("_at"), F.lit(0).alias("_kind"), F.struct("_c", "_w").alias("_mark"))
     both = marks.unionByName(p.withColumn("_at", F.col(t)).withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     ordered = Window.partitionBy(*keys, "_block").orderBy("_at", "_kind")
+    turned = Window.partitionBy(*keys, "_block").orderBy(F.desc("_at"), F.desc("_kind"))
     left = F.last("_mark", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("_mark", ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing))
+    right = F.last("_mark", ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, 0))
     seen = both.withColumn("_l", left).withColumn("_r", right).where("_kind = 1")
     use_left = F.col("_r").isNull() | (F.abs(F.col(t) - F.col("_l._c")) <= F.abs(F.col("_r._c") - F.col(t)))
     seen = seen.withColumn("_m", F.when(F.col("_l").isNotNull() & use_left, F.col("_l")).otherwise(F.col("_r")))
@@ -88,15 +88,24 @@ def match_by_amplitude(est: np.ndarray, amps: np.ndarray, true: np.ndarray, slac
     return out
 
 
-def merged_runs(est: DataFrame, true: DataFrame, reach: float, *, keys: Sequence[str]) -> DataFrame:
-    """Both trains with _side and _run: a gap of over ``reach`` in the merged times starts a new run.
+def merged_runs(est: DataFrame, true: DataFrame, reach: float, *, keys: Sequence[str], blocks: int = 4096) -> DataFrame:
+    """Both trains with _side and _run, the time that a run starts at: a gap of over ``reach`` in the merged times starts one.
 
-    No match crosses such a gap, so runs match apart, and a train of any length spreads over tasks.
+    No match crosses such a gap, so runs match apart.  Starts are found in blocks of ``blocks`` reaches of time, to which
+    the last time and start before each block are carried, so a train of any length spreads over tasks; one row for each
+    block is all that is ordered for a whole train.
     """
     both = est.select(*keys, F.col("id"), F.col("t"), F.col("amp"), F.lit(0).alias("_side")).unionByName(true.select(*keys, F.col("id"), F.col("t"), F.lit(None).cast("double").alias("amp"), F.lit(1).alias("_side")))
-    ordered = Window.partitionBy(*keys).orderBy("t", "_side", "id")
-    fresh = F.when(F.col("t") - F.lag("t").over(ordered) <= reach, 0).otherwise(1)
-    return both.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    both = both.withColumn("_block", F.floor(F.col("t") / max(1, blocks * reach)))
+    trains = Window.partitionBy(*keys).orderBy("_block")
+    last = both.groupBy(*keys, "_block").agg(F.max("t").alias("_last")).withColumn("_last", F.lag("_last").over(trains))
+    ordered = Window.partitionBy(*keys, "_block").orderBy("t", "_side", "id")
+    gap = F.col("t") - F.coalesce(F.lag("t").over(ordered), F.col("_last"))
+    marked = both.join(last, [*keys, "_block"]).withColumn("_start", F.when(gap.isNull() | (gap > reach), F.col("t"))).drop("_last")
+    before = marked.groupBy(*keys, "_block").agg(F.max("_start").alias("_before"))
+    before = before.withColumn("_before", F.last("_before", ignorenulls=True).over(trains.rowsBetween(Window.unboundedPreceding, -1)))
+    run = F.coalesce(F.last("_start", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    return marked.join(before, [*keys, "_block"]).withColumn("_run", run).drop("_start", "_before", "_block")
 
 
 def greedy_match(est: DataFrame, true: DataFrame, low: float, high: float, *, keys: Sequence[str] = ("cell_id",), closed: bool = True, by_amplitude: bool = False) -> DataFrame:
@@ -107,7 +116,7 @@ def greedy_match(est: DataFrame, true: DataFrame, low: float, high: float, *, ke
     """
     reach = max(abs(low), abs(high))
     runs = merged_runs(est, true, reach, keys=keys)
-    # Runs with one side only can't match and never reach Python.
+    # Runs with one side only can't match and never reach Python.  This window also brings each run into one task.
     sides = Window.partitionBy(*keys, "_run")
     runs = runs.withColumn("_sides", F.min("_side").over(sides) + 2 * F.max("_side").over(sides)).where("_sides = 2").drop("_sides")
     types = dict(est.dtypes)
@@ -115,16 +124,17 @@ def greedy_match(est: DataFrame, true: DataFrame, low: float, high: float, *, ke
     names = list(keys)
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "id"], kind="stable")
-        est_rows, true_rows = rows[rows["_side"] == 0], rows[rows["_side"] == 1]
+        """Whole runs of one train, in order of time; what is out of reach is never taken, so runs need not be told apart."""
+        side = rows["_side"].to_numpy()
+        t, ids = rows["t"].to_numpy(), rows["id"].to_numpy()
         if by_amplitude:
-            got = match_by_amplitude(est_rows["t"].to_numpy(), est_rows["amp"].to_numpy(), true_rows["t"].to_numpy(), high)
+            got = match_by_amplitude(t[side == 0], rows["amp"].to_numpy()[side == 0], t[side == 1], high)
             hit = np.flatnonzero(got >= 0)
-            left, right = est_rows["id"].to_numpy()[got[hit]], true_rows["id"].to_numpy()[hit]
+            left, right = ids[side == 0][got[hit]], ids[side == 1][hit]
         else:
-            got = match_sorted(est_rows["t"].to_numpy(), true_rows["t"].to_numpy(), low, high, closed)
+            got = match_sorted(t[side == 0], t[side == 1], low, high, closed)
             hit = np.flatnonzero(got >= 0)
-            left, right = est_rows["id"].to_numpy()[hit], true_rows["id"].to_numpy()[got[hit]]
+            left, right = ids[side == 0][hit], ids[side == 1][got[hit]]
         out = pd.DataFrame({"est_id": left, "true_id": right})
         for k in reversed(names):
             out.insert(0, k, rows[k].iloc[0])
@@ -138,13 +148,11 @@ def greedy_match(est: DataFrame, true: DataFrame, low: float, high: float, *, ke
             last = (tag == tag.iloc[-1]).all(axis=1)
             done, rest = rows[~last], rows[last]
             if len(done):
-                yield pd.concat([match(g) for _, g in done.groupby([*names, "_run"], sort=False)])
+                yield pd.concat([match(g) for _, g in done.groupby(names, sort=False)])
         if rest is not None and len(rest):
             yield match(rest)
 
-    # Runs are short and many: one Arrow stream in run order a task, not a call for each run.
-    dealt = runs.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "t", "_side", "id")
-    return dealt.mapInPandas(stream, schema)
+    return runs.sortWithinPartitions(*keys, "_run", "t", "id").mapInPandas(stream, schema)
 
 
 def misses(true: DataFrame, matches: DataFrame) -> DataFrame:
@@ -165,9 +173,66 @@ def gather(trace: DataFrame, peaks: DataFrame, half: int, *, keys: Sequence[str]
 
 
 def best_assignment(cost: np.ndarray) -> tuple[int, ...]:
-    """The order of estimated units that costs least, the first in lexicographic order of equals; for a few units."""
+    """The order of estimated units that costs least, the first in lexicographic order of equals; costs are whole numbers.
+
+    Shortest augmenting paths with potentials find one best order; the entries without slack are those of all best orders,
+    and among them each unit in turn takes the least partner that leaves the others a whole order.
+    """
     n = len(cost)
-    return min(itertools.permutations(range(n)), key=lambda p: sum(cost[i][p[i]] for i in range(n)))
+    u, v = np.zeros(n + 1), np.zeros(n + 1)
+    owner = np.zeros(n + 1, int)  # of each column, from 1; column 0 holds the row that looks for one
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least, came, done = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        while owner[at]:
+            done[at] = True
+            i = owner[at]
+            slack = cost[i - 1] - u[i] - v[1:]
+            better = ~done[1:] & (slack < least[1:])
+            least[1:][better], came[1:][better] = slack[better], at
+            open_to = np.where(done, np.inf, least)
+            open_to[0] = np.inf
+            nxt = int(open_to.argmin())
+            step = least[nxt]
+            u[owner[done]] += step
+            v[done] -= step
+            least[~done] -= step
+            at = nxt
+        while at:
+            owner[at] = owner[came[at]]
+            at = came[at]
+    tight = np.abs(cost - u[1:, None] - v[None, 1:]) < 1e-6
+    column = np.empty(n, int)
+    column[owner[1:] - 1] = np.arange(n)
+    for i in range(n):
+        for j in np.flatnonzero(tight[i, : column[i]]).tolist():
+            moved = _reassigned(tight, column, i, j)
+            if moved is not None:
+                column = moved
+                break
+    return tuple(column.tolist())
+
+
+def _reassigned(tight: np.ndarray, column: np.ndarray, i: int, j: int) -> np.ndarray | None:
+    """``column`` with j for row i, where rows from i on can be moved along entries of ``tight`` to free it."""
+    first = int(np.flatnonzero(column == j)[0])
+    if first < i:
+        return None
+    came, todo = {first: (i, j)}, [first]
+    while todo:
+        row = todo.pop()
+        for k in np.flatnonzero(tight[row]).tolist():
+            if k == column[i]:
+                moved = column.copy()
+                while row != i:
+                    moved[row], (row, k) = k, came[row]
+                moved[i] = j
+                return moved
+            holder = int(np.flatnonzero(column == k)[0])
+            if holder > i and holder not in came:
+                came[holder] = (row, k)
+                todo.append(holder)
+    return None
 
 
 def best_unit_ordering(est: DataFrame, true: DataFrame, slack: float) -> list[tuple[object, object]]:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators import aggregates
@@ -36,6 +36,32 @@ def fir_taps(freq: Sequence[float], dt: float, order: int) -> np.ndarray:
     return taps / abs(np.sum(taps * np.exp(-1j * np.pi * middle * k)))
 
 
+def butterworth(freq: Sequence[float], dt: float, order: int) -> np.ndarray:
+    """The taps of the impulse response of a Butterworth high-pass or band-pass filter, cut where it has died down.
+
+    The analog prototype's poles are moved to the band and to the unit disc (bilinear transform); the response is the
+    inverse transform of the transfer function on a circle of enough points, and the cut leaves under 1e-9 of its squares.
+    """
+    edges = [2 / dt * np.tan(np.pi * f * dt) for f in freq if f * dt < 0.5]
+    poles = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+    if len(edges) == 1:
+        poles, zeros = edges[0] / poles, np.zeros(order, complex)
+    else:
+        low, high = edges
+        scaled = poles * (high - low) / 2
+        root = np.sqrt(scaled**2 - low * high)
+        poles, zeros = np.r_[scaled + root, scaled - root], np.zeros(order, complex)
+    disc, flat = (2 / dt + poles) / (2 / dt - poles), (2 / dt + zeros) / (2 / dt - zeros)
+    flat = np.r_[flat, np.full(len(disc) - len(flat), -1)]
+    n = 1 << int(np.ceil(np.log2(max(64, 24 / (1 - np.abs(disc).max())))))
+    z = np.exp(2j * np.pi * np.arange(n) / n)
+    gain = lambda at: np.prod(at[:, None] - flat, axis=1) / np.prod(at[:, None] - disc, axis=1)
+    middle = -1.0 if len(edges) == 1 else np.exp(2j * np.arctan(np.sqrt(edges[0] * edges[1]) * dt / 2))
+    taps = np.fft.ifft(gain(z) / np.abs(gain(np.array([middle])))).real
+    left = np.cumsum(taps[::-1] ** 2)[::-1]
+    return taps[: max(1, int(np.argmax(left < 1e-9 * left[0])) or n)]
+
+
 def filter_trace(trace: DataFrame, taps: Sequence[float], *, compensate: bool = True, keys: Sequence[str] = KEYS, pad_edges: bool = True) -> DataFrame:
     """FIR per channel: keys, t, v.  ``compensate`` takes back the delay of half the order; edges repeat the end samples.
 
@@ -66,6 +92,18 @@ def standardise(trace: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     return flat.withColumn("v", F.col("v") / F.lit(most))
 
 
+def numbered(rows: DataFrame, order: Sequence[str], *, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
+    """``rows`` with their 0-based place t in ``order`` by keys; the first column of ``order`` is a whole number.
+
+    Rows are numbered in blocks of that column's values, on top of the counts of the blocks before, which are one row each.
+    """
+    cut = rows.withColumn("_block", F.floor(F.col(order[0]) / block))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*keys, "_block").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)) - 1
+    return cut.withColumn("_at", inside).join(counts, [*keys, "_block"]).withColumn("t", (F.col("_base") + F.col("_at")).cast("long")).drop("_block", "_base", "_at")
+
+
 def inverse_root(matrix: np.ndarray, floor: float = 1e-12) -> np.ndarray:
     """The inverse square root of a symmetric matrix, its eigenvalues taken by magnitude and not under a floor."""
     value, vector = np.linalg.eigh((matrix + matrix.T) / 2)

@@ -131,10 +131,9 @@ def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Projections and aggregates
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round({c} - (SELECT avg({c}) FROM lineitem), 4) + 0.0 AS {c}" for c in CHANNELS) + " FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"{c} - (SELECT CAST(sum(CAST({c} AS DECIMAL(12, 2))) AS DOUBLE) / count(*) FROM lineitem) AS {c}" for c in CHANNELS) + " FROM lineitem")
 def channel_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = aggregates.centered(lineitem_channels(spark, sf_dir), CHANNELS)
-    return out.withColumns({c: r(c) for c in CHANNELS})
+    return aggregates.centered(lineitem_channels(spark, sf_dir), CHANNELS, 2)
 
 
 @query("WITH m AS (SELECT greatest(" + ", ".join(f"max(abs({c}))" for c in CHANNELS) + ") AS m FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, " + ", ".join(f"round({c} / m, 6) + 0.0 AS {c}" for c in CHANNELS) + " FROM lineitem, m")

@@ -1,4 +1,4 @@
-"""Queries without a SQL form: matrices, solvers, decompositions and streams.  Tests hold them against numpy and batch twins."""
+"""Queries without a SQL form: matrices, pursuits and streams.  Tests hold them against numpy and batch twins."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ import uuid
 from datetime import timedelta
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.functions import polar, registry
+from sigspark.functions import registry
 from sigspark.operators import aggregates, decompose, learning, signal
+from sigspark.params import Params
 from sigspark.plans.catalog import SLACK, QUERIES, query
 from sigspark.sources.recordings import CHANNELS, events_trace, events_trains, lineitem_channels, vectors
 from sigspark.streaming import twins
@@ -43,16 +44,16 @@ def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Params().clustering
     v = vectors(spark, sf_dir).withColumnRenamed("label", "known")
-    return learning.cluster(v, 3, features="features", restarts=3, max_iter=50).groupBy("label").agg(F.count("*").alias("n"))
+    return learning.cluster(v, c.num_waveforms, features="features", restarts=c.restarts, max_iter=c.max_iter).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query()
 def whiten_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four channels of ``lineitem`` in the order of their keys, standardised and whitened by their quiet zones."""
-    wide = lineitem_channels(spark, sf_dir)
-    order = Window.partitionBy(F.col("l_orderkey") % 4).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    numbered = wide.withColumn("t", (F.row_number().over(order) - 1).cast("long")).withColumn("rec_id", F.concat(F.lit("part"), F.col("l_orderkey") % 4))
+    wide = lineitem_channels(spark, sf_dir).withColumn("rec_id", F.concat(F.lit("part"), F.col("l_orderkey") % 4))
+    numbered = signal.numbered(wide, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], keys=("rec_id",))
     flat = aggregates.rescaled(aggregates.centered(numbered, CHANNELS), CHANNELS)
     scaled = flat.withColumns({c: F.col(c) * k for c, k in zip(CHANNELS, (2000.0, 1.0, 10_000_000.0, 10_000_000.0), strict=True)})
     trace = scaled.select("rec_id", "t", F.posexplode(F.array(*CHANNELS)).alias("channel", "v"))
@@ -67,56 +68,24 @@ def filter_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("t", F.round("v", 6).alias("v"))
 
 
-@query()
-def socp_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each label, the point of least distance to its centroid among those with non-negative elements of sum 1."""
-    means = aggregates.centroids(vectors(spark, sf_dir)).where("pos < 6")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
-    rows = means.groupBy("label").agg(ordered.alias("m"))
-    n = 6
-
-    def entry(i: F.Column, j: F.Column, v: float) -> F.Column:
-        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(v).alias("v"))
-
-    k = F.sequence(F.lit(0), F.lit(n - 1))
-    g = F.concat(F.transform(k, lambda i: entry(i, i, -1.0)), F.array(entry(F.lit(n), F.lit(n), -1.0)), F.transform(k, lambda i: entry(i + n + 1, i, -1.0)))
-    a = F.transform(k, lambda j: entry(F.lit(0), j, 1.0))
-    problems = rows.select(
-        F.col("label").cast("long").alias("prob_id"),
-        F.concat(F.array_repeat(F.lit(0.0), n), F.array(F.lit(1.0))).alias("c"),
-        F.concat(F.array_repeat(F.lit(0.0), n + 1), F.transform("m", lambda x: -x)).alias("h"),
-        F.array(F.lit(1.0)).alias("b"), g.alias("g"), a.alias("a"), F.lit(n).alias("l"), F.array(F.lit(n + 1)).alias("q"),
-    )
-    return decompose.solve_batch(problems).select("prob_id", "exitflag", F.round("pcost", 4).alias("pcost"), F.transform("x", lambda x: F.round(x, 4)).alias("x"))
-
-
 def _waveforms() -> list[np.ndarray]:
-    t = np.arange(-20, 21)
-    return [8 * np.exp(-((t / 4.0) ** 2))[:, None], 8 * (np.exp(-(((t - 3) / 3.0) ** 2)) - np.exp(-(((t + 3) / 3.0) ** 2)))[:, None]]
+    t = np.arange(-4, 5)
+    return [np.exp(-((t / 2.0) ** 2))[:, None], (np.exp(-(((t - 1.5) / 1.5) ** 2)) - np.exp(-(((t + 1.5) / 1.5) ** 2)))[:, None]]
 
 
 @query()
-def sparse_decompose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spikes found again in snippets that are made of them: each click of a small value starts a snippet of 101 samples.
-
-    A snippet has two shifted waveforms whose places and amplitudes come from the event.
-    """
-    e = events_trains(spark, sf_dir).where("cell_id = 'click' and amp < 5").select("event_id", "amp")
-    waves = _waveforms()
-    samples = F.transform(F.sequence(F.lit(-50), F.lit(50)), lambda t: F.array(_model(t, waves)))
-    rows = e.select(F.lit("made").alias("rec_id"), F.col("event_id").alias("snip_id"), F.lit(50).cast("long").alias("center"), F.lit(101).alias("len"), samples.alias("data"))
-    found = decompose.infer(rows, waves, polar.Settings(sigma=0.3), steps=[4, 4])
-    return found.select("snip_id", "cell_id", F.round("t", 1).alias("t"), F.round("amp", 1).alias("amp"))
-
-
-def _model(t: F.Column, waves: list[np.ndarray]) -> F.Column:
-    """A sample of the made snippets: waveform 0 at -18 and waveform 1 at 12, each moved by the event id."""
-    move = F.col("event_id") % 7
-    x, y = t - (move - 18), t - (12 - move)
-    first = 8 * F.exp(-F.pow(x / 4.0, F.lit(2)))
-    second = 8 * (F.exp(-F.pow((y - 3) / 3.0, F.lit(2))) - F.exp(-F.pow((y + 3) / 3.0, F.lit(2))))
-    inside = lambda z: F.when(F.abs(z) <= 20, 1.0).otherwise(0.0)
-    return first * inside(x) + second * inside(y)
+def pursuit_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two templates pursued through the whole trace of events, less its mean, in three rounds."""
+    folder = _folder(spark)
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    flat = aggregates.centered(events_trace(spark, sf_dir), ["v"], 2)
+    found = decompose.pursue(flat, _waveforms(), 60.0, 3, [0], keep)
+    return found.select("cell_id", "t", F.round("amp", 4).alias("amp"), "round")
 
 
 @query()

@@ -6,11 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.functions import conic, registry, stats
-from sigspark.operators import joins, learning, signal, windows
-from sigspark.plans import numeric
+from sigspark.functions import registry, stats
+from sigspark.operators import decompose, joins, learning, signal, windows
+from sigspark.plans import catalog, numeric
 from sigspark.sources import recordings
-from sigspark.streaming import twins
 
 SCHEMA = "rec_id string, channel int, t long, v double"
 
@@ -76,18 +75,6 @@ def test_band_join_is_brute_force(spark):
     assert "CartesianProduct" not in got._jdf.queryExecution().toString()
 
 
-def test_conic_programs():
-    lp = conic.solve_socp(np.ones(2), -np.eye(2), np.zeros(2), 2, [], np.eye(2), np.ones(2))
-    assert lp.x == pytest.approx([1, 1], abs=1e-4)
-    # The least t with |x - m| <= t and x >= 0: the distance of m to the positive quadrant.
-    m = np.array([-3.0, 4.0])
-    G = np.zeros((5, 3))
-    G[0, 0] = G[1, 1] = G[2, 2] = -1
-    G[3, 0] = G[4, 1] = -1
-    found = conic.solve_socp(np.array([0, 0, 1.0]), G, np.r_[0, 0, 0, -m], 2, [3])
-    assert found.x == pytest.approx([0, 4, 3], abs=1e-3)
-
-
 def test_statistics():
     assert stats.chi2_cdf(3.841458820694124, 1) == pytest.approx(0.95, abs=1e-9)
     assert stats.chi2_cdf(40.0, 40) == pytest.approx(1 - 0.470257, abs=1e-5)
@@ -111,24 +98,6 @@ def test_components_are_those_of_numpy(spark, sf_dir):
     assert np.allclose(value, np.sort(np.linalg.eigvalsh(x.T @ x))[::-1][: len(value)], rtol=1e-6)  # uncentred
 
 
-def test_made_spikes_are_found_again(spark, sf_dir):
-    found = numeric.sparse_decompose(spark, sf_dir).collect()
-    assert len(found) > 0 and all(abs(r["amp"] - 1) <= 0.2 for r in found)
-    for r in found:
-        move = r["snip_id"] % 7
-        assert abs(r["t"] - 50 - (move - 18 if r["cell_id"] == 0 else 12 - move)) <= 1.5 or abs(r["t"] - (move - 18 if r["cell_id"] == 0 else 12 - move)) <= 1.5
-
-
-def test_stream_twins_give_the_batch_rows(spark, sf_dir):
-    batch = {tuple(r) for r in numeric.QUERIES["greedy_match"](spark, sf_dir).select("cell_id", "est_id", "true_id").collect()}
-    stream = {tuple(r) for r in numeric.stream_greedy_match(spark, sf_dir).collect()}
-    assert stream <= batch and len(stream) > 0.9 * len(batch)
-    whole = {(r["user_id"], r["start"], r["end"], r["n"]) for r in numeric.QUERIES["session_activity"](spark, sf_dir).collect()}
-    settled = {(r["user_id"], r["start"], r["end"], r["n"]) for r in numeric.stream_sessions(spark, sf_dir).collect()}
-    assert settled <= whole and len(settled) > 0.5 * len(whole)
-    assert twins.event_stream(spark, f"{sf_dir}/events.parquet").isStreaming
-
-
 def test_streams_have_all_rows_in_any_order_of_files(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -148,3 +117,67 @@ def test_sql_functions(spark):
     registry.register(spark)
     got = spark.sql("SELECT chi2_cdf(3.841458820694124D, 1D) AS p, erfc(0D) AS e").first()
     assert got["p"] == pytest.approx(0.95) and got["e"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("reach,blocks", [(3, 1), (3, 2), (5, 4096)])
+def test_runs_are_the_same_in_any_block(spark, reach, blocks):
+    rng = np.random.default_rng(8)
+    times = [np.sort(rng.integers(0, 400, 60)).tolist() for _ in range(2)]
+    est, true = (spark.createDataFrame([("c", i, t, 1.0) for i, t in enumerate(x)], "cell_id string, id long, t long, amp double") for x in times)
+    merged = sorted(times[0] + times[1])
+    starts = [t for k, t in enumerate(merged) if k == 0 or t - merged[k - 1] > reach]
+    for r in joins.merged_runs(est, true, reach, keys=("cell_id",), blocks=blocks).collect():
+        assert r["_run"] == max(s for s in starts if s <= r["t"])
+
+
+def test_assignment_is_the_first_best_permutation():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(1, 6))
+        cost = rng.integers(0, 4, (n, n)).astype(float)
+        best = min(itertools.permutations(range(n)), key=lambda p: sum(cost[i][p[i]] for i in range(n)))
+        assert joins.best_assignment(cost) == best
+    assert len(joins.best_assignment(rng.integers(0, 1000, (60, 60)).astype(float))) == 60
+
+
+def test_greedy_match_by_amplitude_is_the_plain_loop(spark, sf_dir):
+    est, true = catalog._est_true(spark, sf_dir)
+    rows = {c: ([], []) for c in ("click", "purchase", "view")}
+    for side, x in enumerate((est, true)):
+        for r in x.orderBy("t", "id").collect():
+            rows.setdefault(r["cell_id"], ([], []))[side].append(r)
+    expected = set()
+    for cell, (e, t) in rows.items():
+        used = set()
+        for x in t:
+            near = [y for y in e if abs(y["t"] - x["t"]) < catalog.SLACK and y["id"] not in used]
+            if near:
+                best = max(near, key=lambda y: y["amp"])
+                used.add(best["id"])
+                expected.add((cell, best["id"], x["id"]))
+    assert {tuple(r) for r in numeric.QUERIES["greedy_match_amplitude"](spark, sf_dir).collect()} == expected
+
+
+def test_pursuit_finds_planted_spikes(spark):
+    waves = [np.r_[0, 1, 3, 1, 0][:, None].astype(float), np.r_[-1, -2, 0, 2, 1][:, None].astype(float)]
+    v = np.zeros(200)
+    planted = [(0, 20, 5.0), (1, 60, 4.0), (0, 100, 6.0), (1, 104, 2.0), (0, 150, 3.0)]
+    for cell, t, amp in planted:
+        v[t - 2 : t + 3] += amp * waves[cell][:, 0]
+    found = decompose.pursue(trace(spark, v), waves, 1.0, 3, [0]).collect()
+    assert {(r["cell_id"], r["t"]) for r in found} == {(c, t) for c, t, _ in planted}
+    assert all(abs(r["amp"] - amp) < 0.6 for r in found for c, t, amp in planted if (c, t) == (r["cell_id"], r["t"]))
+
+
+@pytest.mark.parametrize("freq", [(1000.0,), (400.0, 2000.0), (400.0, 20_000.0)])
+def test_butterworth_has_its_magnitudes(freq):
+    dt, order = 1 / 25_000, 3
+    taps = signal.butterworth(freq, dt, order)
+    f = np.array([100.0, 400.0, 700.0, 1000.0, 2000.0, 5000.0, 12_000.0])
+    warp = lambda x: np.tan(np.pi * np.asarray(x) * dt)
+    inside = [x for x in freq if x * dt < 0.5]
+    ratio = warp(inside[0]) / warp(f) if len(inside) == 1 else (warp(f) ** 2 - warp(inside[0]) * warp(inside[1])) / (warp(f) * (warp(inside[1]) - warp(inside[0])))
+    got = [abs(np.sum(taps * np.exp(-2j * np.pi * x * dt * np.arange(len(taps))))) for x in f]
+    assert np.allclose(got, 1 / np.sqrt(1 + ratio ** (2 * order)), atol=1e-3)
