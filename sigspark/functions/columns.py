@@ -56,18 +56,45 @@ def argmin(a: Column) -> Column:
     return F.array_position(a, F.array_min(a)) - 1
 
 
-def align_peak(w: Column, length: int, mode: str = "peak") -> Column:
-    """A waveform cut or filled to an odd length with its peak in the middle.
+PEAK_MODES = ("peak", "max", "min", "centroid", "biphasic")
+
 
-    Modes: peak (greatest magnitude), max (greatest), min (least), centroid (of magnitudes).
+def peak_place(w: Column, mode: str = "peak") -> Column:
+    """The 1-based place of a waveform's peak; the first of equals, and halves go up.
+
+    Modes: peak (greatest magnitude), max (greatest), min (least), centroid (of magnitudes), biphasic (midway between least
+    and greatest).  A waveform of several channels comes as its sums over channels (peak, max, min) or its extremes (the
+    modes max1 and min1 of such sums are max and min here).
     """
+    magnitude = F.transform(w, F.abs)
+    if mode == "centroid":
+        return F.round(centroid(magnitude)).cast("int")
+    if mode == "biphasic":
+        return F.floor((argmax(w) + argmin(w)) / 2 + 1.5).cast("int")
+    return ({"peak": argmax(magnitude), "max": argmax(w), "min": argmin(w)}[mode] + 1).cast("int")
+
+
+def align_peak(w: Column, length: int, mode: str = "peak") -> Column:
+    """A waveform cut or filled to an odd length with its peak (``peak_place``) in the middle; a waveform of zeros stays one."""
     if length % 2 == 0:
         raise ValueError("length must be odd")
-    magnitude = F.transform(w, F.abs)
-    place = {"peak": argmax(magnitude), "max": argmax(w), "min": argmin(w), "centroid": F.round(centroid(magnitude)) - 1}[mode].cast("int")
     half = length // 2
     padded = F.concat(F.array_repeat(F.lit(0.0), half), w, F.array_repeat(F.lit(0.0), half))
-    return F.slice(padded, place + 1, length)
+    return F.slice(padded, F.coalesce(peak_place(w, mode), F.lit(1)), length)
+
+
+def snip_ends(w: Column, share: float) -> Column:
+    """How many samples fall off both ends alike while none of them is over ``share`` of the greatest magnitude."""
+    magnitude = F.transform(w, F.abs)
+    big = F.filter(F.transform(magnitude, lambda x, i: F.when(x > share * F.array_max(magnitude), i)), lambda i: i.isNotNull())
+    return F.least(F.array_min(big), F.size(w) - 1 - F.array_max(big))
+
+
+def resized(w: Column, cut: Column, buffer: int) -> Column:
+    """``w`` without ``cut`` samples at both ends, with ``buffer`` zeros there, and one more behind if its length is even."""
+    zeros = F.array_repeat(F.lit(0.0), buffer)
+    middle = F.concat(zeros, F.slice(w, cut + 1, F.size(w) - 2 * cut), zeros)
+    return F.when(F.size(middle) % 2 == 0, F.concat(middle, F.array(F.lit(0.0)))).otherwise(middle)
 
 
 def ragged_lengths(cells: Column) -> Column:

@@ -116,12 +116,3 @@ def kde_threshold(counts: np.ndarray, low: float, high: float, n: int, points: i
     mesh, dens = density(counts, low, high, n)
     x = np.linspace(first, last, points)
     return last_minimum(x, np.interp(x, mesh, dens, left=0, right=0), width)
-
-
-def sweep(amps: np.ndarray, is_hit: np.ndarray, n_true: int) -> np.ndarray:
-    """Rows (threshold, misses, false positives) over rising thresholds 0, a1, a2, ... of estimates matched once."""
-    order = np.argsort(amps, kind="stable")
-    hit = is_hit[order]
-    thresholds = np.r_[0.0, amps[order][:-1]]
-    hits = hit.sum() - np.r_[0, np.cumsum(hit)[:-1]]
-    return np.c_[thresholds, n_true - hits, np.arange(len(hit), 0, -1) - hits]

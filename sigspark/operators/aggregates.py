@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,36 @@ def triggered_average(trace: DataFrame, events: DataFrame, half: int, *, keys: S
     return sums.join(n, list(keys)).select(*keys, "lag", (F.col("s") / F.col("n")).alias("avg_v"))
 
 
+def interpolated_average(trace: DataFrame, times: DataFrame, half: int, *, kind: str = "spline", margin: int = 6, keys: Sequence[str] = ("rec_id", "channel")) -> DataFrame:
+    """The mean of the trace at each lag around times between samples (keys, t): keys, lag, avg_v.
+
+    Samples within half + ``margin`` of a time are gathered by a band join; each time's few values are interpolated by a
+    straight line or a cubic spline through them, and are 0 where the trace doesn't reach on both sides.
+    """
+    from sigspark.operators.learning import spline
+
+    reach = half + margin
+    marks = times.select(*keys, F.col("t").alias("at"), F.floor("t").alias("trigger_t"))
+    pairs = band_join(trace.select(*keys, "t", "v"), marks, -reach, reach, keys=keys)
+    windows_of = pairs.groupBy(*keys, "at", "trigger_t").agg(F.sort_array(F.collect_list(F.struct("dt", "v"))).alias("w"))
+    lags = np.arange(-half, half + 1)
+
+    @F.pandas_udf("array<double>")
+    def around(w: pd.Series, part: pd.Series) -> pd.Series:
+        out = []
+        for rows, x in zip(w, part, strict=True):
+            dt, v = np.array([p["dt"] for p in rows]), np.array([p["v"] for p in rows], float)
+            at = lags + x - dt[0]
+            inside = (at >= 0) & (at <= len(v) - 1)
+            out.append(np.where(inside, spline(v, at) if kind == "spline" else np.interp(at, np.arange(len(v)), v), 0.0))
+        return pd.Series(out)
+
+    values = windows_of.select(*keys, F.posexplode(around("w", F.col("at") - F.col("trigger_t"))).alias("i", "x"))
+    n = times.groupBy(*keys).agg(F.count("*").alias("n"))
+    sums = values.groupBy(*keys, (F.col("i") - half).cast("long").alias("lag")).agg(F.sum("x").alias("s"))
+    return sums.join(n, list(keys)).select(*keys, "lag", (F.col("s") / F.col("n")).alias("avg_v"))
+
+
 def fir(trace: DataFrame, taps: Sequence[float], *, keys: Sequence[str] = ("rec_id", "channel"), advance: int = 0) -> DataFrame:
     """Causal filter: y(t) = sum taps[k] v(t - k), zeros before the start; ``advance`` takes a delay back.
 

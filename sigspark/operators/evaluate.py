@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.functions.stats import kde_threshold, sweep
-from sigspark.operators.joins import greedy_match
+from sigspark.functions.stats import kde_threshold
+from sigspark.operators.joins import best_unit_ordering, greedy_match
 
 
 def prune(spikes: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -68,10 +68,29 @@ def threshold_roc(est: DataFrame, true: DataFrame, slack: float, *, levels: Sequ
     return rows.withColumn("misses", F.col("n_true") - F.col("hits")).withColumn("false_positives", F.col("n_est") - F.col("hits"))
 
 
+def score_best_order(est: DataFrame, true: DataFrame, slack: float, thresholds: DataFrame | None = None) -> DataFrame:
+    """``score`` after estimated units took the names of the true units they fit best; thresholds go by estimated unit.
+
+    One pair of names for each unit comes to the driver.  An estimated unit without a partner keeps its name, marked, and
+    counts as false positives.
+    """
+    pairs = [(a, b) for b, a in best_unit_ordering(est, true, slack) if a is not None]
+    kept = prune(est, thresholds) if thresholds is not None else est
+    names = est.sparkSession.createDataFrame([(a, b if b is not None else f"unpaired {a}") for a, b in pairs], "cell_id string, _to string")
+    return score(kept.join(F.broadcast(names), "cell_id").withColumn("cell_id", F.col("_to")).drop("_to"), true, slack)
+
+
+def reorder_truth(est: DataFrame, true: DataFrame, slack: float) -> DataFrame:
+    """``true`` with each unit named like the estimated unit that it fits best; one without a partner keeps its name."""
+    pairs = [(b, a if a is not None else b) for b, a in best_unit_ordering(est, true, slack) if b is not None]
+    names = true.sparkSession.createDataFrame(pairs, "cell_id string, _to string")
+    return true.join(F.broadcast(names), "cell_id").withColumn("cell_id", F.col("_to")).drop("_to")
+
+
 def rank_by_norm(means: DataFrame, *, label: str = "label") -> DataFrame:
     """Centroids (label, pos, x) by falling L2 norm: label, norm, rank from 0; centroids number a few."""
     norms = means.groupBy(label).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return norms.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("norm"), label)) - 1)
 
 
-__all__ = ["auto_thresholds", "prune", "rank_by_norm", "score", "summary", "sweep", "threshold_roc"]
+__all__ = ["auto_thresholds", "prune", "rank_by_norm", "reorder_truth", "score", "score_best_order", "summary", "threshold_roc"]

@@ -172,6 +172,13 @@ def gather(trace: DataFrame, peaks: DataFrame, half: int, *, keys: Sequence[str]
     return pairs.select(*keys, F.col("trigger_t").alias("peak"), F.col("dt").alias("lag"), "v")
 
 
+def gather_intervals(trace: DataFrame, intervals: DataFrame, *, keys: Sequence[str] = ("rec_id", "channel"), width: int = 1 << 12) -> DataFrame:
+    """The samples of each interval (both ends in): keys, start, t, v.  An interval is repeated in the buckets of time that it meets."""
+    spans = intervals.select(*keys, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
+    near = trace.withColumn("_b", F.floor(F.col("t") / width)).join(spans, [*keys, "_b"])
+    return near.where("t between start and end").select(*keys, "start", "t", "v")
+
+
 def best_assignment(cost: np.ndarray) -> tuple[int, ...]:
     """The order of estimated units that costs least, the first in lexicographic order of equals; costs are whole numbers.
 

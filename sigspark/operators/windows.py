@@ -69,6 +69,29 @@ def shifted(trace: DataFrame, k: int, *, keys: Sequence[str] = KEYS, block: int
     return in_blocks(trace, columns, k, k, keys=keys, block=block).withColumn("here", F.col("v"))
 
 
+def padded(trace: DataFrame, n: int, *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The trace with ``n`` copies of its first value before it and of its last one behind it: keys, t, v."""
+    ends = trace.groupBy(*keys).agg(F.min(F.struct("t", "v")).alias("a"), F.max(F.struct("t", "v")).alias("b"))
+    k = F.sequence(F.lit(1), F.lit(n))
+    spare = F.explode(F.concat(F.transform(k, lambda i: F.struct((F.col("a.t") - i).alias("t"), F.col("a.v").alias("v"))), F.transform(k, lambda i: F.struct((F.col("b.t") + i).alias("t"), F.col("b.v").alias("v")))))
+    return trace.select(*keys, "t", "v").unionByName(ends.select(*keys, spare.alias("x")).select(*keys, "x.t", "x.v"))
+
+
+def rotated(trace: DataFrame, k: int, *, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The trace moved right by k with its end coming in at its start; no sample is ordered or shuffled by time."""
+    n = F.col("t_last") - F.col("t_first") + 1
+    return trace.join(extent(trace, keys), list(keys)).withColumn("t", F.col("t_first") + F.pmod(F.col("t") - F.col("t_first") + k, n)).drop("t_first", "t_last")
+
+
+def prefix_index(rows: DataFrame, order: str, count: str, *, block: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``start``, the sum of ``count`` over the rows before in ``order`` (whole numbers, each once), in blocks of it."""
+    cut = rows.withColumn("_block", F.floor(F.col(order) / block))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    base = cut.groupBy("_block").agg(F.sum(count).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.sum(count).over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return cut.withColumn("_in", F.coalesce(inside, F.lit(0))).join(base, "_block").withColumn("start", F.col("_base") + F.col("_in")).drop("_block", "_base", "_in")
+
+
 def islands(trace: DataFrame, mask: Column, *, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """Runs of samples where ``mask`` holds: start, end and len of each.
 

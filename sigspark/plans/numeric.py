@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sigspark.functions import registry
 from sigspark.operators import aggregates, decompose, learning, signal
 from sigspark.params import Params
+from sigspark.plans import details  # noqa: F401  registers its queries
 from sigspark.plans.catalog import SLACK, QUERIES, query
 from sigspark.sources.recordings import CHANNELS, events_trace, events_trains, lineitem_channels, vectors
 from sigspark.streaming import twins

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sigspark.functions import registry, stats
-from sigspark.operators import decompose, joins, learning, signal, windows
+from sigspark.operators import aggregates, decompose, joins, learning, signal, windows
+from sigspark.params import General, Params
 from sigspark.plans import catalog, numeric
 from sigspark.sources import recordings
 
@@ -181,3 +184,59 @@ def test_butterworth_has_its_magnitudes(freq):
     ratio = warp(inside[0]) / warp(f) if len(inside) == 1 else (warp(f) ** 2 - warp(inside[0]) * warp(inside[1])) / (warp(f) * (warp(inside[1]) - warp(inside[0])))
     got = [abs(np.sum(taps * np.exp(-2j * np.pi * x * dt * np.arange(len(taps))))) for x in f]
     assert np.allclose(got, 1 / np.sqrt(1 + ratio ** (2 * order)), atol=1e-3)
+
+
+def scored(est, true, slack):
+    """Hits of the greedy match of two lists of times."""
+    used, hits = set(), 0
+    for t in sorted(est):
+        k = next((j for j, s in enumerate(true) if j not in used and abs(s - t) <= slack), None)
+        if k is not None:
+            used.add(k)
+            hits += 1
+    return hits
+
+
+def test_best_ordering_and_what_follows_from_it(spark, sf_dir):
+    import itertools
+
+    est, true = catalog._est_true(spark, sf_dir)
+    names = {"click": "purchase", "purchase": "view", "view": "click"}
+    by_cell = lambda df: {c: sorted(r["t"] for r in df.collect() if r["cell_id"] == c) for c in sorted({r["cell_id"] for r in df.collect()})}
+    e, t = by_cell(est.replace(names, subset=["cell_id"])), by_cell(true)
+    a, b = list(e), list(t)
+    cost = {(i, j): len(e[i]) + len(t[j]) - 2 * scored(e[i], t[j], catalog.SLACK) for i in a for j in b}
+    best = min(itertools.permutations(a), key=lambda p: sum(cost[i, j] for i, j in zip(p, b, strict=True)))
+    pairing = dict(zip(b, best, strict=True))
+    moved = {(r["id"], r["cell_id"]) for r in numeric.QUERIES["reorder_truth"](spark, sf_dir).collect()}
+    assert moved == {(r["id"], pairing[r["cell_id"]]) for r in true.collect()}
+    limits = {"purchase": 60.0, "view": 80.0, "click": 20.0}
+    rows = {r["cell_id"]: r for r in numeric.QUERIES["evaluate_best_order"](spark, sf_dir).collect()}
+    for j in b:
+        left = sorted(r["t"] for r in est.replace(names, subset=["cell_id"]).collect() if r["cell_id"] == pairing[j] and r["amp"] > limits.get(pairing[j], -1))
+        assert (rows[j]["n_est"], rows[j]["hits"]) == (len(left), scored(left, t[j], catalog.SLACK))
+
+
+def test_spline_average_is_that_of_a_plain_spline(spark):
+    v = np.sin(np.arange(60) / 4.0) * 5
+    times = spark.createDataFrame([("r", 0, 20.25), ("r", 0, 31.5), ("r", 0, 2.5)], "rec_id string, channel int, t double")
+    got = {r["lag"]: r["avg_v"] for r in aggregates.interpolated_average(trace(spark, v), times, 4).collect()}
+    x = {k: [20.25 + k, 31.5 + k, 2.5 + k] for k in range(-4, 5)}
+    for k, at in x.items():  # a smooth curve, so the spline is close to it; 0 before the trace begins
+        assert got[k] == pytest.approx(np.mean([5 * np.sin(y / 4.0) if y >= 0 else 0.0 for y in at]), abs=0.02)
+
+
+def test_first_waveforms_are_the_planted_ones(spark):
+    rng = np.random.default_rng(6)
+    t = np.arange(-10, 11)
+    shapes = [12 * np.exp(-((t / 3.0) ** 2)), 20 * np.exp(-((t / 1.5) ** 2))]
+    v = rng.normal(0, 0.1, 3000)
+    for k, at in enumerate(range(60, 2900, 70)):
+        v[at - 10 : at + 11] += shapes[k % 2]
+    c = dataclasses.replace(Params().clustering, num_waveforms=2, restarts=3, max_iter=50)
+    params = dataclasses.replace(Params(), general=General(21), clustering=c)
+    labelled, found = learning.first_waveforms(trace(spark, v), params, [0])
+    assert sorted(r["count"] for r in labelled.groupBy("label").count().collect()) == [20, 21]
+    norms = [float(np.linalg.norm(w)) for w in found]
+    assert norms == sorted(norms, reverse=True)
+    assert all(min(np.abs(w[:, 0] - s).max() for s in shapes) < 0.5 for w in found)
