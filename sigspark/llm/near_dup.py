@@ -38,7 +38,7 @@ PERCENT = 85
 TABLES = 8
 BAND = 2
 SLICE_COST = 150_000  # shingles of a slice of a group, each document counting DOC_COST more
-BLOCK_COST = 1_000_000  # those of a block of the last round
+BLOCK_COST = 150_000  # those of a block of the last round
 DOC_COST = 500
 PIVOTS = 8  # documents of a group that are held against all of its slices
 MAX_TABLES = 32
