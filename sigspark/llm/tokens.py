@@ -105,20 +105,34 @@ class PieceEncoder(dict):
             self.old, self.parts_old = dict(self), self.parts
             self.parts = {}
             self.clear()
-        cut, words, known, before = {}, set(), self.parts, self.parts_old
+        cut: dict[str, list[str]] = {}
+        words: set[str] = set()
         for run in runs:
             if run in self.old:
                 self[run] = self.old[run]
+            elif run.isalpha():  # one part
+                words.add(" " + run)
             else:
-                cut[run] = parts = _PARTS(" " + run)
-                words.update([p for p in parts if p not in known])
-        known.update({p: before[p] for p in words if p in before})
-        known.update(self._learn([p for p in words if p not in before]))
+                cut[run] = _PARTS(" " + run)
+                words.update([p for p in cut[run] if self._known(p) is None])
+        for part, ids in self._learn(list(words)).items():
+            if part[0] == " ":
+                self[part[1:]] = ids
+            else:
+                self.parts[part] = ids
         for run, parts in cut.items():
-            self[run] = b"".join([known[p] for p in parts])
-        self.long = [r for r in cut if len(r) > MEMO_RUN_CHARS]
-        for part in [p for p in words if len(p) > MEMO_RUN_CHARS]:
-            del known[part]
+            self[run] = b"".join([self._known(p) for p in parts])
+        self.long = [r for r in {*cut, *(w[1:] for w in words if w[0] == " ")} if len(r) > MEMO_RUN_CHARS]
+        for part in [p for p in words if p[0] != " " and len(p) > MEMO_RUN_CHARS]:
+            del self.parts[part]
+
+    def _known(self, part: str) -> bytes | None:
+        """Ids of a part in the memo: a run if it begins with a space."""
+        now, old, key = (self, self.old, part[1:]) if part[0] == " " else (self.parts, self.parts_old, part)
+        ids = now.get(key)
+        if ids is None and (ids := old.get(key)) is not None:
+            now[key] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
