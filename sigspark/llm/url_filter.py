@@ -69,10 +69,12 @@ def _swept(events: DataFrame, points: DataFrame, group: str, value: str) -> Data
     """
     load = events.groupBy(group).agg(F.count("*").alias("events")).join(points.groupBy(group).agg(F.count("*").alias("n")), group)
     slices = load.select(group, F.greatest(F.lit(1), F.ceil(F.col("n") / F.greatest(F.lit(MIN_SLICE_ROWS), 4 * F.col("events")))).cast("int").alias("slices"))
+    # Written, so that Spark knows its size, and broadcasts it only if that is small; points are then dealt by slice, not by group.
+    slices = storage.materialize(slices, "slices")
     opened = events.join(slices, group).select(group, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "at", F.lit(0).alias("kind"), value)
     dealt = points.join(slices, group).withColumns({"slice": F.pmod(F.xxhash64("row"), F.col("slices")).cast("int"), "kind": F.lit(1)}).drop("slices")
     order = Window.partitionBy(group, "slice").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = opened.unionByName(dealt, allowMissingColumns=True)
+    both = opened.unionByName(dealt, allowMissingColumns=True).repartition(group, "slice")
     return both.withColumn(value, F.last(value, ignorenulls=True).over(order)).where("kind = 1").drop("slice", "kind", "at")
 
 
