@@ -23,7 +23,7 @@ from sigspark.llm import storage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEP = "\x01"
-MIN_SLICE_ROWS = 20_000
+MIN_SLICE_ROWS = 1_000
 NO_RULE = "allow"
 
 
