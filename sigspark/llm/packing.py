@@ -103,8 +103,8 @@ def _leaf(capacity: int, slack: int, end_id: int, vocabulary: str) -> Callable[[
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(codec.encode(text.as_py()) + end, codec.dtype).astype("<u4")
+            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), codec.encode_all(batch.column("text")), strict=True):
+                ids = np.frombuffer(encoded + end, codec.dtype).astype("<u4")
                 for piece, (start, n) in enumerate(cut(len(ids), capacity)):
                     held.append((doc_id, piece, start, n, zlib.crc32(ids[start : start + n].tobytes())))
                 if len(held) >= LEAF_PIECES:

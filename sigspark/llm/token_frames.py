@@ -134,8 +134,8 @@ def write_token_frames(docs: DataFrame, folder: str, *, id_col: str = "doc_id",
         def encoded() -> Iterator[tuple[int, bytes]]:
             batch: pa.RecordBatch | None = first
             while batch is not None:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    yield doc_id, codec.encode(text.as_py()) + end
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), codec.encode_all(batch.column("text")), strict=True):
+                    yield doc_id, ids + end
                 batch = next(batches, None)
 
         path = f"{folder}/shard-{shard:06d}.tokens"

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -34,7 +35,7 @@ def test_ids_are_those_of_the_library(text):
 
 
 def test_ids_of_random_text_are_those_of_the_library(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMO_RUNS", 500)  # generations change often
+    monkeypatch.setattr(tokens, "MEMO_PIECES", 500)  # generations change often
     rng = random.Random(3)
     common = "  \n\t'sta.,9\x1c\xa0\u3000\x85é"
     codec = tokens.PieceEncoder()
@@ -46,6 +47,16 @@ def test_ids_of_random_text_are_those_of_the_library(monkeypatch):
         assert np.frombuffer(codec.encode(text), "<u2").tolist() == library_ids(text)[:-1]
 
 
+@pytest.mark.parametrize("slice_bytes", [1, 64, 4 << 20])
+def test_texts_encoded_together_keep_their_own_ids(monkeypatch, slice_bytes):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", slice_bytes)
+    texts = [None, *ODD_TEXTS, "", "\nOf", "x\n", "\nOf", "'s", "don", "'t", " <|endoftext|> x", "w" * 100, "é" * 70 + ", é", "a  b", None]
+    for column in (pa.array(texts), pa.array(["first", *texts], pa.large_string()).slice(1)):
+        got = [np.frombuffer(ids, "<u2").tolist() for ids in tokens.PieceEncoder().encode_all(column)]
+        assert got == [library_ids(t)[:-1] for t in texts]
+    assert list(tokens.PieceEncoder().encode_all(pa.array([], pa.string()))) == []
+
+
 def test_other_vocabularies_go_to_the_library_whole():
     codec = tokens.PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
