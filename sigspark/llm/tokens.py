@@ -27,7 +27,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 MEMO_PIECES = 600_000
 MEMO_PIECE_CHARS = 64
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SPACE = "Ġ"  # how byte-level vocabularies spell a space
 
 _NO_SPACE = re.compile(r"\S+").fullmatch
