@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat_format, decontaminate, language_id, media, near_dup, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
+from sigspark.llm import chat_format, decontaminate, fill_middle, filter_audit, language_id, media, near_dup, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIRROR_FAULT_EVERY = 97
@@ -68,6 +68,16 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(storage.table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(storage.table(spark, sf_dir, "documents"), storage.table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(storage.table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_frames": op1_token_frames,
     "op2_decontamination": op2_decontamination,
@@ -79,8 +89,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_near_dup": op10_minhash_near_dup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
+#: Every order of the filters as rows of (filter_order, step, its bit, the bits before it).
+_ORDERS = """
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+        steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders)"""
+
 _CONTROLS = r"([\[<])(\\*/?(?:INST|OUT|SYS|ROLE:[^\[\]\n]*)\]|\\*/?s>|\\*/?SYS>>|\\*\|[a-z_]+\|>)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,6 +147,39 @@ ORACLE_SQL: dict[str, str] = {
                CAST(sum(length(stored) + 2 * mark + 6) AS BIGINT) AS formatted_chars,
                CAST(sum(CASE WHEN stored <> text THEN 1 ELSE 0 END) AS BIGINT) AS escaped_turns
         FROM marked GROUP BY conv_id""",
+    "op12_filter_audit": rf"""
+        WITH {_ORDERS},
+        texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        judged AS (
+            SELECT doc_id, part,
+                   CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM texts),
+        labelled AS (SELECT part, fails, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS good, CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS bad FROM judged LEFT JOIN labels ON labels.doc_id = judged.doc_id),
+        counted AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM labelled GROUP BY part, fails),
+        told AS (
+            SELECT part, filter_order, step, fails, n, good, bad, contains(fails, filter_order[step]) AS fail,
+                   length(translate(fails, filter_order[1:step - 1], '')) < length(fails) AS before FROM counted, steps),
+        summed AS (
+            SELECT part, filter_order, step, filter_order[step] AS f, CAST(sum(CASE WHEN fail OR before THEN 0 ELSE n END) AS BIGINT) AS kept,
+                   CAST(sum(CASE WHEN fail AND NOT before THEN n ELSE 0 END) AS BIGINT) AS removed, CAST(sum(CASE WHEN fail AND before THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                   CAST(sum(CASE WHEN fails = filter_order[step] THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                   CAST(sum(CASE WHEN fail AND NOT before THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN fail AND NOT before THEN bad ELSE 0 END) AS BIGINT) AS toxic_lost
+            FROM told GROUP BY part, filter_order, step)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed""",
+    "op13_fill_in_middle": r"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        cut AS (
+            SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+                   list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS d FROM texts),
+        ranked AS (SELECT *, least(d[1] % (len(t) + 1), d[2] % (len(t) + 1)) AS a, greatest(d[1] % (len(t) + 1), d[2] % (len(t) + 1)) AS b FROM cut),
+        parts AS (
+            SELECT doc_id, text, CAST(len(t) AS BIGINT) AS n, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM ranked)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts""",
     "op9_url_filter": """
         WITH cut AS (
             SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
