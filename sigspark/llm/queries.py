@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat_format, decontaminate, fill_middle, filter_audit, language_id, media, near_dup, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
+from sigspark.llm import chat_format, decontaminate, fill_middle, filter_audit, language_id, media, near_dup, ngram_lm, packing, storage, substring_dedup, token_frames, url_filter, warc_fixity
 
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 MIRROR_FAULT_EVERY = 97
@@ -68,6 +68,10 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(storage.table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(storage.table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(storage.table(spark, sf_dir, "documents"), storage.table(spark, sf_dir, "labels"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_url_filter": op9_url_filter,
     "op10_minhash_near_dup": op10_minhash_near_dup,
+    "op11_ngram_lm": op11_ngram_lm,
     "op12_filter_audit": op12_filter_audit,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
