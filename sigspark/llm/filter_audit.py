@@ -49,9 +49,9 @@ def failure_masks(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc
     mask = sum(F.when(c, 1 << k).otherwise(0) for k, c in enumerate(conditions(F.col("text"))))
     flagged = rows.select("doc_id", "part", mask.cast("int").alias("mask"), F.unhex(F.sha2("text", 256)).alias("digest"))
     known = storage.materialize(flagged, "filter-masks")  # texts are read once
-    # A null id is smaller than none and greater than all.
+    # A null id is smaller than none and greater than all.  Written, so that the join shuffles both sides and can split.
     least = known.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).where("copies > 1 and least is not null").drop("copies")
-    seen = known.join(least.hint("merge"), "digest", "left")
+    seen = known.join(storage.materialize(least, "filter-copies").hint("merge"), "digest", "left")
     later = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
     return seen.select("doc_id", "part", (F.col("mask") + F.when(later, 1 << 4).otherwise(0)).alias("mask"))
 
