@@ -56,7 +56,7 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     mirror = warc_fixity.copy_with_faults(index, storage.new_dir(spark, "warc-mirror"), decayed)
     ours = warc_fixity.merkle_levels(warc_fixity.hash_records(index, primary), "primary")
     theirs = warc_fixity.merkle_levels(warc_fixity.hash_records(index, mirror), "mirror")
-    return warc_fixity.audit(ours, theirs, index)
+    return warc_fixity.audit(ours, theirs)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,9 @@ class _Runs:
             self.at, self.held = offset, self.file.read_at(max(length, min(READ_BYTES, self.size - offset)), offset) if length else b""
         return self.held[offset - self.at : offset - self.at + length]
 
+    def close(self) -> None:
+        self.file.close()
+
     def rest(self, offset: int) -> str:
         """The hash of all that stands at ``offset`` and behind it, a part at a time."""
         digest = hashlib.sha256()
@@ -148,7 +151,7 @@ class _Runs:
 
 
 def hash_records(index: DataFrame, replica: DataFrame) -> DataFrame:
-    """The leaves of a replica: shard, seq, offset, length, hash of the bytes stored at each record's place.
+    """The leaves of a replica: shard, seq, page_id, offset, length, hash of the bytes stored at each record's place.
 
     ``replica`` has shard and path.  One more leaf of each shard, behind its last record and of length 0 in the index,
     holds what the file has there.  Bytes that are missing in the file leave what there is to be hashed; a missing
@@ -161,6 +164,8 @@ def hash_records(index: DataFrame, replica: DataFrame) -> DataFrame:
             hashes = []
             for path, offset, length, tail in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length", "tail")), strict=True):
                 if path is not None and opened[0] != path:
+                    if opened[1]:
+                        opened[1].close()
                     try:
                         opened = (path, _Runs(path))
                     except FileNotFoundError:
@@ -170,19 +175,22 @@ def hash_records(index: DataFrame, replica: DataFrame) -> DataFrame:
                     hashes.append("missing")
                 else:
                     hashes.append(file.rest(offset) if tail else hashlib.sha256(file.get(offset, length)).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "seq", "offset", "length")), pa.array(hashes, pa.string())], names=["shard", "seq", "offset", "length", "hash"])
+            kept = ("shard", "seq", "page_id", "offset", "length")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(hashes, pa.string())], names=[*kept, "hash"])
+        if opened[1]:
+            opened[1].close()
 
-    records = index.select("shard", "seq", "offset", "length", F.lit(False).alias("tail"))
+    records = index.select("shard", "seq", "page_id", "offset", "length", F.lit(False).alias("tail"))
     tails = index.groupBy("shard").agg((F.max("seq") + 1).alias("seq"), F.max(F.col("offset") + F.col("length")).alias("offset"))
-    rows = records.unionByName(tails.select("shard", "seq", "offset", F.lit(0).cast("long").alias("length"), F.lit(True).alias("tail")))
+    rows = records.unionByName(tails.select("shard", "seq", F.lit(None).cast(dict(index.dtypes)["page_id"]).alias("page_id"), "offset", F.lit(0).cast("long").alias("length"), F.lit(True).alias("tail")))
     rows = rows.join(replica.select("shard", "path"), "shard", "left")
     # Runs of a shard's records stay together, whatever a shard's size.
     spread = rows.repartition("shard", F.floor(F.col("seq") / 4096)).sortWithinPartitions("shard", "seq")
-    return storage.map_batches(spread, run, "shard int, seq long, offset long, length long, hash string")
+    return storage.map_batches(spread, run, f"shard int, seq long, page_id {dict(index.dtypes)['page_id']}, offset long, length long, hash string")
 
 
 class Level(NamedTuple):
-    """Nodes of one height: grp, node, start, end, hash.  ``gathers``: its nodes' children are the roots of shards."""
+    """Nodes of one height: grp, node, start, end, hash, and of leaves page_id.  ``gathers``: its nodes' children are the roots of shards."""
 
     nodes: DataFrame
     gathers: bool = False
@@ -198,7 +206,7 @@ def merkle_levels(leaves: DataFrame, name: str) -> list[Level]:
     def ranged(content: Column) -> Column:
         return F.sha2(F.concat_ws(",", "start", "end", content), 256)
 
-    first = leaves.select(F.col("shard").cast("long").alias("grp"), F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash")
+    first = leaves.select(F.col("shard").cast("long").alias("grp"), F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "hash", "page_id")
     first = first.withColumn("hash", F.when(F.col("hash") == "missing", F.col("hash")).otherwise(ranged(F.col("hash"))))
     levels = [Level(storage.materialize(first, f"{name}-leaves"))]
 
@@ -218,24 +226,28 @@ def merkle_levels(leaves: DataFrame, name: str) -> list[Level]:
     return levels
 
 
-def audit(ours: list[Level], theirs: list[Level], index: DataFrame) -> DataFrame:
+def audit(ours: list[Level], theirs: list[Level]) -> DataFrame:
     """Descend two trees of the same index and return the records whose bytes differ.
 
     Returns page_id, shard, seq, offset, length, ours, theirs (hashes of a record's range and bytes).  Only children of
-    differing nodes are compared.  Bytes behind a shard's last record give a row of page_id null and length 0; repeated
-    pages are records of their own; two empty trees give no row.
+    differing nodes are compared, on both sides.  Every level grows with the pages, so none is broadcast.  Bytes behind a
+    shard's last record give a row of page_id null and length 0; repeated pages are records of their own; two empty trees
+    give no row.
     """
     wanted = None
+
+    def children(k: int, nodes: DataFrame) -> DataFrame:
+        if wanted is None:
+            return nodes
+        parent = [F.lit(-1).cast("long").alias("grp"), F.col("grp").alias("node")] if ours[k + 1].gathers else [F.col("grp"), F.floor(F.col("node") / FANOUT).alias("node")]
+        return nodes.withColumn("up", F.struct(*parent)).join(wanted.hint("merge"), "up", "left_semi").drop("up")
+
     for k in range(len(ours) - 1, -1, -1):
-        a = ours[k].nodes
-        if wanted is not None:
-            parent = [F.lit(-1).cast("long").alias("grp"), F.col("grp").alias("node")] if ours[k + 1].gathers else [F.col("grp"), F.floor(F.col("node") / FANOUT).alias("node")]
-            a = a.withColumn("up", F.struct(*parent)).join(wanted, "up", "left_semi").drop("up")
-        differ = a.join(theirs[k].nodes.select("grp", "node", F.col("hash").alias("other")), ["grp", "node"], "left").where("not (hash <=> other)")
-        wanted = differ.select(F.struct("grp", "node").alias("up"))
-    found = differ.select(F.col("grp").cast("int").alias("shard"), F.col("node").alias("seq"), F.col("hash").alias("ours"), F.col("other").alias("theirs"))
-    spots = found.join(ours[0].nodes.select(F.col("grp").cast("int").alias("shard"), F.col("node").alias("seq"), F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length")), ["shard", "seq"])
-    return spots.join(index.select("shard", "seq", "page_id"), ["shard", "seq"], "left").select("page_id", "shard", "seq", "offset", "length", "ours", "theirs")
+        other = children(k, theirs[k].nodes.select("grp", "node", F.col("hash").alias("other")))
+        differ = children(k, ours[k].nodes).join(other.hint("merge"), ["grp", "node"], "left").where("not (hash <=> other)")
+        wanted = storage.materialize(differ.select(F.struct("grp", "node").alias("up")), "fixity-differ") if k else None
+    length = (F.col("end") - F.col("start")).alias("length")
+    return differ.select("page_id", F.col("grp").cast("int").alias("shard"), F.col("node").alias("seq"), F.col("start").alias("offset"), length, F.col("hash").alias("ours"), F.col("other").alias("theirs"))
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

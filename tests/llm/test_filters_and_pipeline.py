@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -200,6 +201,29 @@ def test_audit_query_finds_each_decayed_record(spark, sf_dir):
     assert sorted(r["page_id"] for r in queries.op8_warc_fixity(spark, sf_dir).collect()) == expected
 
 
+def test_audit_rows_equal_hashes_of_the_files(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(4)
+    pages = pages.unionByName(pages.where("page_id < 3"))  # repeated pages
+    index, primary = warc_fixity.archive(pages)
+    mirror = warc_fixity.copy_with_faults(index, storage.new_dir(spark, "mirror"), F.col("page_id") % 11 == 2)
+    levels = [warc_fixity.merkle_levels(warc_fixity.hash_records(index, x), name) for x, name in ((primary, "one"), (mirror, "two"))]
+    got = sorted(tuple(r) for r in warc_fixity.audit(*levels).collect())
+    theirs = {r["shard"]: r["path"] for r in mirror.collect()}
+    expected = []
+    for r in index.collect():
+        hashes = []
+        for path in (r["path"], theirs[r["shard"]]):
+            with open(path.removeprefix("file://"), "rb") as file:
+                file.seek(r["offset"])
+                content = hashlib.sha256(file.read(r["length"])).hexdigest()
+            hashes.append(hashlib.sha256(f"{r['offset']},{r['offset'] + r['length']},{content}".encode()).hexdigest())
+        if hashes[0] != hashes[1]:
+            expected.append((r["page_id"], r["shard"], r["seq"], r["offset"], r["length"], *hashes))
+    assert got == sorted(expected) and {r[0] for r in got} == {r["page_id"] for r in pages.where("page_id % 11 = 2").collect()}
+    plan = warc_fixity.audit(*levels)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+
+
 def test_fixity_of_missing_shards_and_record_round_trip(spark):
     html = "<p>né</p>" * 50
     fields, body = warc_fixity.parse_record(warc_fixity.record(3, "http://a/\r\nb", html))
@@ -211,19 +235,19 @@ def test_fixity_of_missing_shards_and_record_round_trip(spark):
     ours = warc_fixity.merkle_levels(warc_fixity.hash_records(index, primary), "a")
     lost = index.agg({"shard": "min"}).first()[0]
     half = warc_fixity.merkle_levels(warc_fixity.hash_records(index, primary.where(f"shard <> {lost}")), "b")
-    found = warc_fixity.audit(ours, half, index).collect()
+    found = warc_fixity.audit(ours, half).collect()
     assert len(found) == index.where(f"shard = {lost}").count() + 1 and {r["theirs"] for r in found} == {"missing"}
-    assert warc_fixity.audit(ours, ours, index).collect() == []
+    assert warc_fixity.audit(ours, ours).collect() == []
     copy = warc_fixity.copy_with_faults(index, storage.new_dir(spark, "mirror"), F.lit(None).cast("boolean"))
     path = copy.where(f"shard = {lost}").first()["path"].removeprefix("file://")
     with open(path, "ab") as file:
         file.write(b"more")
     grown = warc_fixity.merkle_levels(warc_fixity.hash_records(index, copy), "d")
     at = index.where(f"shard = {lost}").agg(F.max(F.col("offset") + F.col("length"))).first()[0]
-    assert [(r["page_id"], r["shard"], r["offset"], r["length"]) for r in warc_fixity.audit(ours, grown, index).collect()] == [(None, lost, at, 0)]
+    assert [(r["page_id"], r["shard"], r["offset"], r["length"]) for r in warc_fixity.audit(ours, grown).collect()] == [(None, lost, at, 0)]
     nothing, none = warc_fixity.archive(pages.limit(0))
     empty = warc_fixity.merkle_levels(warc_fixity.hash_records(nothing, none), "c")
-    assert warc_fixity.audit(empty, empty, nothing).collect() == []
+    assert warc_fixity.audit(empty, empty).collect() == []
 
 
 # URL rules
