@@ -47,7 +47,6 @@ class Sizes:
     batch_bytes: int = 8 << 20
     batch_tokens: int = 1_500_000  # a longer text is cut into pieces, each of which knows the two words before it
     shard_bytes: int = 12 << 20  # of text, whose n-grams make a shard of the trie
-    hot_tokens: int = 400_000  # of a word, from which on its n-grams are dealt by the last word too
 
 
 _END = np.uint64(0xE4D0_0F7E_C57E_11D5)  # stands for the end of a text, and for what is before it
@@ -502,11 +501,12 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     words = storage.materialize(storage.map_batches(by_shard(asked), _count_words(shards), f"{_MESSAGE}, n long, words long"), "ngram-words")
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     total, distinct = sums["n"], sums["words"]
-    asked = storage.map_batches(by_batch(words.select("batch", "shard", "payload")), _ask_ngrams(folder, shards, sizes.hot_tokens), _MESSAGE)
+    hot = max(1, total // (4 * shards))  # from so many occurrences on, a word's n-grams are dealt by the last word too
+    asked = storage.map_batches(by_batch(words.select("batch", "shard", "payload")), _ask_ngrams(folder, shards, hot), _MESSAGE)
     found = storage.map_batches(by_shard(asked), _answer_ngrams(folder), _MESSAGE)
     # A batch whose words are all unknown asks for nothing and is still scored.
     every = words.select("batch").distinct().select("batch", F.lit(-1).alias("shard"), F.lit(None).cast("binary").alias("payload"))
-    counted = storage.materialize(storage.map_batches(by_batch(found.unionByName(every)), _align(folder, shards, sizes.hot_tokens, total, distinct), _COUNTS), "ngram-counts")
+    counted = storage.materialize(storage.map_batches(by_batch(found.unionByName(every)), _align(folder, shards, hot, total, distinct), _COUNTS), "ngram-counts")
     weights = [_weights(counted)]
     numbers = counted.select("batch").distinct().repartition(parts, "batch")
     second = _each_batch(lambda b: _cells(b, _histogram(_Features(folder, b, total, distinct, left_out=True), 2, weights)))

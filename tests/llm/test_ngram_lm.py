@@ -16,7 +16,7 @@ from sigspark.llm.elias_fano import EliasFano
 from sigspark.llm.ngram_trie import PAIRS, TRIPLES, NgramTrie
 
 SCHEMA = "doc_id long, text string"
-SMALL = ngram_lm.Sizes(batch_bytes=3000, batch_tokens=400, shard_bytes=6000, hot_tokens=100)
+SMALL = ngram_lm.Sizes(batch_bytes=3000, batch_tokens=400, shard_bytes=6000)
 
 
 @pytest.mark.parametrize("top", [1, 7, 1000, 1 << 40])
