@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,6 +99,22 @@ def resized(w: Column, cut: Column, buffer: int) -> Column:
     return F.when(F.size(middle) % 2 == 0, F.concat(middle, F.array(F.lit(0.0)))).otherwise(middle)
 
 
+def uniform_grid(lengths: Sequence[Column], spacings: Sequence[Column]) -> Column:
+    """Points from -floor(length / 2) to floor(length / 2) in steps of a spacing, as arrays of one number or two each.
+
+    One length and one spacing give a line of points; two of each a plane, whose first coordinate goes slowest.
+    """
+    if len(lengths) != len(spacings) or len(lengths) not in (1, 2):
+        raise ValueError("a grid has one dimension or two")
+    lines = []
+    for length, spacing in zip(lengths, spacings, strict=True):
+        half = F.floor(length / 2).cast("long")
+        lines.append(F.sequence(-half, half, spacing.cast("long")))
+    if len(lines) == 1:
+        return F.transform(lines[0], lambda x: F.array(x))
+    return F.flatten(F.transform(lines[0], lambda x: F.transform(lines[1], lambda y: F.array(x, y))))
+
+
 def ragged_lengths(cells: Column) -> Column:
     return F.transform(cells, F.size)
 

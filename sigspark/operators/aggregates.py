@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.columns import bin_of
+from sigspark.operators.blocks import in_blocks, running_sums
 from sigspark.operators.joins import band_join
+from sigspark.operators.tables import kept
 
 
 def centered(wide: DataFrame, channels: Sequence[str], digits: int | None = None) -> DataFrame:
@@ -45,13 +48,18 @@ def covariance(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
 def lag_products(trace: DataFrame, lags: int, *, keys: Sequence[str] = ("rec_id", "channel"), zone: str | None = None) -> DataFrame:
     """Sums of v(t) v(t + lag) for lags 0..lags: keys, lag, s.  With ``zone`` both samples must lie in one zone.
 
-    A sample is sent to each of its lags and met there by an equality, so no window grows with the lags.
+    A sample's later neighbours come as columns of one ordered pass in blocks, each with the samples behind its border,
+    so no sample is sent to each of its lags, and tasks hand on one row of sums for a key.
     """
-    group = [*keys, zone] if zone else list(keys)
-    base = trace.select(*group, "t", "v")
-    ahead = base.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).withColumn("at", F.col("t") + F.col("lag")).drop("t")
-    later = base.select(*group, F.col("t").alias("at"), F.col("v").alias("w"))
-    return ahead.join(later, [*group, "at"]).groupBy(*keys, "lag").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
+    carried = ["v", *([zone] if zone else [])]
+    order = Window.partitionBy(*keys, "_block").orderBy("t")
+    later = {f"_p{k}": (lambda _, k=k: F.first(F.struct(*carried)).over(order.rangeBetween(k, k))) for k in range(1, lags + 1)}
+    wide = in_blocks(trace.select(*keys, "t", *carried), later, 0, lags, keys=keys)
+    alike = (lambda k: F.col(f"_p{k}")[zone].eqNullSafe(F.col(zone))) if zone else (lambda k: F.lit(True))
+    products = [F.col("v") * F.col("v"), *(F.when(alike(k), F.col("v") * F.col(f"_p{k}")["v"]) for k in range(1, lags + 1))]
+    sums = wide.groupBy(*keys).agg(*(F.sum(p).alias(f"_s{k}") for k, p in enumerate(products)))
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_s{k}").alias("s")) for k in range(lags + 1)))).alias("x")
+    return sums.select(*keys, rows).select(*keys, "x.lag", "x.s").where("s is not null")
 
 
 def autocorrelation(products: DataFrame, *, keys: Sequence[str] = ("rec_id", "channel")) -> DataFrame:
@@ -74,8 +82,11 @@ def correlogram(events: DataFrame, triggers: DataFrame, low: int, high: int, bin
     The last bin is doubled: it is half a bin wide inside the band, as the first is, whose other half lies before it.
     """
     pairs = band_join(events, triggers, low, high, keys=keys)
-    if auto:
-        pairs = pairs.where("dt <> 0")
+    return pair_correlogram(pairs.where("dt <> 0") if auto else pairs, low, high, bins, keys=keys)
+
+
+def pair_correlogram(pairs: DataFrame, low: int, high: int, bins: int = 50, *, keys: Sequence[str] = ()) -> DataFrame:
+    """A correlogram from the gaps ``dt`` of pairs within the band, wherever they were found."""
     counts = histogram(pairs, "dt", low, high, bins, keys=keys)
     return counts.withColumn("n", F.when(F.col("bin") == bins - 1, 2 * F.col("n")).otherwise(F.col("n")))
 
@@ -99,11 +110,18 @@ def centroid_distances(means: DataFrame, *, label: str = "label") -> DataFrame:
 
 
 def gram(vectors: DataFrame, size: int, *, features: str = "features") -> DataFrame:
-    """X'X of vectors of ``size`` elements: i, j, g.  Each task keeps its partial sums; no vector is shuffled."""
-    x = F.col(features)
-    pairs = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    rows = vectors.select(features, pairs.alias("i")).select("i", F.element_at(x, F.col("i") + 1).alias("a"), F.posexplode(features).alias("j", "b"))
-    return rows.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
+    """X'X of vectors of ``size`` elements: i, j, g.  Each task adds up matrix products of its batches; no vector is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            x = batch.column(0).drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            total += x.T @ x
+        i, j = np.indices((size, size), np.int32)
+        yield pa.RecordBatch.from_pydict({"i": i.ravel(), "j": j.ravel(), "g": total.ravel()})
+
+    parts = vectors.select(F.col(features).cast("array<double>").alias("x")).mapInArrow(run, "i int, j int, g double")
+    return parts.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def relabel(rows: DataFrame, order: Sequence[int], *, label: str = "label") -> DataFrame:
@@ -219,3 +237,73 @@ def flatten_spikes(snippets: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Ragged results (center, found: array of cell_id, offset, amp) as trains in absolute time, above a threshold."""
     rows = snippets.select("snip_id", "center", F.explode("found").alias("f"))
     return rows.select("snip_id", F.col("f.cell_id").alias("cell_id"), (F.col("center") + F.col("f.offset")).alias("t"), F.col("f.amp").alias("amp")).where(F.col("amp") > threshold)
+
+
+def first_last(rows: DataFrame, order: str, n: int, *, keys: Sequence[str]) -> DataFrame:
+    """The first and the last ``n`` rows by keys in ``order``: their columns, side (``first`` or ``last``) and place from 1.
+
+    Spark drops all but ``n`` rows of a key in each task before it shuffles, so a key of any size is cheap.
+    """
+    out = []
+    for side, by in (("first", F.col(order)), ("last", F.desc(order))):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(by))
+        out.append(rows.withColumn("place", place).where(F.col("place") <= n).withColumn("side", F.lit(side)))
+    return out[0].unionByName(out[1]).withColumn("place", F.col("place").cast("long"))
+
+
+def sample_without_replacement(rows: DataFrame, n: int, identity: Sequence[str], *, keys: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """``n`` rows of each key (all, if there are fewer): those whose hash of ``identity`` and seed is least.
+
+    The same seed draws the same rows however they are partitioned.  Each task keeps its ``n`` least, then keys merge them.
+    """
+    drawn = F.xxhash64(F.lit(seed), *(F.col(c) for c in identity))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(drawn, *identity))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+def pooled(rows: DataFrame, value: str, tie: str, size: int, *, keys: Sequence[str]) -> DataFrame:
+    """All values of a key in ascending order, as a ragged array in blocks of ``size``: keys, block, start, n, values.
+
+    A block holds structs of value and tie; its ``start`` is the number of values before it.  No row grows with a key.
+    """
+    flat = rows.select(*keys, value, tie, F.lit(1).alias("_one"), F.struct(value, tie).alias("_order"))
+    placed = running_sums(flat, ("_one",), "_order", keys=keys).withColumn("_at", F.col("sum__one") - 1)
+    blocks = placed.groupBy(*keys, F.floor(F.col("_at") / size).alias("block")).agg(F.min("_at").alias("start"), F.count("*").alias("n"), F.sort_array(F.collect_list("_order")).alias("values"))
+    return blocks.select(*keys, "block", "start", "n", "values")
+
+
+def exact_quantiles(rows: DataFrame, value: str, shares: Sequence[float], *, keys: Sequence[str] = (), bins: int = 1 << 12) -> DataFrame:
+    """Quantiles of each key, interpolated between neighbours as ``percentile`` does, without a buffer of its values.
+
+    keys, share, quantile.  Each quantile needs one or two order statistics.  Values are counted in ``bins`` equal bins
+    between the bounds of the search for each of them, which shrinks to the bin that holds it, until that bin has few
+    values or just one; a pass brings down a table of fixed size for each key, and the last one takes the few values.
+    """
+    data = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
+    ends = data.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    places = F.array(*(F.struct(F.lit(float(q)).alias("share"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("at")) for q in shares))
+    ranks = ends.select(*keys, "_lo", "_hi", "_n", F.explode(places).alias("_p")).select(*keys, "_lo", "_hi", "_n", "_p.share", "_p.at")
+    # The order statistic of rank k lies in [_lo, _hi]; _below values are less than _lo, _n are in between.
+    search = ranks.select(*keys, "share", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"))
+    found = kept(search, "quantile-search")
+    on = list(keys)
+    for _ in range(8):
+        wide = found.where((F.col("_in") > bins) & (F.col("_hi") > F.col("_lo")))
+        if wide.isEmpty():
+            break
+        spans = wide.select(*keys, "_lo", "_hi").distinct()
+        inside = (data.join(F.broadcast(spans), on) if on else data.crossJoin(F.broadcast(spans))).where("_v between _lo and _hi")
+        at = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))
+        counts = inside.groupBy(*keys, "_lo", "_hi", at.alias("_bin")).agg(F.count("*").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+        before = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_less", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        nearer = wide.join(counts, [*on, "_lo", "_hi"]).where("rank >= _below + _less and rank < _below + _less + _c")
+        nearer = nearer.select(*keys, "share", "at", "rank", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), (F.col("_below") + F.col("_less")).alias("_below"), F.col("_c").alias("_in"))
+        found = kept(nearer.unionByName(found.where((F.col("_in") <= bins) | (F.col("_hi") == F.col("_lo")))), "quantile-search")
+    done = found.where("_hi = _lo").select(*keys, "share", "at", "rank", F.col("_lo").alias("x"))
+    few = found.where("_hi > _lo")
+    rest = (data.join(F.broadcast(few), on) if on else data.crossJoin(F.broadcast(few))).where("_v between _lo and _hi")
+    ordered = Window.partitionBy(*keys, "share", "rank").orderBy("_v")
+    picked = rest.withColumn("_k", F.row_number().over(ordered) - 1 + F.col("_below")).where("_k = rank").select(*keys, "share", "at", "rank", F.col("_v").alias("x"))
+    low, high = F.min_by("x", "rank"), F.max_by("x", "rank")
+    return done.unionByName(picked).groupBy(*keys, "share", "at").agg((low + (high - low) * (F.col("at") - F.floor("at"))).alias("quantile")).drop("at")

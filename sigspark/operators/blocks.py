@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from sigspark.operators.tables import kept
+
 BLOCK = 1 << 18
 
 
@@ -40,3 +42,18 @@ def in_blocks(df: DataFrame, columns: dict[str, Column], left: int, right: int,
     ordered = Window.partitionBy(*keys, "_block").orderBy(t)
     added = {name: column(frame) if callable(column) else column.over(ordered) for name, column in columns.items()}
     return wide.withColumns(added).where("_core").drop("_block", "_core")
+
+
+def running_sums(df: DataFrame, columns: Sequence[str], order: str, *, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Running totals of ``columns`` up to each row, in ``order`` by keys, as columns of the same names behind ``sum_``.
+
+    ``order`` has no equal values within a key.  Rows are dealt by ranges of keys and order; each range is summed by
+    itself, on top of the totals of the ranges before it, which are one row each, so a key of any size spreads.
+    """
+    ranges = kept(df.repartitionByRange(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), *keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in columns))
+    base = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranges.withColumns({f"sum_{c}": F.sum(c).over(inside) for c in columns}).join(base, [*keys, "_range"])
+    return summed.withColumns({f"sum_{c}": F.col(f"sum_{c}") + F.col(f"_{c}") for c in columns}).drop("_range", *(f"_{c}" for c in columns))

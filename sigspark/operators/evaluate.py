@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions.stats import kde_threshold
-from sigspark.operators.joins import best_unit_ordering, greedy_match
+from sigspark.operators.blocks import running_sums
+from sigspark.operators.joins import best_unit_ordering, greedy_match, merged_runs
+from sigspark.operators.matching import windows_of
 
 
 def prune(spikes: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -68,6 +70,86 @@ def threshold_roc(est: DataFrame, true: DataFrame, slack: float, *, levels: Sequ
     return rows.withColumn("misses", F.col("n_true") - F.col("hits")).withColumn("false_positives", F.col("n_est") - F.col("hits"))
 
 
+def gains(first: np.ndarray, last: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which estimates, taken in ``order``, let the number of matches grow; estimate i fits true events [first, last).
+
+    A greedy match in time is a largest one, and sets of estimates that can all be matched are independent as in a
+    matroid, so among the estimates taken so far there are as many matches as gains.  A tree over the estimates in time
+    holds for each span the place that its last match takes, max(before + a, b), and the latest place before it, c, from
+    which all of its own are in time.
+    """
+    size = 1 << max(0, len(first) - 1).bit_length()
+    far = 1 << 60
+    a, b, c = [0] * (2 * size), [-far] * (2 * size), [far] * (2 * size)
+    out = np.zeros(len(first), bool)
+    for i in order.tolist():
+        lo, hi = int(first[i]), int(last[i])
+        if lo >= hi:
+            continue
+        at, undo = size + i, []
+        new = (1, lo, hi - 2)
+        while at:
+            undo.append((at, a[at], b[at], c[at]))
+            a[at], b[at], c[at] = new
+            at >>= 1
+            if at:
+                x, y = 2 * at, 2 * at + 1
+                new = (a[x] + a[y], max(b[x] + a[y], b[y]), min(c[x], c[y] - a[x]) if b[x] <= c[y] else -far)
+        if c[1] >= -1:
+            out[i] = True
+        else:
+            for at, *old in undo:
+                a[at], b[at], c[at] = old
+    return out
+
+
+def amplitude_roc(est: DataFrame, true: DataFrame, slack: float) -> DataFrame:
+    """Scores of each cell at 0 and at each of its amplitudes but the greatest, as thresholds: cell_id, rank, threshold,
+    n_est, hits, misses, false_positives, miss_rate, fp_rate.
+
+    Rank is the threshold's place in ascending order, from 1; equal amplitudes are as many rows.  An estimate passes if
+    its amplitude is over the threshold.  fp_rate divides by the estimates from that place on, miss_rate by all true ones.
+    Each run of neighbours in reach is matched once, in falling order of amplitude: an estimate that lets its run's
+    matches grow is a gain at its amplitude, and the matches over a threshold are the gains over it, a running sum.
+    """
+    runs = merged_runs(est, true, slack, keys=("cell_id",))
+    sides = Window.partitionBy("cell_id", "_run")
+    runs = runs.withColumn("_sides", F.min("_side").over(sides) + 2 * F.max("_side").over(sides)).where("_sides = 2").drop("_sides")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        side, t, amp = rows["_side"].to_numpy(), rows["t"].to_numpy(), rows["amp"].to_numpy(float)
+        gained = gains(*windows_of(t[side == 0], t[side == 1], -slack, slack, True), np.argsort(-amp[side == 0], kind="stable"))
+        return pd.DataFrame({"cell_id": rows["cell_id"].iloc[0], "amp": amp[side == 0][gained]})
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            starts = np.flatnonzero((batch[["cell_id", "_run"]] != batch[["cell_id", "_run"]].shift()).any(axis=1).to_numpy())
+            if held and (batch[["cell_id", "_run"]].iloc[0] == held[-1][["cell_id", "_run"]].iloc[-1]).all():
+                starts = starts[1:]
+            for part, fresh in zip(np.split(batch, starts), [False, *[True] * len(starts)], strict=True):
+                if fresh and held:
+                    yield run(pd.concat(held))
+                    held = []
+                if len(part):
+                    held.append(part)
+        if held:
+            yield run(pd.concat(held))
+
+    cell = dict(est.dtypes)["cell_id"]
+    gained = runs.sortWithinPartitions("cell_id", "_run", "t", "id").mapInPandas(stream, f"cell_id {cell}, amp double")
+    both = est.select("cell_id", "amp", F.lit(1).alias("n"), F.lit(0).alias("gain")).unionByName(gained.select("cell_id", "amp", F.lit(0).alias("n"), F.lit(1).alias("gain")))
+    steps = running_sums(both.groupBy("cell_id", "amp").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain")), ("n", "gain"), "amp", keys=("cell_id",))
+    positive = F.col("amp") > 0
+    totals = steps.groupBy("cell_id").agg(F.max("sum_n").alias("all_n"), F.max("sum_gain").alias("all_gain"), F.coalesce(F.sum(F.when(positive, F.col("n"))), F.lit(0)).alias("n_est"), F.coalesce(F.sum(F.when(positive, F.col("gain"))), F.lit(0)).alias("hits"))
+    over = steps.join(totals.drop("n_est", "hits"), "cell_id").select("cell_id", F.col("amp").alias("threshold"), (F.col("all_n") - F.col("sum_n")).alias("n_est"), (F.col("all_gain") - F.col("sum_gain")).alias("hits"), "all_n", F.explode(F.sequence(F.col("sum_n") - F.col("n") + 2, F.col("sum_n") + 1)).alias("rank")).where("rank <= all_n")
+    rows = over.unionByName(totals.select("cell_id", F.lit(0.0).alias("threshold"), "n_est", "hits", "all_n", F.lit(1).cast("long").alias("rank")))
+    n_true = true.groupBy("cell_id").agg(F.count("*").alias("n_true"))
+    scored = rows.join(n_true, "cell_id", "left").na.fill(0, ["n_true"]).withColumn("misses", F.col("n_true") - F.col("hits")).withColumn("false_positives", F.col("n_est") - F.col("hits"))
+    rates = scored.withColumn("miss_rate", F.when(F.col("n_true") > 0, F.col("misses") / F.col("n_true"))).withColumn("fp_rate", F.col("false_positives") / (F.col("all_n") - F.col("rank") + 1))
+    return rates.select("cell_id", "rank", "threshold", "n_est", "hits", "misses", "false_positives", "miss_rate", "fp_rate")
+
+
 def score_best_order(est: DataFrame, true: DataFrame, slack: float, thresholds: DataFrame | None = None) -> DataFrame:
     """``score`` after estimated units took the names of the true units they fit best; thresholds go by estimated unit.
 
@@ -93,4 +175,4 @@ def rank_by_norm(means: DataFrame, *, label: str = "label") -> DataFrame:
     return norms.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("norm"), label)) - 1)
 
 
-__all__ = ["auto_thresholds", "prune", "rank_by_norm", "reorder_truth", "score", "score_best_order", "summary", "threshold_roc"]
+__all__ = ["amplitude_roc", "auto_thresholds", "gains", "prune", "rank_by_norm", "reorder_truth", "score", "score_best_order", "summary", "threshold_roc"]

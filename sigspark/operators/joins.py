@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigspark.operators.matching import run_block, scan_match, windows_of
+
 
 def band_join(events: DataFrame, triggers: DataFrame, low: int, high: int, *, keys: Sequence[str] = (), t: str = "t", trigger_t: str = "trigger_t") -> DataFrame:
     """All pairs with low <= event - trigger <= high (both ends in).
@@ -59,19 +61,7 @@ def match_sorted(est: np.ndarray, true: np.ndarray, low: float, high: float, clo
 
     In ascending order each takes the first unused true time with low <= true - est <= high (strictly if not closed).
     """
-    out = np.full(len(est), -1, np.int64)
-    used = np.zeros(len(true), bool)
-    start = 0
-    for i, x in enumerate(est):
-        while start < len(true) and (true[start] - x < low or (not closed and true[start] - x == low)):
-            start += 1
-        j = start
-        while j < len(true) and (used[j] or (not closed and true[j] - x <= low)):
-            j += 1
-        if j < len(true) and (true[j] - x < high or (closed and true[j] - x == high)):
-            out[i] = j
-            used[j] = True
-    return out
+    return run_block(*windows_of(est, true, low, high, closed), 0)[0]
 
 
 def match_by_amplitude(est: np.ndarray, amps: np.ndarray, true: np.ndarray, slack: float) -> np.ndarray:
@@ -114,8 +104,12 @@ def greedy_match(est: DataFrame, true: DataFrame, low: float, high: float, *, ke
     Greedy in ascending order of time; ``by_amplitude`` matches each true time with the largest estimate within
     ``high`` instead.  Unmatched events have no row; their anti-join gives misses and false positives.
     """
-    reach = max(abs(low), abs(high))
-    runs = merged_runs(est, true, reach, keys=keys)
+    return _match_amplitudes(est, true, high, keys) if by_amplitude else scan_match(est, true, low, high, keys=keys, closed=closed)
+
+
+def _match_amplitudes(est: DataFrame, true: DataFrame, slack: float, keys: Sequence[str]) -> DataFrame:
+    """Runs match apart: which of a run's estimates are taken depends on all before them, so a run is one task's."""
+    runs = merged_runs(est, true, slack, keys=keys)
     # Runs with one side only can't match and never reach Python.  This window also brings each run into one task.
     sides = Window.partitionBy(*keys, "_run")
     runs = runs.withColumn("_sides", F.min("_side").over(sides) + 2 * F.max("_side").over(sides)).where("_sides = 2").drop("_sides")
@@ -127,30 +121,29 @@ def greedy_match(est: DataFrame, true: DataFrame, low: float, high: float, *, ke
         """Whole runs of one train, in order of time; what is out of reach is never taken, so runs need not be told apart."""
         side = rows["_side"].to_numpy()
         t, ids = rows["t"].to_numpy(), rows["id"].to_numpy()
-        if by_amplitude:
-            got = match_by_amplitude(t[side == 0], rows["amp"].to_numpy()[side == 0], t[side == 1], high)
-            hit = np.flatnonzero(got >= 0)
-            left, right = ids[side == 0][got[hit]], ids[side == 1][hit]
-        else:
-            got = match_sorted(t[side == 0], t[side == 1], low, high, closed)
-            hit = np.flatnonzero(got >= 0)
-            left, right = ids[side == 0][hit], ids[side == 1][got[hit]]
-        out = pd.DataFrame({"est_id": left, "true_id": right})
+        got = match_by_amplitude(t[side == 0], rows["amp"].to_numpy()[side == 0], t[side == 1], slack)
+        hit = np.flatnonzero(got >= 0)
+        out = pd.DataFrame({"est_id": ids[side == 0][got[hit]], "true_id": ids[side == 1][hit]})
         for k in reversed(names):
             out.insert(0, k, rows[k].iloc[0])
         return out
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # batches of the last run so far
         for batch in batches:
-            rows = batch if rest is None else pd.concat([rest, batch])
-            tag = rows[[*names, "_run"]]
+            tag = batch[[*names, "_run"]]
             last = (tag == tag.iloc[-1]).all(axis=1)
-            done, rest = rows[~last], rows[last]
-            if len(done):
-                yield pd.concat([match(g) for _, g in done.groupby(names, sort=False)])
-        if rest is not None and len(rest):
-            yield match(rest)
+            if held and not (tag.iloc[0] == held[-1][[*names, "_run"]].iloc[-1]).all():
+                yield match(pd.concat(held))
+                held = []
+            if last.all():
+                held.append(batch)
+                continue
+            done = pd.concat([*held, batch[~last]])
+            held = [batch[last]]
+            yield pd.concat([match(g) for _, g in done.groupby(names, sort=False)])
+        if held:
+            yield match(pd.concat(held))
 
     return runs.sortWithinPartitions(*keys, "_run", "t", "id").mapInPandas(stream, schema)
 

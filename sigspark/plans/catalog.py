@@ -268,7 +268,9 @@ def weighted_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS cell_id, round(quantile_cont(value, 0.5), 4) + 0.0 AS median, round(quantile_cont(value, 0.95), 4) + 0.0 AS p95 FROM events GROUP BY event_type")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_trains(spark, sf_dir).groupBy("cell_id").agg(r(F.percentile("amp", F.lit(0.5))).alias("median"), r(F.percentile("amp", F.lit(0.95))).alias("p95"))
+    found = aggregates.exact_quantiles(events_trains(spark, sf_dir), "amp", (0.5, 0.95), keys=("cell_id",))
+    at = lambda q: r(F.max(F.when(F.col("share") == q, F.col("quantile"))))
+    return found.groupBy("cell_id").agg(at(0.5).alias("median"), at(0.95).alias("p95"))
 
 
 @query("SELECT event_type AS cell_id, round(avg(value), 4) + 0.0 AS mean, round(stddev_samp(value), 4) + 0.0 AS std, max(value) AS most, round(var_samp(value), 3) + 0.0 AS variance, count(DISTINCT value) AS n_distinct FROM events GROUP BY event_type")
@@ -304,7 +306,7 @@ def noise_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRAIN = "SELECT event_id, epoch_us(ts) AS t FROM events WHERE event_type = '{}'"
-_KINDS = ("click", "purchase")
+KINDS = ("click", "purchase")
 
 
 def _train(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -312,12 +314,12 @@ def _train(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triggers = _train(spark, sf_dir, _KINDS[1]).select(F.col("t").alias("trigger_t"), F.col("event_id").alias("trigger_id"))
-    return joins.band_join(_train(spark, sf_dir, _KINDS[0]).select("t", "event_id"), triggers, -BAND, BAND)
+    triggers = _train(spark, sf_dir, KINDS[1]).select(F.col("t").alias("trigger_t"), F.col("event_id").alias("trigger_id"))
+    return joins.band_join(_train(spark, sf_dir, KINDS[0]).select("t", "event_id"), triggers, -BAND, BAND)
 
 
-@query(f"""SELECT e.event_id, g.event_id AS trigger_id, e.t - g.t AS dt FROM ({_TRAIN.format(_KINDS[0])}) e
-    JOIN ({_TRAIN.format(_KINDS[1])}) g ON e.t - g.t BETWEEN -{BAND} AND {BAND}""")
+@query(f"""SELECT e.event_id, g.event_id AS trigger_id, e.t - g.t AS dt FROM ({_TRAIN.format(KINDS[0])}) e
+    JOIN ({_TRAIN.format(KINDS[1])}) g ON e.t - g.t BETWEEN -{BAND} AND {BAND}""")
 def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("event_id", "trigger_id", "dt")
 
@@ -325,11 +327,11 @@ def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BIN = f"CAST(least(greatest(floor((dt + {BAND}) / (2.0 * {BAND} / 49) + 0.5), 0), 49) AS INTEGER)"
 
 
-@query(f"""WITH p AS (SELECT e.t - g.t AS dt FROM ({_TRAIN.format(_KINDS[0])}) e JOIN ({_TRAIN.format(_KINDS[1])}) g ON e.t - g.t BETWEEN -{BAND} AND {BAND})
+@query(f"""WITH p AS (SELECT e.t - g.t AS dt FROM ({_TRAIN.format(KINDS[0])}) e JOIN ({_TRAIN.format(KINDS[1])}) g ON e.t - g.t BETWEEN -{BAND} AND {BAND})
     SELECT {_BIN} AS bin, CAST(count(*) * CASE WHEN {_BIN} = 49 THEN 2 ELSE 1 END AS BIGINT) AS n FROM p GROUP BY 1""")
 def cross_correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    triggers = _train(spark, sf_dir, _KINDS[1]).select(F.col("t").alias("trigger_t"))
-    return aggregates.correlogram(_train(spark, sf_dir, _KINDS[0]), triggers, -BAND, BAND).select("bin", F.col("n").cast("long").alias("n"))
+    triggers = _train(spark, sf_dir, KINDS[1]).select(F.col("t").alias("trigger_t"))
+    return aggregates.correlogram(_train(spark, sf_dir, KINDS[0]), triggers, -BAND, BAND).select("bin", F.col("n").cast("long").alias("n"))
 
 
 @query(f"""WITH p AS (SELECT e.event_type AS cell_id, epoch_us(e.ts) - epoch_us(g.ts) AS dt FROM events e JOIN events g ON e.event_type = g.event_type AND epoch_us(e.ts) - epoch_us(g.ts) BETWEEN -{BAND} AND {BAND})
@@ -360,8 +362,8 @@ def _est_true(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 SLACK = 300_000_000
 
 _MATCH = f"""
-    est AS (SELECT event_type AS cell_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value > 40),
-    tru AS (SELECT event_type AS cell_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE user_id % 2 = 0),
+    est AS MATERIALIZED (SELECT event_type AS cell_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value > 40),
+    tru AS MATERIALIZED (SELECT event_type AS cell_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE user_id % 2 = 0),
     step AS (
         SELECT c.cell_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS est_id, CAST(NULL AS BIGINT) AS true_id FROM (SELECT DISTINCT event_type AS cell_id FROM events) c
         UNION ALL
@@ -433,12 +435,6 @@ def best_unit_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(joins.best_unit_ordering(est, true, SLACK), "true_cell string, est_cell string")
 
 
-@query()
-def threshold_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
-    return evaluate.threshold_roc(est, true, SLACK, levels=[40.0, 60.0, 80.0, 120.0, 200.0])
-
-
 @query()
 def kde_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amplitudes brought to [0.3, 1] by their greatest."""
@@ -482,11 +478,6 @@ def spectrum_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.spectrum(events_trace(spark, sf_dir), _FREQS, 1.0).select("freq", r("magnitude", 2).alias("magnitude"))
 
 
-@query("SELECT s AS cell_id, CAST(unnest(range(-(s * 10 // 2), s * 10 // 2 + 1, s)) AS INTEGER) AS grid FROM (SELECT CAST(unnest([3, 4, 7]) AS INTEGER) AS s)")
-def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame([(3,), (4,), (7,)], "cell_id int")
-    half = F.floor(F.col("cell_id") * 10 / 2).cast("int")
-    return cells.select("cell_id", F.explode(F.sequence(-half, half, F.col("cell_id"))).alias("grid"))
 
 
 # Sparse matrices and sets

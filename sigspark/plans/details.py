@@ -69,6 +69,32 @@ def resize_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("snip_id", "cut", F.size("w").cast("long").alias("n"), r(F.aggregate("w", F.lit(0.0), lambda s, y: s + y)).alias("total"))
 
 
+_TRIMMED = f"""
+    e AS (SELECT vec_id, label, {_X} AS x FROM embeddings), m AS (SELECT vec_id, label, x, list_max(list_transform(x, lambda y: abs(y))) AS top FROM e),
+    f AS (SELECT vec_id, label, list_filter(range(1, 65), lambda i: abs(x[i]) > 0.5 * top) AS big FROM m), n AS (SELECT vec_id, label, 77 - 2 * least(list_min(big) - 1, 64 - list_max(big)) AS n FROM f)"""
+
+
+def _trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waveform lengths of vectors whose ends under half of the peak are cut evenly, with six samples of margin."""
+    cut = C.snip_ends(F.col("features"), 0.5)
+    return vectors(spark, sf_dir).select("snip_id", "label", (77 - 2 * cut).alias("n"))
+
+
+@query(f"WITH {_TRIMMED} SELECT vec_id AS snip_id, CAST(unnest(range(-CAST(n // 2 AS BIGINT), CAST(n // 2 AS BIGINT) + 1, CAST(3 + label AS BIGINT))) AS BIGINT) AS grid FROM n")
+def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of shifts over each waveform's length, whose spacing is its cluster's."""
+    points = C.uniform_grid([F.col("n")], [3 + F.col("label")])
+    return _trimmed(spark, sf_dir).select("snip_id", F.explode(points).alias("x")).select("snip_id", F.col("x")[0].alias("grid"))
+
+
+@query(f"""WITH {_TRIMMED}, x AS (SELECT vec_id, n, unnest(range(-CAST(n // 2 AS BIGINT), CAST(n // 2 AS BIGINT) + 1, CAST(9 + label AS BIGINT))) AS x FROM n)
+    SELECT vec_id AS snip_id, x, unnest(range(-7, 8, 5)) AS y FROM x""")
+def grid_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a second dimension of fifteen places."""
+    points = C.uniform_grid([F.col("n"), F.lit(15)], [9 + F.col("label"), F.lit(5)])
+    return _trimmed(spark, sf_dir).select("snip_id", F.explode(points).alias("p")).select("snip_id", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+
+
 @query(f"SELECT vec_id AS snip_id, round(2 * CAST(embedding[1] AS DOUBLE) + CAST(embedding[64] AS DOUBLE), 5) + 0.0 AS first, round(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(embedding[65 - i] AS DOUBLE))), 4) + 0.0 AS folded FROM embeddings WHERE NOT list_contains({_X}, CAST('nan' AS DOUBLE))")
 def vector_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2 x + its mirror image, and the product of both, of vectors without NaN."""
@@ -91,6 +117,21 @@ def display_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.where((F.col("t") > 100) & (F.col("t") < 220)).select("t", "v")
 
 
+@query("""WITH k AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS a, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS z FROM events WHERE value > 100)
+    SELECT event_type AS cell_id, 'first' AS side, a AS place, event_id FROM k WHERE a <= 5 UNION ALL SELECT event_type, 'last', z, event_id FROM k WHERE z <= 5""")
+def first_last_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last five events of a type over a level, by order of id."""
+    loud = events_trains(spark, sf_dir).where("amp > 100").select("cell_id", "event_id")
+    return aggregates.first_last(loud, "event_id", 5, keys=("cell_id",)).select("cell_id", "side", "place", "event_id")
+
+
+@query()
+def sample_few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten events of each type, drawn without replacement: the same ones from any partitioning."""
+    e = events_trains(spark, sf_dir).select("cell_id", "event_id")
+    return aggregates.sample_without_replacement(e, 10, ["event_id"], keys=("cell_id",), seed=7).select("cell_id", "event_id")
+
+
 @query("""SELECT event_type AS cell_id, min(event_id) FILTER (WHERE value > 100) AS first, max(event_id) FILTER (WHERE value > 100) AS last FROM events GROUP BY event_type""")
 def first_last_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     loud = F.when(F.col("amp") > 100, F.col("event_id"))
@@ -113,19 +154,21 @@ def prefix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.prefix_index(events_trains(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "n")
 
 
-@query("""WITH h AS (SELECT CAST(value // 10 AS INTEGER) AS rank, count(*) AS n FROM events GROUP BY 1),
+@query("""WITH h AS (SELECT CAST(floor(value / 10) AS INTEGER) AS rank, count(*) AS n FROM events GROUP BY 1),
     s AS (SELECT rank, 100.0 * sum(n) OVER (ORDER BY rank) / sum(n) OVER () AS share FROM h) SELECT CAST(greatest(min(rank), 2) AS INTEGER) AS kept FROM s WHERE share > 80""")
 def cumulative_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = events_trace(spark, sf_dir).groupBy(F.floor(F.col("v") / 10).cast("int").alias("rank")).agg(F.count("*").alias("n"))
     return windows.cumulative_cutoff(bins, 80.0, value="n").select(F.col("kept").cast("int").alias("kept"))
 
 
-@query("SELECT event_type AS cell_id, array_to_string(list(event_id ORDER BY value, event_id), ',') AS ids, round(avg(CASE WHEN value > 40 THEN 1 ELSE 0 END), 6) AS share FROM events GROUP BY event_type")
+@query("""WITH k AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS place FROM events)
+    SELECT event_type AS cell_id, place // 100 AS block, min(place) AS start, count(*) AS n, array_to_string(list(event_id ORDER BY place), ',') AS ids, round(avg(CASE WHEN value > 40 THEN 1 ELSE 0 END), 6) AS share FROM k GROUP BY 1, 2""")
 def pooled_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values pooled over days by type, in their order (ids of them), and the share over a level."""
-    e = events_trains(spark, sf_dir)
-    pooled = e.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("amp", "event_id"))).alias("p"), F.round(F.avg((F.col("amp") > 40).cast("int")), 6).alias("share"))
-    return pooled.select("cell_id", F.array_join(F.transform("p", lambda x: x["event_id"]), ",").alias("ids"), "share")
+    """Values pooled over days by type in their order, in blocks of a hundred (ids of them), and the share over a level."""
+    e = events_trains(spark, sf_dir).select("cell_id", "amp", "event_id")
+    pooled = aggregates.pooled(e, "amp", "event_id", 100, keys=("cell_id",))
+    over = F.size(F.filter("values", lambda x: x["amp"] > 40)) / F.col("n")
+    return pooled.select("cell_id", "block", "start", "n", F.array_join(F.transform("values", lambda x: x["event_id"]), ",").alias("ids"), F.round(over, 6).alias("share"))
 
 
 @query("""SELECT event_id, round(exp(-pow((value - 50) / 25, 2) / 2) / sqrt(2 * pi()), 6) + 0.0 AS pdf,
@@ -160,8 +203,8 @@ def evaluate_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ROC = f"""
     levels AS (SELECT CAST(unnest({_LEVELS}) AS DOUBLE) AS threshold),
-    est AS (SELECT event_type AS cell_id, threshold, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type, threshold ORDER BY ts, event_id) AS k FROM events, levels WHERE value > 40 AND value > threshold),
-    tru AS (SELECT event_type AS cell_id, threshold, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type, threshold ORDER BY ts, event_id) AS k FROM events, levels WHERE user_id % 2 = 0),
+    est AS MATERIALIZED (SELECT event_type AS cell_id, threshold, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type, threshold ORDER BY ts, event_id) AS k FROM events, levels WHERE value > 40 AND value > threshold),
+    tru AS MATERIALIZED (SELECT event_type AS cell_id, threshold, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type, threshold ORDER BY ts, event_id) AS k FROM events, levels WHERE user_id % 2 = 0),
     step AS (
         SELECT c.cell_id, c.threshold, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS est_id FROM (SELECT DISTINCT cell_id, threshold FROM tru) c
         UNION ALL
@@ -180,6 +223,20 @@ def roc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("miss_rate", rate("misses", "n_true")).withColumn("fp_rate", rate("false_positives", "n_est"))
 
 
+@query(f"WITH RECURSIVE {_ROC} SELECT * FROM score")
+def threshold_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    est, true = _est_true(spark, sf_dir)
+    return evaluate.threshold_roc(est, true, SLACK, levels=_LEVELS).select("cell_id", "threshold", "n_true", "n_est", "hits", "misses", "false_positives")
+
+
+@query()
+def roc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores at every amplitude of every unit as its threshold."""
+    est, true = _est_true(spark, sf_dir)
+    rows = evaluate.amplitude_roc(est, true, SLACK)
+    return rows.withColumns({c: r(c, 6) for c in ("miss_rate", "fp_rate")})
+
+
 @query()
 def roc_auto_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The point of all units at their automatic thresholds, which come from densities of amplitudes scaled to [0.3, 1]."""

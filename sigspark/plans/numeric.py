@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from datetime import timedelta
 
 import numpy as np
@@ -13,23 +10,14 @@ from pyspark.sql import functions as F
 
 from sigspark.functions import registry
 from sigspark.operators import aggregates, decompose, learning, signal
+from sigspark.operators.tables import kept, shared_folder
 from sigspark.params import Params
 from sigspark.plans import details  # noqa: F401  registers its queries
-from sigspark.plans.catalog import SLACK, QUERIES, query
+from sigspark.plans.catalog import BAND, KINDS, ORACLE_SQL, QUERIES, SLACK, query
 from sigspark.sources.recordings import CHANNELS, events_trace, events_trains, lineitem_channels, vectors
 from sigspark.streaming import twins
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder under the session's checkpoint folder; a temporary one only where a local session has none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = f"file://{tempfile.gettempdir()}"
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
-
-
 @query()
 def pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     value, _ = learning.components(vectors(spark, sf_dir), 64, 90.0)
@@ -77,15 +65,8 @@ def _waveforms() -> list[np.ndarray]:
 @query()
 def pursuit_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two templates pursued through the whole trace of events, less its mean, in three rounds."""
-    folder = _folder(spark)
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = f"{folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     flat = aggregates.centered(events_trace(spark, sf_dir), ["v"], 2)
-    found = decompose.pursue(flat, _waveforms(), 60.0, 3, [0], keep)
+    found = decompose.pursue(flat, _waveforms(), 60.0, 3, [0], lambda df: kept(df, "pursuit"))
     return found.select("cell_id", "t", F.round("amp", 4).alias("amp"), "round")
 
 
@@ -99,7 +80,7 @@ def session_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _whole_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """The events as a stream that ends two days behind the last one, and its folder."""
-    folder, path = _folder(spark), f"{sf_dir}/events.parquet"
+    folder, path = shared_folder(spark, "stream"), f"{sf_dir}/events.parquet"
     return twins.ended(twins.event_stream(spark, path), spark.read.parquet(path), folder, timedelta(days=2)), folder
 
 
@@ -116,16 +97,25 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twins.drain(twins.sessions(stream, "6 hours", late="1 hour"), folder, "sessions")
 
 
-@query()
+@query(ORACLE_SQL["greedy_match"])
 def stream_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matches of ``greedy_match``, as the watermark settles them."""
-    path, folder = f"{sf_dir}/events.parquet", _folder(spark)
+    path, folder = f"{sf_dir}/events.parquet", shared_folder(spark, "stream")
     e = twins.event_stream(spark, path)
     sides = F.array_compact(F.array(F.when(F.col("value") > 40, 0), F.when(F.col("user_id") % 2 == 0, 1)))
     both = e.select(F.col("event_type").alias("cell_id"), F.explode(sides).alias("side"), F.col("event_id").alias("id"), "ts")
     both = twins.ended(both, spark.read.parquet(path), folder, timedelta(days=2), cell_id="", side=0, id=-1)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return twins.drain(twins.greedy_match_stream(both, -SLACK, SLACK), folder, "matches")
+    with twins.rocksdb_state(spark):
+        return twins.drain(twins.greedy_match_stream(both, -SLACK, SLACK), folder, "matches")
+
+
+@query(ORACLE_SQL["cross_correlogram"])
+def stream_correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of ``cross_correlogram`` as a join of two streams with watermarks, and their bins."""
+    path, folder = f"{sf_dir}/events.parquet", shared_folder(spark, "stream")
+    events, triggers = (twins.event_stream(spark, path).where(F.col("event_type") == kind) for kind in KINDS)
+    pairs = twins.correlogram_pairs(events.select("ts"), triggers.select(F.col("ts").alias("trigger_ts")), -BAND, BAND).select("dt")
+    return aggregates.pair_correlogram(twins.drain(pairs, folder, "pairs"), -BAND, BAND).select("bin", F.col("n").cast("long").alias("n"))
 
 
 __all__ = ["QUERIES"]
