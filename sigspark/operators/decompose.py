@@ -16,17 +16,6 @@ from sigspark.operators import aggregates, windows
 from sigspark.operators.joins import band_join
 
 
-def snippet_rows(trace: DataFrame, snippets: DataFrame, channels: Sequence[int], *, rec: str = "rec_id") -> DataFrame:
-    """Snippets (start, end, center) with their samples, time by channel: rec_id, snip_id, center, len, data."""
-    width = 1 << 12
-    spans = snippets.select(rec, F.col("start").alias("snip_id"), "start", "end", "center", "len", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
-    near = trace.withColumn("_b", F.floor(F.col("t") / width)).join(spans, [rec, "_b"]).where("t between start and end")
-    at = near.groupBy(rec, "snip_id", "center", "len", "t").agg(F.map_from_entries(F.collect_list(F.struct("channel", "v"))).alias("m"))
-    row = F.array(*(F.coalesce(F.element_at("m", F.lit(c)), F.lit(0.0)) for c in channels))
-    ordered = F.sort_array(F.collect_list(F.struct("t", row.alias("x"))))
-    return at.groupBy(rec, "snip_id", "center", "len").agg(F.transform(ordered, lambda p: p["x"]).alias("data"))
-
-
 def template_gains(trace: DataFrame, waveforms: list[np.ndarray], channels: Sequence[int]) -> DataFrame:
     """At each sample the template (time x channel, of one odd length) that takes most of the squares away: rec_id, t, cell_id, amp, gain.
 
@@ -75,16 +64,16 @@ def reconstruct(spikes: DataFrame, waveforms: list[np.ndarray], length: int) ->
     return spikes.join(shape, "cell_id").groupBy("rec_id", "channel", (F.round("t") + F.col("lag")).cast("long").alias("t")).agg(F.sum(F.col("amp") * F.col("w")).alias("v"))
 
 
-def refit_waveforms(trace: DataFrame, spikes: DataFrame, thresholds: dict[int, float], half: int, channels: Sequence[int]) -> dict[int, np.ndarray]:
-    """Waveforms as means of the trace around each cell's spikes above its threshold."""
-    kept = spikes.where(F.col("amp") > F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in thresholds.items() for x in (k, float(v)))), F.col("cell_id")), F.lit(0.0)) if thresholds else F.lit(True))
+def refit_waveforms(trace: DataFrame, spikes: DataFrame, thresholds: DataFrame, half: int) -> DataFrame:
+    """Waveforms as means of the trace around each cell's spikes above its threshold, 0 outside of the trace: cell_id, channel, lag, w.
+
+    ``spikes`` has rec_id, cell_id, t and amp; a cell without a row in ``thresholds`` (cell_id, threshold) keeps all.
+    """
+    kept = spikes.join(thresholds, "cell_id", "left").where(F.col("amp") > F.coalesce("threshold", F.lit(float("-inf"))))
     marks = kept.select("rec_id", "cell_id", F.round("t").cast("long").alias("trigger_t"))
-    n = {r["cell_id"]: r["n"] for r in marks.groupBy("cell_id").agg(F.count("*").alias("n")).collect()}
-    out = {cell: np.zeros((2 * half + 1, len(channels))) for cell in n}
-    pairs = band_join(trace.select("rec_id", "channel", "t", "v"), marks, -half, half, keys=("rec_id",))
-    for r in pairs.groupBy("cell_id", "channel", "dt").agg(F.sum("v").alias("s")).collect():
-        out[r["cell_id"]][r["dt"] + half, list(channels).index(r["channel"])] = r["s"] / n[r["cell_id"]]
-    return out
+    n = marks.groupBy("cell_id").agg(F.count("*").alias("n"))
+    sums = band_join(trace.select("rec_id", "channel", "t", "v"), marks, -half, half, keys=("rec_id",)).groupBy("cell_id", "channel", F.col("dt").alias("lag")).agg(F.sum("v").alias("s"))
+    return sums.join(n, "cell_id").select("cell_id", "channel", "lag", (F.col("s") / F.col("n")).alias("w"))
 
 
-__all__ = ["pursue", "reconstruct", "refit_waveforms", "snippet_rows", "template_gains"]
+__all__ = ["pursue", "reconstruct", "refit_waveforms", "template_gains"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sigspark.operators import aggregates
 from sigspark.operators.blocks import with_halo
+from sigspark.operators.tables import kept
 from sigspark.operators.windows import quiet_zones
 
 KEYS = ("rec_id", "channel")
@@ -92,6 +94,27 @@ def standardise(trace: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     return flat.withColumn("v", F.col("v") / F.lit(most))
 
 
+def history(trace: DataFrame) -> list[dict[str, object]]:
+    """What was done to a trace, in order: operation and params, from the metadata of its column v."""
+    return json.loads(trace.schema["v"].metadata.get("processing", "[]"))
+
+
+def recorded(trace: DataFrame, source: DataFrame, operation: str, **params: object) -> DataFrame:
+    """``trace`` with the history of ``source`` and one more operation."""
+    done = [*history(source), {"operation": operation, "params": params}]
+    return trace.withMetadata("v", {"processing": json.dumps(done)})
+
+
+def filter_recording(trace: DataFrame, freq: Sequence[float], dt: float, order: int, *, kind: str = "fir", keys: Sequence[str] = KEYS) -> DataFrame:
+    """A recording filtered (``fir``, or ``butter`` without taking back a delay), each channel less its mean, and all divided
+    by the greatest magnitude.  No frequencies: the filter is left out, all else is done.  The history tells of it."""
+    out = trace
+    if len(freq):
+        taps = fir_taps(freq, dt, order) if kind == "fir" else butterworth(freq, dt, order)
+        out = filter_trace(trace, taps, compensate=kind == "fir", keys=keys)
+    return recorded(standardise(out, keys=keys), trace, "filtering", freq=list(freq), order=order, kind=kind)
+
+
 def numbered(rows: DataFrame, order: Sequence[str], *, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
     """``rows`` with their 0-based place t in ``order`` by keys; the first column of ``order`` is a whole number.
 
@@ -121,6 +144,36 @@ def whitening_filter(acf: Sequence[float]) -> np.ndarray:
     return inverse_root(matrix, 1e-6)[:, n // 2]
 
 
+def noise_zones(trace: DataFrame, threshold: float, min_zone: int, *, rec: str = "rec_id", width: int = 1 << 12) -> DataFrame:
+    """Runs where the magnitude over channels stays below ``threshold``, in the buckets of time that each meets: rec_id, start, end, _b."""
+    level = trace.groupBy(rec, "t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v"))
+    zones = quiet_zones(level, threshold, min_zone, keys=(rec,))
+    return zones.select(rec, F.col("start"), F.col("end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
+
+
+def in_zones(trace: DataFrame, zones: DataFrame, *, rec: str = "rec_id", width: int = 1 << 12) -> DataFrame:
+    """The samples in noise zones, with the zone's start as ``zone``."""
+    near = trace.withColumn("_b", F.floor(F.col("t") / width)).join(zones, [rec, "_b"])
+    return near.where("t between start and end").withColumn("zone", F.col("start")).drop("_b", "start", "end")
+
+
+def noise_acf(noise: DataFrame, lags: int, *, rec: str = "rec_id") -> DataFrame:
+    """Autocorrelation of each channel over the zones of all recordings: channel, lag, acf."""
+    sums = aggregates.lag_products(noise, lags, keys=(rec, "channel"), zone="zone").groupBy("channel", "lag").agg(F.sum("s").alias("s"))
+    return aggregates.autocorrelation(sums, keys=("channel",))
+
+
+def noise_covariance(noise: DataFrame, *, rec: str = "rec_id") -> tuple[list[object], np.ndarray]:
+    """The channels in order, and their covariance over the zones' samples."""
+    channels = sorted(r["channel"] for r in noise.select("channel").distinct().collect())
+    wide = noise.groupBy(rec, "t").pivot("channel", channels).agg(F.first("v"))
+    names = [f"c{i}" for i in range(len(channels))]
+    cov = np.zeros((len(names), len(names)))
+    for r in aggregates.covariance(wide.toDF(rec, "t", *names), names).collect():
+        cov[names.index(r["one"]), names.index(r["two"])] = r["cov"]
+    return channels, cov
+
+
 def whiten(trace: DataFrame, threshold: float, min_zone: int, lags: int, *, reg: float = 0.0, rec: str = "rec_id") -> DataFrame:
     """Whiten each channel in time, then all channels together, by the noise of all recordings' quiet zones: rec_id, channel, t, v.
 
@@ -128,20 +181,9 @@ def whiten(trace: DataFrame, threshold: float, min_zone: int, lags: int, *, reg:
     channels are all that comes to the driver.
     """
     keys = (rec, "channel")
-    level = trace.groupBy(rec, "t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v"))
-    zones = quiet_zones(level, threshold, min_zone, keys=(rec,))
-    width = 1 << 12
-    spans = zones.select(rec, F.col("start"), F.col("end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
-
-    def in_zones(x: DataFrame) -> DataFrame:
-        near = x.withColumn("_b", F.floor(F.col("t") / width)).join(spans, [rec, "_b"])
-        return near.where("t between start and end").withColumn("zone", F.col("start")).drop("_b", "start", "end")
-
-    noise = in_zones(trace)
-    sums = aggregates.lag_products(noise, lags, keys=keys, zone="zone").groupBy("channel", "lag").agg(F.sum("s").alias("s"))
-    acf = aggregates.autocorrelation(sums, keys=("channel",))
+    zones = kept(noise_zones(trace, threshold, min_zone, rec=rec), "noise-zones")
     by_channel: dict[object, list[tuple[int, float]]] = {}
-    for r in acf.collect():
+    for r in noise_acf(in_zones(trace, zones, rec=rec), lags, rec=rec).collect():
         by_channel.setdefault(r["channel"], []).append((r["lag"], r["acf"]))
     if not by_channel:
         raise ValueError("no noise zone to whiten by")
@@ -150,15 +192,24 @@ def whiten(trace: DataFrame, threshold: float, min_zone: int, lags: int, *, reg:
         taps = whitening_filter([x for _, x in sorted(values)])
         part = filter_trace(trace.where(F.col("channel") == channel), taps, keys=keys, pad_edges=False)
         out = part if out is None else out.unionByName(part)
-    channels = sorted(by_channel)
-    wide = in_zones(out).groupBy(rec, "t").pivot("channel", channels).agg(F.first("v"))
-    wide = wide.toDF(rec, "t", *(f"c{i}" for i in range(len(channels))))
-    names = [f"c{i}" for i in range(len(channels))]
-    cov = np.zeros((len(names), len(names)))
-    for r in aggregates.covariance(wide, names).collect():
-        cov[names.index(r["one"]), names.index(r["two"])] = r["cov"]
-    root = inverse_root(cov + reg * np.eye(len(names)))
+    out = kept(out, "whitened-in-time")
+    channels, cov = noise_covariance(in_zones(out, zones, rec=rec), rec=rec)
+    root = inverse_root(cov + reg * np.eye(len(channels)))
     mixed = out.withColumn("_w", F.element_at(F.create_map(*(x for i, c in enumerate(channels) for x in (F.lit(c), F.array(*(F.lit(float(k)) for k in root[:, i]))))), F.col("channel")))
     parts = mixed.select(rec, "t", "v", F.posexplode("_w").alias("_to", "_k")).groupBy(rec, "t", "_to").agg(F.sum(F.col("v") * F.col("_k")).alias("v"))
     back = F.element_at(F.create_map(*(x for i, c in enumerate(channels) for x in (F.lit(i), F.lit(c)))), F.col("_to"))
-    return parts.select(rec, back.alias("channel"), "t", "v")
+    white = parts.select(rec, back.alias("channel"), "t", "v")
+    return recorded(white, trace, "whitening", threshold=threshold, min_zone=min_zone, lags=lags, reg=reg)
+
+
+def whitening_report(before: DataFrame, after: DataFrame, threshold: float, min_zone: int, lags: int, *, rec: str = "rec_id") -> DataFrame:
+    """Noise before and after whitening, over the zones of the trace before: stage, kind (``acf`` by channel and lag, ``cov`` by
+    two channels), one, two, value.  Its size is that of the channels and lags."""
+    zones = kept(noise_zones(before, threshold, min_zone, rec=rec), "noise-zones")
+    rows = []
+    for stage, trace in (("before", before), ("after", after)):
+        noise = in_zones(trace, zones, rec=rec)
+        rows += [(stage, "acf", r["channel"], r["lag"], r["acf"]) for r in noise_acf(noise, lags, rec=rec).collect()]
+        channels, cov = noise_covariance(noise, rec=rec)
+        rows += [(stage, "cov", a, b, float(cov[i, j])) for i, a in enumerate(channels) for j, b in enumerate(channels)]
+    return before.sparkSession.createDataFrame(rows, "stage string, kind string, one int, two int, value double")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigspark.operators.tables import kept
 from sigspark.operators.blocks import BLOCK, in_blocks
 
 KEYS = ("rec_id", "channel")
@@ -30,12 +31,6 @@ def local_peaks(trace: DataFrame, threshold: float, reach: int, border: int = 0,
     return peaks
 
 
-def local_minima(points: DataFrame, reach: int, *, keys: Sequence[str], t: str = "t") -> DataFrame:
-    """Points that no point within ``reach`` undercuts."""
-    frame = Window.partitionBy(*keys).orderBy(t).rowsBetween(-reach, reach)
-    return points.withColumn("least", F.min("v").over(frame)).where("v <= least").drop("least")
-
-
 def moving_average(trace: DataFrame, span: int, *, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """The mean over an odd span that shrinks evenly on both sides at the ends of a series: adds ``smooth``."""
     half = span // 2
@@ -141,6 +136,24 @@ def active_partition(trace: DataFrame, threshold: float, min_silence: int, pad:
     return out.withColumn("len", F.col("end") - F.col("start") + 1).withColumn("center", F.floor((F.col("start") + F.col("end")) / 2))
 
 
+def partition_signal(trace: DataFrame, *, smooth_len: int, stds: float, min_silence: int, pad: int, min_snippet: int = 1, rec: str = "rec_id", block: int = BLOCK) -> DataFrame:
+    """Snippets of all channels together, where their magnitude is loud: rec_id, start, end, len, center.
+
+    The magnitude over channels is smoothed over ``smooth_len`` samples, and loud is what exceeds ``stds`` of its standard
+    deviations.  One number for each recording comes to the driver.
+    """
+    level = trace.groupBy(rec, "t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v"))
+    if smooth_len > 1:
+        level = moving_average(level, smooth_len, keys=(rec,), block=block).select(rec, "t", F.col("smooth").alias("v"))
+    smooth = kept(level, "smoothed")  # its deviation comes first, then its runs
+    out = None
+    for r in smooth.groupBy(rec).agg(F.stddev_samp("v").alias("s")).collect():
+        mine = smooth.where(F.col(rec).eqNullSafe(F.lit(r[rec])))
+        part = active_partition(mine, stds * (r["s"] or 0.0), min_silence, pad, min_snippet, keys=(rec,), block=block)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else active_partition(smooth, 0.0, min_silence, pad, min_snippet, keys=(rec,), block=block)
+
+
 def partition_breaks(snippets: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """The gaps between neighbouring snippets: start, end, len; overlapping neighbours leave none."""
     ordered = Window.partitionBy(*keys).orderBy("start")

@@ -56,7 +56,7 @@ def silence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.silence_runs(events_trace(spark, sf_dir), LOUD, SILENCE).select("start", "end", "len")
 
 
-_PARTITION = f"""
+PARTITION = f"""
     x AS (SELECT min(t) AS t0, max(t) AS t1 FROM {TRACE}),
     q AS (SELECT t, t - row_number() OVER (ORDER BY t) AS g FROM {TRACE} WHERE NOT v > {LOUD}),
     quiet AS (SELECT min(t) AS a, max(t) AS b FROM q GROUP BY g HAVING count(*) >= {SILENCE}),
@@ -67,20 +67,20 @@ _PARTITION = f"""
     part AS (SELECT CASE WHEN (b - a) % 2 = 1 THEN greatest(a - 1, t0) ELSE a END AS start, b AS "end" FROM odd)"""
 
 
-def _partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.active_partition(events_trace(spark, sf_dir), LOUD, SILENCE, PAD)
 
 
-@query(f'WITH {_PARTITION} SELECT start, "end", "end" - start + 1 AS len, (start + "end") // 2 AS center FROM part')
+@query(f'WITH {PARTITION} SELECT start, "end", "end" - start + 1 AS len, (start + "end") // 2 AS center FROM part')
 def active_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _partition(spark, sf_dir).select("start", "end", "len", "center")
+    return events_partition(spark, sf_dir).select("start", "end", "len", "center")
 
 
-@query(f"""WITH {_PARTITION},
+@query(f"""WITH {PARTITION},
     g AS (SELECT "end" + 1 AS start, lead(start) OVER (ORDER BY start) - 1 AS "end" FROM part)
     SELECT start, "end", "end" - start + 1 AS len FROM g WHERE "end" >= start""")
 def partition_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.partition_breaks(_partition(spark, sf_dir)).select("start", "end", "len")
+    return windows.partition_breaks(events_partition(spark, sf_dir)).select("start", "end", "len")
 
 
 @query(f"""
@@ -342,18 +342,18 @@ def auto_correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cell_id", "bin", F.col("n").cast("long").alias("n"))
 
 
-@query(f"""WITH {_PARTITION},
+@query(f"""WITH {PARTITION},
     c AS (SELECT (start + "end") // 2 AS center, "end" - start + 1 AS width FROM part),
     p AS (SELECT t FROM {TRACE} WHERE v > 150),
     n AS (SELECT p.t, c.center, c.width, row_number() OVER (PARTITION BY p.t ORDER BY abs(p.t - c.center), c.center) AS k FROM p, c)
     SELECT t, CASE WHEN abs(t - center) <= 0.5 + width / 2.0 THEN center END AS center FROM n WHERE k = 1""")
 def nearest_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = events_trace(spark, sf_dir).where("v > 150").select("rec_id", "channel", "t")
-    spans = _partition(spark, sf_dir).withColumnRenamed("len", "width")
+    spans = events_partition(spark, sf_dir).withColumnRenamed("len", "width")
     return joins.nearest_join(points, spans, keys=("rec_id", "channel")).select("t", "center")
 
 
-def _est_true(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def est_true(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Loud events as estimates, and the events of users with an even id as truth, by event type."""
     e = events_trains(spark, sf_dir).select("cell_id", F.col("event_id").alias("id"), "t", "amp", "user_id")
     return e.where("amp > 40").drop("user_id"), e.where("user_id % 2 = 0").drop("user_id")
@@ -361,7 +361,7 @@ def _est_true(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 SLACK = 300_000_000
 
-_MATCH = f"""
+MATCH = f"""
     est AS MATERIALIZED (SELECT event_type AS cell_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE value > 40),
     tru AS MATERIALIZED (SELECT event_type AS cell_id, event_id AS id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events WHERE user_id % 2 = 0),
     step AS (
@@ -376,27 +376,27 @@ _MATCH = f"""
     hit AS (SELECT cell_id, est_id, true_id FROM step WHERE est_id IS NOT NULL)"""
 
 
-@query(f"WITH RECURSIVE {_MATCH} SELECT cell_id, est_id, true_id FROM hit")
+@query(f"WITH RECURSIVE {MATCH} SELECT cell_id, est_id, true_id FROM hit")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     return joins.greedy_match(est, true, -SLACK, SLACK)
 
 
-@query(f"WITH RECURSIVE {_MATCH} SELECT cell_id, id FROM tru WHERE id NOT IN (SELECT true_id FROM hit)")
+@query(f"WITH RECURSIVE {MATCH} SELECT cell_id, id FROM tru WHERE id NOT IN (SELECT true_id FROM hit)")
 def complete_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     return joins.misses(true, joins.greedy_match(est, true, -SLACK, SLACK)).select("cell_id", "id")
 
 
-@query(f"WITH RECURSIVE {_MATCH} SELECT cell_id, id FROM est WHERE id NOT IN (SELECT est_id FROM hit)")
+@query(f"WITH RECURSIVE {MATCH} SELECT cell_id, id FROM est WHERE id NOT IN (SELECT est_id FROM hit)")
 def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     return joins.false_positives(est, joins.greedy_match(est, true, -SLACK, SLACK)).select("cell_id", "id")
 
 
 @query()
 def greedy_match_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     return joins.greedy_match(est, true, -SLACK, SLACK, by_amplitude=True)
 
 
@@ -406,32 +406,32 @@ _SCORES = """
               FROM u LEFT JOIN n ON u.cell_id = n.cell_id LEFT JOIN h ON u.cell_id = h.cell_id)"""
 
 
-@query(f"WITH RECURSIVE {_MATCH}, {_SCORES} SELECT * FROM score")
+@query(f"WITH RECURSIVE {MATCH}, {_SCORES} SELECT * FROM score")
 def evaluate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     return evaluate.score(est, true, SLACK)
 
 
-@query(f"""WITH RECURSIVE {_MATCH}, {_SCORES},
+@query(f"""WITH RECURSIVE {MATCH}, {_SCORES},
     s AS (SELECT CAST(sum(misses) AS BIGINT) AS misses, CAST(sum(n_true) AS BIGINT) AS n_true, CAST(sum(false_positives) AS BIGINT) AS false_positives, CAST(sum(n_est) AS BIGINT) AS n_est FROM score)
     SELECT *, round(100.0 * misses / n_true, 1) AS miss_percent, round(100.0 * false_positives / n_est, 1) AS fp_percent FROM s""")
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     return evaluate.summary(evaluate.score(est, true, SLACK)).drop("line")
 
 
-_THRESHOLDS = {"click": 60.0, "purchase": 80.0, "view": 20.0}
+THRESHOLDS = {"click": 60.0, "purchase": 80.0, "view": 20.0}
 
 
-@query("SELECT event_id AS id, event_type AS cell_id, value AS amp FROM events WHERE value > CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _THRESHOLDS.items()) + " ELSE -1 END")
+@query("SELECT event_id AS id, event_type AS cell_id, value AS amp FROM events WHERE value > CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items()) + " ELSE -1 END")
 def amplitude_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events_trains(spark, sf_dir).select(F.col("event_id").alias("id"), "cell_id", "amp")
-    return evaluate.prune(e, spark.createDataFrame(list(_THRESHOLDS.items()), "cell_id string, threshold double")).select("id", "cell_id", "amp")
+    return evaluate.prune(e, spark.createDataFrame(list(THRESHOLDS.items()), "cell_id string, threshold double")).select("id", "cell_id", "amp")
 
 
 @query()
 def best_unit_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     return spark.createDataFrame(joins.best_unit_ordering(est, true, SLACK), "true_cell string, est_cell string")
 
 

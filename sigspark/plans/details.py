@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions import columns as C
-from sigspark.operators import aggregates, evaluate, joins, windows
-from sigspark.plans.catalog import _MATCH, _THRESHOLDS, SLACK, TRACE, _est_true, _partition, _PARTITION, query, r
+from sigspark.operators import aggregates, evaluate, fourier, joins, windows
+from sigspark.plans.catalog import MATCH, THRESHOLDS, LOUD, PAD, SILENCE, SLACK, TRACE, est_true, events_partition, PARTITION, query, r
 from sigspark.sources.recordings import events_trace, events_trains, vectors
 
 _X = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
@@ -103,12 +103,33 @@ def vector_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("snip_id", r(C.axpy(2.0, x, F.reverse(x))[0], 5).alias("first"), r(C.dot(x, F.reverse(x))).alias("folded"))
 
 
+@query(f"""WITH x AS (SELECT t - min(t) OVER () AS i, v, count(*) OVER () AS n FROM {TRACE}), k AS (SELECT unnest(range(n // 2 + 1)) AS k, n FROM (SELECT count(*) AS n FROM events)),
+    m AS (SELECT k, k.n, sqrt(pow(sum(v * cos(2 * pi() * ((k * i) % k.n) / k.n)), 2) + pow(sum(v * sin(2 * pi() * ((k * i) % k.n) / k.n)), 2)) AS m FROM k, x GROUP BY k, k.n)
+    SELECT k AS bin, round(m, 2) + 0.0 AS magnitude FROM m UNION ALL SELECT n - k, round(m, 2) + 0.0 FROM m WHERE k > 0 AND 2 * k < n""")
+def spectrum_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every Fourier term of the whole trace."""
+    return fourier.magnitude_spectrum(events_trace(spark, sf_dir)).select("bin", r("magnitude", 2).alias("magnitude"))
+
+
+_SMOOTHED = f"""
+    x0 AS (SELECT t, abs(v) AS v, least(2, t - min(t) OVER (), max(t) OVER () - t) AS h FROM {TRACE}),
+    smooth AS (SELECT a.t, avg(b.v) AS v FROM x0 a JOIN x0 b ON b.t BETWEEN a.t - a.h AND a.t + a.h GROUP BY a.t),
+    level AS (SELECT 3 * stddev_samp(v) AS level FROM smooth)"""
+
+
+@query("WITH " + _SMOOTHED + "," + PARTITION.replace(f"FROM {TRACE} WHERE NOT v > {LOUD}", "FROM smooth, level WHERE NOT v > level").replace(TRACE, "smooth") + ' SELECT start, "end", "end" - start + 1 AS len, (start + "end") // 2 AS center FROM part')
+def smoothed_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snippets of the smoothed magnitude over three of its standard deviations."""
+    found = windows.partition_signal(events_trace(spark, sf_dir), smooth_len=5, stds=3.0, min_silence=SILENCE, pad=PAD)
+    return found.select("start", "end", "len", "center")
+
+
 # Ranges, order, prefixes
 
 
-@query(f"WITH {_PARTITION} SELECT start, t, v FROM part JOIN {TRACE} e ON e.t BETWEEN start AND \"end\"")
+@query(f"WITH {PARTITION} SELECT start, t, v FROM part JOIN {TRACE} e ON e.t BETWEEN start AND \"end\"")
 def interval_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.gather_intervals(events_trace(spark, sf_dir), _partition(spark, sf_dir)).select("start", "t", "v")
+    return joins.gather_intervals(events_trace(spark, sf_dir), events_partition(spark, sf_dir)).select("start", "t", "v")
 
 
 @query(f"SELECT t, v FROM {TRACE} WHERE t > 100 AND t < 220")
@@ -183,7 +204,7 @@ def scalar_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEVELS = [40.0, 60.0, 80.0, 120.0, 200.0]
-_PRUNED = _MATCH.replace("WHERE value > 40", "WHERE value > 40 AND value > CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _THRESHOLDS.items()) + " ELSE -1 END")
+_PRUNED = MATCH.replace("WHERE value > 40", "WHERE value > 40 AND value > CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLDS.items()) + " ELSE -1 END")
 
 
 def _summed(keys: str, true: str = "tru") -> str:
@@ -197,8 +218,8 @@ def _summed(keys: str, true: str = "tru") -> str:
 @query(f"WITH RECURSIVE {_PRUNED}, {_summed('cell_id')} SELECT * FROM score")
 def evaluate_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the estimates that pass their unit's amplitude threshold."""
-    est, true = _est_true(spark, sf_dir)
-    return evaluate.score(est, true, SLACK, spark.createDataFrame(list(_THRESHOLDS.items()), "cell_id string, threshold double"))
+    est, true = est_true(spark, sf_dir)
+    return evaluate.score(est, true, SLACK, spark.createDataFrame(list(THRESHOLDS.items()), "cell_id string, threshold double"))
 
 
 _ROC = f"""
@@ -217,7 +238,7 @@ _ROC = f"""
 @query(f"WITH RECURSIVE {_ROC} SELECT *, round(100.0 * misses / n_true, 4) + 0.0 AS miss_rate, CASE WHEN n_est > 0 THEN round(100.0 * false_positives / n_est, 4) + 0.0 END AS fp_rate FROM score")
 def roc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep of thresholds with the percentages that a ROC shows."""
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     rows = evaluate.threshold_roc(est, true, SLACK, levels=_LEVELS)
     rate = lambda a, b: F.when(F.col(b) > 0, r(100.0 * F.col(a) / F.col(b)))
     return rows.withColumn("miss_rate", rate("misses", "n_true")).withColumn("fp_rate", rate("false_positives", "n_est"))
@@ -225,14 +246,14 @@ def roc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_ROC} SELECT * FROM score")
 def threshold_roc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     return evaluate.threshold_roc(est, true, SLACK, levels=_LEVELS).select("cell_id", "threshold", "n_true", "n_est", "hits", "misses", "false_positives")
 
 
 @query()
 def roc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores at every amplitude of every unit as its threshold."""
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     rows = evaluate.amplitude_roc(est, true, SLACK)
     return rows.withColumns({c: r(c, 6) for c in ("miss_rate", "fp_rate")})
 
@@ -240,7 +261,7 @@ def roc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def roc_auto_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The point of all units at their automatic thresholds, which come from densities of amplitudes scaled to [0.3, 1]."""
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     most = est.groupBy("cell_id").agg(F.max("amp").alias("m"))
     scaled = est.join(most, "cell_id").withColumn("amp", 0.3 + 0.7 * F.col("amp") / F.col("m")).drop("m")
     return evaluate.summary(evaluate.score(scaled, true, SLACK, evaluate.auto_thresholds(scaled))).drop("line")
@@ -249,7 +270,7 @@ def roc_auto_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def evaluate_best_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores under the pairing of units of least misses plus false positives, with thresholds that follow their unit."""
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     moved = est.replace({"click": "purchase", "purchase": "view", "view": "click"}, subset=["cell_id"])
     thresholds = spark.createDataFrame([("purchase", 60.0), ("view", 80.0), ("click", 20.0)], "cell_id string, threshold double")
     return evaluate.score_best_order(moved, true, SLACK, thresholds)
@@ -258,7 +279,7 @@ def evaluate_best_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def reorder_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True events with the names of the estimated units that they fit best."""
-    est, true = _est_true(spark, sf_dir)
+    est, true = est_true(spark, sf_dir)
     moved = est.replace({"click": "purchase", "purchase": "view", "view": "click"}, subset=["cell_id"])
     return evaluate.reorder_truth(moved, true, SLACK).select("cell_id", "id", "t")
 

@@ -10,18 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.params import Params
+from sigspark.sources.datasource import register_source
 
 MAX_DT = 1 / 5000
-TRACE = "rec_id string, channel int, t long, v double"
 
 
 @dataclass(frozen=True)
 class Dataset:
-    """A registered recording: where its trace lies, its sampling step, and what its kind changes in the parameters."""
+    """A registered recording: where it lies, its columns, its sampling step, and what its kind changes in the parameters.
+
+    Columns ``t`` (sample index) and ``channels`` make the trace; ``truth`` is the path of its known events, if there are
+    any, with columns ``truth_t`` and ``truth_cell``.
+    """
 
     path: str
     dt: float
+    t: str = "t"
+    channels: tuple[str, ...] = ("v",)
     truth: str | None = None
+    truth_t: str = "t"
+    truth_cell: str = "cell_id"
     polarity: str = "maxrms"
     adjust: Callable[[Params], Params] = field(default=lambda p: p)
 
@@ -33,27 +41,19 @@ def register(dataset_id: str, dataset: Dataset) -> None:
     _REGISTRY[dataset_id] = dataset
 
 
-def load_recording(spark: SparkSession, dataset_id: str, params: Params) -> tuple[DataFrame, Dataset, Params]:
-    """The trace of a registered recording, its description and the parameters it is read with."""
+def load_recording(spark: SparkSession, dataset_id: str, params: Params, schema: str | None = None) -> tuple[DataFrame, DataFrame | None, Params]:
+    """The trace of a registered recording (rec_id, channel, t, v, or the columns of ``schema``), its known events
+    (cell_id, t) or None, and the parameters that it is read with."""
     if dataset_id not in _REGISTRY:
         raise KeyError(f"no recording {dataset_id!r}; known: {sorted(_REGISTRY)}")
     found = _REGISTRY[dataset_id]
     if found.dt > MAX_DT:
         warnings.warn(f"{dataset_id}: sampled at under 5 kHz (dt = {found.dt:g} s)", stacklevel=2)
-    return read_trace(spark, found.path), found, found.adjust(params)
-
-
-def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """(rec_id, channel, t, v): only these columns are read, whatever else the files hold."""
-    return spark.read.schema(TRACE).parquet(path)
-
-
-def read_truth(spark: SparkSession, dataset: Dataset) -> DataFrame | None:
-    """(cell_id, t) of the known events, or None where a recording has none."""
-    if dataset.truth is None:
-        return None
-    raw = spark.read.parquet(dataset.truth)
-    return raw.select("cell_id", "t") if {"cell_id", "t"} <= set(raw.columns) else None
+    register_source(spark)
+    reader = spark.read.format("recording").options(path=found.path, rec_id=dataset_id, t=found.t, channels=",".join(found.channels))
+    trace = (reader.schema(schema) if schema else reader).load()
+    truth = spark.read.format("recording").options(path=found.truth, truth=True, t=found.truth_t, cell=found.truth_cell).load() if found.truth else None
+    return trace, truth, found.adjust(params)
 
 
 def events_trace(spark: SparkSession, sf_dir: str) -> DataFrame:

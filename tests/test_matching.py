@@ -69,7 +69,7 @@ def test_dense_trains_match_like_the_plain_loop(spark, rows, fan, closed):
 
 @pytest.mark.parametrize("faster", [10, 100])
 def test_no_task_holds_more_than_a_block_of_a_dense_train(spark, sf_dir, faster):
-    est, true = (x.withColumn("t", F.floor(F.col("t") / faster)) for x in catalog._est_true(spark, sf_dir))
+    est, true = (x.withColumn("t", F.floor(F.col("t") / faster)) for x in catalog.est_true(spark, sf_dir))
     rows = 64
     sizes = matching.blocked(est, true, catalog.SLACK, keys=("cell_id",), rows=rows).groupBy("cell_id", "_block").count().collect()
     cell = F.floor(F.col("t") / catalog.SLACK)
@@ -101,7 +101,7 @@ def test_gains_count_the_largest_matches():
 
 
 def test_sweep_over_all_amplitudes_is_the_plain_loop(spark, sf_dir):
-    est, true = catalog._est_true(spark, sf_dir)
+    est, true = catalog.est_true(spark, sf_dir)
     est = est.withColumn("amp", F.round("amp", 0))  # with ties
     got = evaluate.amplitude_roc(est, true, 20 * catalog.SLACK)
     rows = {(r["cell_id"], r["rank"]): r for r in got.collect()}

@@ -146,7 +146,7 @@ def test_assignment_is_the_first_best_permutation():
 
 
 def test_greedy_match_by_amplitude_is_the_plain_loop(spark, sf_dir):
-    est, true = catalog._est_true(spark, sf_dir)
+    est, true = catalog.est_true(spark, sf_dir)
     rows = {c: ([], []) for c in ("click", "purchase", "view")}
     for side, x in enumerate((est, true)):
         for r in x.orderBy("t", "id").collect():
@@ -200,7 +200,7 @@ def scored(est, true, slack):
 def test_best_ordering_and_what_follows_from_it(spark, sf_dir):
     import itertools
 
-    est, true = catalog._est_true(spark, sf_dir)
+    est, true = catalog.est_true(spark, sf_dir)
     names = {"click": "purchase", "purchase": "view", "view": "click"}
     by_cell = lambda df: {c: sorted(r["t"] for r in df.collect() if r["cell_id"] == c) for c in sorted({r["cell_id"] for r in df.collect()})}
     e, t = by_cell(est.replace(names, subset=["cell_id"])), by_cell(true)
