@@ -79,7 +79,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raw = 255 * (1 - raw.astype(np.int64))
     elif most != 255:
         raw = (raw.astype(np.int64) * 255 + most // 2) // most
-    return raw.astype(np.uint8).reshape((h, w, 3) if depth == 3 else (h, w))
+    return raw.astype(np.uint8, copy=False).reshape((h, w, 3) if depth == 3 else (h, w))
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -108,20 +108,31 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
+def _integral(image: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The integral image along the first axis at some ascending edges; between its grid points it is linear.
+
+    Rows are added up strip by strip between neighbouring edges, so no copy of the image is made.
+    """
+    out = np.zeros((len(edges), *image.shape[1:]))
+    total, done = np.zeros(image.shape[1:]), 0
+    for i, edge in enumerate(edges.tolist()):
+        low = min(int(edge), len(image) - 1)
+        total += image[done:low].sum(axis=0, dtype=np.float64)
+        done = low
+        out[i] = total + image[low] * (edge - low)
+    return out
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """The mean of each of height x width equal areas, by an integral image; edges inside a pixel are weighted.
 
     The integral image is interpolated linearly between its grid points, which is the exact integral of the image
-    taken as constant in each pixel, so sizes need not divide, and small images may grow.
+    taken as constant in each pixel, so sizes need not divide, and small images may grow.  Beside the image itself only
+    ``height`` of its rows are held, in doubles.
     """
-    x = image.astype(np.float64)
-    for axis, n in ((0, height), (1, width)):
-        total = np.concatenate([np.zeros_like(np.take(x, [0], axis)), np.cumsum(x, axis)], axis)
-        edge = np.linspace(0, x.shape[axis], n + 1)
-        low = np.minimum(edge.astype(np.int64), x.shape[axis] - 1)
-        part = (edge - low).reshape([-1 if a == axis else 1 for a in range(x.ndim)])
-        at = np.take(total, low, axis) * (1 - part) + np.take(total, low + 1, axis) * part
-        x = np.diff(at, axis=axis) * (n / image.shape[axis])
+    x = image
+    for n in (height, width):
+        x = np.swapaxes(np.diff(_integral(x, np.linspace(0, len(x), n + 1)), axis=0) * (n / len(x)), 0, 1)
     return x
 
 
@@ -131,7 +142,7 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits as hex: whether each of 8 x 9 area means is less than its right neighbour (means rounded to 1/1000)."""
-    small = np.round(area_resize(grey(image), 8, 9), 3)
+    small = np.round(grey(area_resize(image, 8, 9)), 3)  # grey is linear, so it may come last
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -184,7 +195,8 @@ def media_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:
 
     Bytes that are null or no whole image give nulls in all of these but media_bytes and media_sha256 (null for null).
     Other columns of any names stay, but for those of the added names, whose place these take; repeated rows stay; an
-    empty table gives no row.
+    empty table gives no row.  An image is held about once as bytes, whatever its size; one may have up to 2 GB, as any value
+    of a binary column.
     """
     kept = [f for f in media.schema.fields if f.name != media_col and f.name.lower() not in _FEATURES]
     schema = StructType([*kept, *(StructField(name, kind) for name, (kind, _) in _FEATURES.items())])
@@ -197,7 +209,7 @@ def media_features(media: DataFrame, *, media_col: str = "media") -> DataFrame:
             image = decode(data)
         except MediaError:
             return (None, None, None, *stored, None, None, None, None)
-        payload = image.tobytes()
+        payload = np.ascontiguousarray(image).reshape(-1)  # no copy
         return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, difference_hash(image), *image.shape[:2], tile(image))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

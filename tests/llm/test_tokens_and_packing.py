@@ -206,6 +206,23 @@ def test_area_resize_is_the_mean_of_areas():
     assert np.allclose(media.area_resize(image, 5, 7), fine.reshape(5, 12, 7, 9).mean(axis=(1, 3)))
 
 
+def test_features_of_a_large_image_take_little_memory():
+    import tracemalloc
+
+    image = np.random.default_rng(3).integers(0, 256, (200_000, 64, 3), np.uint8)
+    data = media.encode_ppm(image)
+    tracemalloc.start()
+    found, small = media.difference_hash(media.decode(data)), media.tile(media.decode(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 0.1 * len(data)
+    # By all pixels at once: rows of equal areas, and columns that divide a pixel.
+    rows = (image @ np.array([0.299, 0.587, 0.114])).reshape(8, 25_000, 64).mean(axis=1)
+    means = np.round(np.repeat(rows, 9, axis=1).reshape(8, 9, 64).mean(axis=2), 3)
+    assert found == np.packbits(means[:, 1:] > means[:, :-1]).tobytes().hex()
+    assert len(small) == len(media.tile(image[:7]))
+
+
 def test_media_edges(spark):
     rows = [(1, None), (2, b""), (3, b"BMxx"), (4, b"P6\n2 2\n255\nabc"), (5, media.encode_ppm(np.zeros((2, 2, 3), np.uint8))), (None, b"P9")]
     got = {r["doc_id"]: r for r in media.media_features(spark.createDataFrame([(i, m, "n") for i, m in rows], "doc_id long, media binary, n_bytes string")).collect()}
