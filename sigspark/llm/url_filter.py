@@ -91,17 +91,21 @@ def _host_events(keyed: DataFrame) -> DataFrame:
 def _path_events(keyed: DataFrame) -> DataFrame:
     """The opening and closing of each rule in its host's paths, with the rule that is innermost after it.
 
-    A rule's enclosing one is that of its longest proper prefix, by an equality on prefixes.
+    One sweep in order of the paths counts how many rules are open.  Intervals of prefixes nest, so the rule around one
+    that opens at depth d is the last one before it that opened at depth d - 1.
     """
     rules = keyed.groupBy("key", "path").agg(F.min(F.struct("action", "rule")).alias("rule"))
     named = rules.select("key", "path", F.struct(F.length("rule.rule").alias("n"), F.col("rule.rule").alias("rule"), F.col("rule.action").alias("action")).alias("judged"))
-    size = F.length("path")
-    shorter = named.where(size > 0).select("key", "path", F.explode(F.transform(F.sequence(F.lit(0), size - 1), lambda n: F.substring(F.col("path"), F.lit(1), n))).alias("before"))
-    outer = shorter.join(named.select("key", F.col("path").alias("before"), F.col("judged").alias("outer")), ["key", "before"])
-    outer = outer.groupBy("key", "path").agg(F.max_by("outer", F.length("before")).alias("outer"))
+    marks = named.select("key", F.explode(F.array(F.struct(_start(F.col("path")).alias("at"), F.lit(1).alias("step"), "path", "judged"), F.struct(_end(F.col("path")).alias("at"), F.lit(-1).alias("step"), "path", "judged"))).alias("m")).select("key", "m.*")
+    depth = F.sum("step").over(Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    opened = marks.withColumn("depth", depth).where("step = 1")
+    # Each opening is seen at its own depth, and asks at the depth above it.
+    levels = opened.select("key", "at", "path", "judged", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(0).alias("asks")), F.struct((F.col("depth") - 1).alias("level"), F.lit(1).alias("asks")))).alias("l")).select("key", "at", "path", "judged", "l.*")
+    around = F.last(F.when(F.col("asks") == 0, F.col("judged")), ignorenulls=True).over(Window.partitionBy("key", "level").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    outer = levels.withColumn("outer", around).where("asks = 1")
     nothing = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"))
-    closed = named.join(outer, ["key", "path"], "left").select("key", _end(F.col("path")).alias("at"), F.coalesce("outer", nothing).alias("judged"))
-    return named.select("key", _start(F.col("path")).alias("at"), "judged").unionByName(closed)
+    both = F.array(F.struct("at", "judged"), F.struct(_end(F.col("path")).alias("at"), F.coalesce("outer", nothing).alias("judged")))
+    return outer.select("key", F.explode(both).alias("e")).select("key", "e.at", "e.judged")
 
 
 def match_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
