@@ -44,6 +44,19 @@ def in_blocks(df: DataFrame, columns: dict[str, Column], left: int, right: int,
     return wide.withColumns(added).where("_core").drop("_block", "_core")
 
 
+def following(df: DataFrame, value: str, order: Sequence[str], *, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+    """``df`` with _next, the ``value`` of the row that follows in ``order`` by keys; the first of ``order`` is a whole number.
+
+    Rows are put in order in blocks of that number; of each block only its first row is ordered with the other blocks'.
+    """
+    cut = df.withColumn("_block", F.floor(F.col(order[0]) / block))
+    firsts = cut.groupBy(*keys, "_block").agg(F.min(F.struct(*order, F.col(value).alias("_v"))).alias("_first"))
+    after = firsts.select(*keys, "_block", F.lead("_first._v").over(Window.partitionBy(*keys).orderBy("_block")).alias("_after"))
+    inside = cut.withColumn("_in", F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*keys, "_block").orderBy(*order)))
+    seen = inside.join(after, [*keys, "_block"])
+    return seen.withColumn("_next", F.when(F.col("_in").isNotNull(), F.col("_in.v")).otherwise(F.col("_after"))).drop("_block", "_in", "_after")
+
+
 def running_sums(df: DataFrame, columns: Sequence[str], order: str, *, keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """Running totals of ``columns`` up to each row, in ``order`` by keys, as columns of the same names behind ``sum_``.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.tables import kept
-from sigspark.operators.blocks import BLOCK, in_blocks
+from sigspark.operators.blocks import BLOCK, following, in_blocks
 
 KEYS = ("rec_id", "channel")
 
@@ -125,8 +125,7 @@ def active_partition(trace: DataFrame, threshold: float, min_silence: int, pad:
     ends = extent(trace, keys)
     # Activity is the gap between neighbouring silences; a series without silence is one gap.
     marks = quiet.select(*keys, "start", "end").unionByName(ends.select(*keys, (F.col("t_first") - 1).alias("start"), (F.col("t_first") - 1).alias("end"))).unionByName(ends.select(*keys, (F.col("t_last") + 1).alias("start"), (F.col("t_last") + 1).alias("end")))
-    ordered = Window.partitionBy(*keys).orderBy("end", "start")
-    gaps = marks.withColumn("s", F.col("end") + 1).withColumn("e", F.lead("start").over(ordered) - 1).where("e >= s").join(ends, list(keys))
+    gaps = following(marks, "start", ["end", "start"], keys=keys, block=block).withColumn("s", F.col("end") + 1).withColumn("e", F.col("_next") - 1).where("e >= s").join(ends, list(keys))
     extra = F.greatest(F.lit(0), F.lit(min_snippet) - (F.col("e") - F.col("s") + 1 + 2 * pad))
     grown = gaps.withColumn("a", F.greatest(F.col("t_first"), F.col("s") - pad - F.ceil(extra / 2))).withColumn("b", F.least(F.col("t_last"), F.col("e") + pad + F.ceil(extra / 2)))
     even = (F.col("b") - F.col("a")) % 2 == 1
@@ -154,10 +153,9 @@ def partition_signal(trace: DataFrame, *, smooth_len: int, stds: float, min_sile
     return out if out is not None else active_partition(smooth, 0.0, min_silence, pad, min_snippet, keys=(rec,), block=block)
 
 
-def partition_breaks(snippets: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
+def partition_breaks(snippets: DataFrame, *, keys: Sequence[str] = KEYS, block: int = BLOCK) -> DataFrame:
     """The gaps between neighbouring snippets: start, end, len; overlapping neighbours leave none."""
-    ordered = Window.partitionBy(*keys).orderBy("start")
-    gaps = snippets.select(*keys, (F.col("end") + 1).alias("gap_start"), (F.lead("start").over(ordered) - 1).alias("gap_end"))
+    gaps = following(snippets.select(*keys, "start", "end"), "start", ["start"], keys=keys, block=block).select(*keys, (F.col("end") + 1).alias("gap_start"), (F.col("_next") - 1).alias("gap_end"))
     return gaps.where("gap_end >= gap_start").select(*keys, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"), (F.col("gap_end") - F.col("gap_start") + 1).alias("len"))
 
 
@@ -169,9 +167,20 @@ def cumulative_cutoff(values: DataFrame, percent: float, at_least: int = 2, *, r
     return values.withColumn("share", share).where(F.col("share") > percent).agg(F.greatest(F.min(rank), F.lit(at_least)).alias("kept"))
 
 
-def sessions(points: DataFrame, gap: int, *, keys: Sequence[str], t: str = "t") -> DataFrame:
-    """Runs of points less than ``gap`` apart: start, end, n.  The batch twin of a session window."""
-    ordered = Window.partitionBy(*keys).orderBy(t)
-    fresh = F.when(F.col(t) - F.lag(t).over(ordered) < gap, 0).otherwise(1)
-    numbered = points.withColumn("_new", fresh).withColumn("_session", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_session").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n")).drop("_session")
+def sessions(points: DataFrame, gap: int, *, keys: Sequence[str], t: str = "t", blocks: int = 4096) -> DataFrame:
+    """Runs of points less than ``gap`` apart: start, end, n.  The batch twin of a session window.
+
+    Runs are found inside blocks of ``blocks`` gaps of time; those within a gap of a block's border, two a block at most,
+    are then chained, so no task orders all points of a key.
+    """
+    width = gap * blocks
+    cut = points.select(*keys, F.col(t).alias("_t"), F.floor(F.col(t) / width).alias("_block"))
+    ordered = Window.partitionBy(*keys, "_block").orderBy("_t")
+    fresh = F.when(F.col("_t") - F.lag("_t").over(ordered) < gap, 0).otherwise(1)
+    numbered = cut.withColumn("_new", fresh).withColumn("_session", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = numbered.groupBy(*keys, "_block", "_session").agg(F.min("_t").alias("start"), F.max("_t").alias("end"), F.count("*").alias("n"))
+    at_border = (F.col("start") - F.col("_block") * width < gap) | ((F.col("_block") + 1) * width - F.col("end") < gap)
+    border = Window.partitionBy(*keys).orderBy("start")
+    chained = parts.where(at_border).withColumn("_new", F.when(F.col("start") - F.lag("end").over(border) < gap, 0).otherwise(1)).withColumn("_chain", F.sum("_new").over(border.rowsBetween(Window.unboundedPreceding, 0)))
+    chained = chained.groupBy(*keys, "_chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    return parts.where(~at_border).select(*keys, "start", "end", "n").unionByName(chained.select(*keys, "start", "end", "n"))

@@ -214,7 +214,7 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("norm", F.round("norm", 3) + 0.0)
 
 
-@query()
+@query(ORACLE_SQL["session_activity"])
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream, folder = _whole_stream(spark, sf_dir)
     return twins.drain(twins.sessions(stream, "6 hours", late="1 hour"), folder, "sessions")

@@ -244,3 +244,26 @@ def test_auto_point_scores_what_is_over_the_thresholds(spark, sf_dir):
         n_est, n_true = n_est + len(e), n_true + len(t)
     r = numeric.QUERIES["roc_auto_point"](spark, sf_dir).first()
     assert (r["n_est"], r["n_true"], r["misses"], r["false_positives"]) == (n_est, n_true, n_true - hits, n_est - hits)
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 5, 4096])
+def test_sessions_are_the_same_in_any_block(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    trains = {k: np.sort(rng.integers(-300, 300, n)).tolist() for k, n in (("a", 120), ("b", 30), ("c", 1))}
+    expected = set()
+    for k, times in trains.items():
+        starts = [i for i, t in enumerate(times) if i == 0 or t - times[i - 1] >= 10]
+        expected |= {(k, times[a], times[b - 1], b - a) for a, b in zip(starts, [*starts[1:], len(times)], strict=True)}
+    rows = spark.createDataFrame([(k, t) for k, v in trains.items() for t in v], "k string, t long")
+    assert {tuple(r) for r in windows.sessions(rows, 10, keys=("k",), blocks=blocks).collect()} == expected
+
+
+@pytest.mark.parametrize("block", [3, 50, 1 << 18])
+def test_partition_is_the_same_in_any_block(spark, block):
+    v = np.where(np.random.default_rng(7).random(200) < 0.08, 9.0, 0.0)
+    found = [windows.active_partition(trace(spark, v), 5.0, 4, 1, block=b) for b in (block, 1 << 18)]
+    rows = [sorted((r["start"], r["end"], r["len"]) for r in x.collect()) for x in found]
+    assert rows[0] == rows[1]
+    gaps = sorted((r["start"], r["end"]) for r in windows.partition_breaks(found[0], block=block).collect())
+    spans = sorted((a, b) for a, b, _ in rows[0])
+    assert gaps == [(b + 1, c - 1) for (_, b), (c, _) in zip(spans, spans[1:]) if c - 1 >= b + 1]
