@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -119,7 +120,9 @@ def cluster(vectors: DataFrame, k: int, *, features: str = "scores", restarts: i
     """k-means of least cost over random restarts: adds ``label``.  An empty cluster is an error."""
     data = vectors.withColumn("_x", array_to_vector(F.col(features))).cache()
     try:
-        fits = [KMeans(k=k, initMode="random", maxIter=max_iter, seed=seed + i, featuresCol="_x", predictionCol="label").fit(data) for i in range(restarts)]
+        start = lambda i: KMeans(k=k, initMode="random", maxIter=max_iter, seed=seed + i, featuresCol="_x", predictionCol="label").fit(data)
+        with ThreadPoolExecutor(8) as pool:  # restarts are short jobs, so several run side by side
+            fits = list(pool.map(start, range(restarts)))
         best = min(fits, key=lambda m: m.summary.trainingCost)
         if min(best.summary.clusterSizes) == 0 or len(best.summary.clusterSizes) < k:
             raise ValueError("a cluster is empty; use fewer waveforms")
