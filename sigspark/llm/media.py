@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import re
 import struct
 import zlib
@@ -23,6 +24,7 @@ PAYLOAD_WIDTH = 64
 UNIT = 3 * PAYLOAD_WIDTH
 TILE = 16
 _FIELD = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*(\d+)")
+COPY_BYTES = 1 << 20  # images up to this size are summed through a copy in doubles
 
 
 class MediaError(ValueError):
@@ -111,16 +113,16 @@ def decode(data: bytes) -> np.ndarray:
 def _integral(image: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """The integral image along the first axis at some ascending edges; between its grid points it is linear.
 
-    Rows are added up strip by strip between neighbouring edges, so no copy of the image is made.
+    Rows are added up strip by strip between neighbouring edges; an image of over ``COPY_BYTES`` isn't copied for that.
     """
-    out = np.zeros((len(edges), *image.shape[1:]))
-    total, done = np.zeros(image.shape[1:]), 0
-    for i, edge in enumerate(edges.tolist()):
-        low = min(int(edge), len(image) - 1)
-        total += image[done:low].sum(axis=0, dtype=np.float64)
-        done = low
-        out[i] = total + image[low] * (edge - low)
-    return out
+    low = np.minimum(edges.astype(np.int64), len(image) - 1)
+    if image.nbytes > COPY_BYTES:
+        strips = np.stack([image[a:b].sum(axis=0, dtype=np.float64) for a, b in itertools.pairwise(low.tolist())])
+    else:
+        strips = np.add.reduceat(image, low, axis=0, dtype=np.float64)[:-1]
+        strips[low[1:] == low[:-1]] = 0  # an empty strip
+    total = np.concatenate([np.zeros((1, *image.shape[1:])), np.cumsum(strips, axis=0)])
+    return total + image[low] * (edges - low).reshape(-1, *[1] * (image.ndim - 1))
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
