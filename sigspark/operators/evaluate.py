@@ -116,25 +116,32 @@ def amplitude_roc(est: DataFrame, true: DataFrame, slack: float) -> DataFrame:
     sides = Window.partitionBy("cell_id", "_run")
     runs = runs.withColumn("_sides", F.min("_side").over(sides) + 2 * F.max("_side").over(sides)).where("_sides = 2").drop("_sides")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def gained_in(rows: pd.DataFrame) -> pd.DataFrame:
+        """The gains of whole runs, one behind another."""
+        cells, tags = rows["cell_id"].to_numpy(), rows["_run"].to_numpy()
         side, t, amp = rows["_side"].to_numpy(), rows["t"].to_numpy(), rows["amp"].to_numpy(float)
-        gained = gains(*windows_of(t[side == 0], t[side == 1], -slack, slack, True), np.argsort(-amp[side == 0], kind="stable"))
-        return pd.DataFrame({"cell_id": rows["cell_id"].iloc[0], "amp": amp[side == 0][gained]})
+        starts = np.flatnonzero(np.r_[True, (tags[1:] != tags[:-1]) | (cells[1:] != cells[:-1])]).tolist()
+        hit = np.zeros(len(rows), bool)
+        for a, b in zip(starts, [*starts[1:], len(rows)], strict=True):
+            est_at = a + np.flatnonzero(side[a:b] == 0)
+            windows = windows_of(t[est_at], t[a:b][side[a:b] == 1], -slack, slack, True)
+            hit[est_at] = gains(*windows, np.argsort(-amp[est_at], kind="stable"))
+        return pd.DataFrame({"cell_id": cells[hit], "amp": amp[hit]})
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # the last run so far
         for batch in batches:
-            starts = np.flatnonzero((batch[["cell_id", "_run"]] != batch[["cell_id", "_run"]].shift()).any(axis=1).to_numpy())
-            if held and (batch[["cell_id", "_run"]].iloc[0] == held[-1][["cell_id", "_run"]].iloc[-1]).all():
-                starts = starts[1:]
-            for part, fresh in zip(np.split(batch, starts), [False, *[True] * len(starts)], strict=True):
-                if fresh and held:
-                    yield run(pd.concat(held))
-                    held = []
-                if len(part):
-                    held.append(part)
+            tag = batch[["cell_id", "_run"]]
+            last = (tag == tag.iloc[-1]).all(axis=1)
+            if held and not (tag.iloc[0] == held[-1][["cell_id", "_run"]].iloc[-1]).all():
+                yield gained_in(pd.concat(held))
+                held = []
+            if not last.all():
+                yield gained_in(pd.concat([*held, batch[~last]]))
+                held = []
+            held.append(batch[last])
         if held:
-            yield run(pd.concat(held))
+            yield gained_in(pd.concat(held))
 
     cell = dict(est.dtypes)["cell_id"]
     gained = runs.sortWithinPartitions("cell_id", "_run", "t", "id").mapInPandas(stream, f"cell_id {cell}, amp double")
