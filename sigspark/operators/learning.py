@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators import aggregates, windows
 from sigspark.operators.joins import band_join
+from sigspark.operators.tables import kept
 
 KEYS = ("rec_id", "channel")
 
@@ -77,15 +76,15 @@ def aligned_snippets(trace: DataFrame, peaks: DataFrame, length: int, channels:
     marks = peaks.select(rec, F.col("t").alias("trigger_t"))
     pairs = band_join(trace.select(rec, "channel", "t", "v"), marks, -half, half, keys=(rec,))
     wide = pairs.groupBy(rec, "trigger_t").agg(F.collect_list(F.struct("channel", "dt", "v")).alias("x"))
+    wide = wide.select(rec, "trigger_t", *(F.col(f"x.{c}").alias(c) for c in ("channel", "dt", "v")))  # plain arrays are small in Python
     column = {c: i for i, c in enumerate(channels)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for x in rows["x"]:
+            for channel, dt, v in zip(rows["channel"], rows["dt"], rows["v"], strict=True):
                 w = np.zeros((2 * half + 1, len(column)))
-                for r in x:
-                    w[r["dt"] + half, column[r["channel"]]] = r["v"]
+                w[dt + half, [column[c] for c in channel]] = v
                 out.append(align(w, length, factor, smooth, polarity).T.ravel())
             yield pd.DataFrame({rec: rows[rec], "t": rows["trigger_t"], "features": out})
 
@@ -116,19 +115,93 @@ def project(vectors: DataFrame, columns: np.ndarray, *, features: str = "feature
     return vectors.withColumn(out, F.array(*dots))
 
 
-def cluster(vectors: DataFrame, k: int, *, features: str = "scores", restarts: int = 25, max_iter: int = 1000, seed: int = 1) -> DataFrame:
-    """k-means of least cost over random restarts: adds ``label``.  An empty cluster is an error."""
-    data = vectors.withColumn("_x", array_to_vector(F.col(features))).cache()
-    try:
-        start = lambda i: KMeans(k=k, initMode="random", maxIter=max_iter, seed=seed + i, featuresCol="_x", predictionCol="label").fit(data)
-        with ThreadPoolExecutor(8) as pool:  # restarts are short jobs, so several run side by side
-            fits = list(pool.map(start, range(restarts)))
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        if min(best.summary.clusterSizes) == 0 or len(best.summary.clusterSizes) < k:
-            raise ValueError("a cluster is empty; use fewer waveforms")
-        return best.transform(vectors.withColumn("_x", array_to_vector(F.col(features)))).drop("_x")
-    finally:
-        data.unpersist()
+def first_centres(points: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
+    """``k`` distinct points of ``points`` (_x, _h: a hash of _x) for each start, those whose hash mixed with the start's own is least."""
+
+    def mixed(h: np.ndarray, start: int) -> np.ndarray:
+        z = h.view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + start + 1)) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+    def least(hashes: np.ndarray) -> np.ndarray:
+        """The hashes of the points that some start takes: a row for each start."""
+        h = np.unique(hashes)
+        return np.array([h[np.argsort(mixed(h, i), kind="stable")[:k]] for i in range(starts)], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+        for batch in batches:
+            held = least(np.r_[held, batch.column(0).to_numpy()]).ravel()
+        yield pa.RecordBatch.from_pydict({"_h": np.unique(held)})
+
+    taken = least(np.array([r["_h"] for r in points.select("_h").mapInArrow(run, "_h long").distinct().collect()], np.int64))
+    if taken.shape[1] < k:
+        raise ValueError("a cluster is empty; use fewer waveforms")
+    at = points.where(F.col("_h").isin(np.unique(taken).tolist())).groupBy("_h").agg(F.first("_x").alias("_x")).collect()
+    found = {r["_h"]: r["_x"] for r in at}
+    return np.array([[found[h] for h in row] for row in taken.tolist()])
+
+
+def lloyd_step(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each start's nearest points, by centre: their sums and numbers, and the cost of each start.
+
+    One pass for all starts.  Each task adds up matrix products of its batches; a row for each element of each centre is
+    all that a task hands on.
+    """
+    starts, k, size = centres.shape
+    flat = centres.reshape(-1, size)
+    norms = (flat**2).sum(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((starts * k, size + 2))
+        for batch in batches:
+            whole = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            for x in np.array_split(whole, max(1, len(whole) // 4096)):
+                far = (norms - 2 * (x @ flat.T)).reshape(len(x), starts, k)
+                near = (far.argmin(axis=2)[:, :, None] == np.arange(k)).reshape(len(x), -1).astype(float)
+                total[:, :size] += near.T @ x
+                total[:, size] += near.sum(axis=0)
+                total[::k, size + 1] += far.min(axis=2).sum(axis=0) + (x**2).sum()
+        slot, pos = np.indices(total.shape, np.int32)
+        yield pa.RecordBatch.from_pydict({"slot": slot.ravel(), "pos": pos.ravel(), "s": total.ravel()})
+
+    rows = points.select("_x").mapInArrow(run, "slot int, pos int, s double").groupBy("slot", "pos").agg(F.sum("s").alias("s")).toPandas()
+    total = np.zeros((starts * k, size + 2))
+    total[rows["slot"], rows["pos"]] = rows["s"]
+    total = total.reshape(starts, k, -1)
+    return total[:, :, :size], total[:, :, size], total[:, :, size + 1].sum(axis=1)
+
+
+def cluster(vectors: DataFrame, k: int, *, features: str = "scores", restarts: int = 25, max_iter: int = 1000, seed: int = 1, tol: float = 1e-4) -> DataFrame:
+    """k-means of least cost over random restarts: adds ``label``.  An empty cluster is an error.
+
+    All restarts that still move share each pass over the points, so there are as many passes as the longest one needs; a
+    restart ends when none of its centres moves by more than ``tol``.  Draws go by hashes of the points and not by how
+    they are partitioned.  The centres of all restarts come to the driver.
+    """
+    spark = vectors.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    points = vectors.select(F.col(features).cast("array<double>").alias("_x")).where("_x is not null").withColumn("_h", F.xxhash64("_x"))
+    points = kept(points.repartition(parts), "points")  # one file is one task in each of many passes
+    centres = first_centres(points, k, restarts, seed)
+    moving = np.arange(restarts)
+    for _ in range(max_iter):
+        sums, counts, _ = lloyd_step(points, centres[moving])
+        new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres[moving])
+        moved = np.sqrt(((new - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
+        centres[moving] = new
+        moving = moving[moved > tol]
+        if not len(moving):
+            break
+    _, counts, cost = lloyd_step(points, centres)
+    best = int(cost.argmin())
+    if counts[best].min() == 0:
+        raise ValueError("a cluster is empty; use fewer waveforms")
+    x = F.col(features)
+    far = [F.aggregate(F.zip_with(x, F.array(*(F.lit(float(v)) for v in c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y) for c in centres[best]]
+    nearest = F.array_min(F.array(*(F.struct(d.alias("d"), F.lit(i).alias("label")) for i, d in enumerate(far))))
+    return vectors.withColumn("label", F.when(x.isNotNull(), nearest["label"]))
 
 
 def first_waveforms(trace: DataFrame, params: object, channels: Sequence[int], polarity: str = "maxrms") -> tuple[DataFrame, list[np.ndarray]]:
@@ -136,7 +209,7 @@ def first_waveforms(trace: DataFrame, params: object, channels: Sequence[int], p
     c, length = params.clustering, params.general.waveform_len
     level = trace.groupBy("rec_id", "t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v"))
     peaks = windows.local_peaks(level, c.spike_threshold, length // 2, length, keys=("rec_id",))
-    snippets = aligned_snippets(trace, peaks, length, channels, factor=c.upsample, smooth=c.smooth_len, polarity=polarity)
+    snippets = kept(aligned_snippets(trace, peaks, length, channels, factor=c.upsample, smooth=c.smooth_len, polarity=polarity), "snippets")
     _, pcs = components(snippets, length * len(channels), c.percent_variance)
     labelled = cluster(project(snippets, pcs), c.num_waveforms, restarts=c.restarts, max_iter=c.max_iter)
     means = np.zeros((c.num_waveforms, length * len(channels)))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigspark.functions import columns, stats
-from sigspark.operators import aggregates, blocks, fourier, signal, windows
+from sigspark.operators import aggregates, blocks, fourier, learning, signal, windows
 from sigspark.params import Params
 from sigspark.plans import numeric
 from sigspark.sources import datasource, recordings
@@ -267,3 +267,18 @@ def test_partition_is_the_same_in_any_block(spark, block):
     gaps = sorted((r["start"], r["end"]) for r in windows.partition_breaks(found[0], block=block).collect())
     spans = sorted((a, b) for a, b, _ in rows[0])
     assert gaps == [(b + 1, c - 1) for (_, b), (c, _) in zip(spans, spans[1:]) if c - 1 >= b + 1]
+
+
+def test_restarts_share_passes_and_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(m, 1.0, (60, 4)) for m in (0.0, 8.0, 16.0)])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, scores array<double>")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    found = learning.cluster(rows.repartition(1), 3, restarts=25)
+    assert jobs() - before < 100  # a restart by itself took several jobs
+    labels = {r["i"]: r["label"] for r in found.collect()}
+    assert all(len({labels[i] for i in range(a, a + 60)}) == 1 for a in (0, 60, 120)) and len(set(labels.values())) == 3
+    assert labels == {r["i"]: r["label"] for r in learning.cluster(rows.repartition(7), 3, restarts=25).collect()}
+    with pytest.raises(ValueError, match="empty"):
+        learning.cluster(rows.where("i < 1").unionByName(rows.where("i < 1")), 3, restarts=2)
