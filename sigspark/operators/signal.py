@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sigspark.operators import aggregates
 from sigspark.operators.blocks import with_halo
 from sigspark.operators.tables import kept
-from sigspark.operators.windows import quiet_zones
 
 KEYS = ("rec_id", "channel")
+BLOCK = 1 << 15  # samples of a channel in a row of a packed trace
 
 
 def fir_taps(freq: Sequence[float], dt: float, order: int) -> np.ndarray:
@@ -144,72 +146,172 @@ def whitening_filter(acf: Sequence[float]) -> np.ndarray:
     return inverse_root(matrix, 1e-6)[:, n // 2]
 
 
-def noise_zones(trace: DataFrame, threshold: float, min_zone: int, *, rec: str = "rec_id", width: int = 1 << 12) -> DataFrame:
-    """Runs where the magnitude over channels stays below ``threshold``, in the buckets of time that each meets: rec_id, start, end, _b."""
-    level = trace.groupBy(rec, "t").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v"))
-    zones = quiet_zones(level, threshold, min_zone, keys=(rec,))
-    return zones.select(rec, F.col("start"), F.col("end"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_b"))
-
-
-def in_zones(trace: DataFrame, zones: DataFrame, *, rec: str = "rec_id", width: int = 1 << 12) -> DataFrame:
-    """The samples in noise zones, with the zone's start as ``zone``."""
-    near = trace.withColumn("_b", F.floor(F.col("t") / width)).join(zones, [rec, "_b"])
-    return near.where("t between start and end").withColumn("zone", F.col("start")).drop("_b", "start", "end")
-
-
-def noise_acf(noise: DataFrame, lags: int, *, rec: str = "rec_id") -> DataFrame:
-    """Autocorrelation of each channel over the zones of all recordings: channel, lag, acf."""
-    sums = aggregates.lag_products(noise, lags, keys=(rec, "channel"), zone="zone").groupBy("channel", "lag").agg(F.sum("s").alias("s"))
-    return aggregates.autocorrelation(sums, keys=("channel",))
+def packed(trace: DataFrame, reach: int, *, rec: str = "rec_id", block: int = BLOCK) -> DataFrame:
+    """The trace in blocks of time, a row each, with ``reach`` samples of both neighbours: rec_id, _block, and arrays channel, at, t, v.
 
+    Tasks cut their batches into pieces of one channel and block, so what is shuffled are the bytes of samples; ``at`` is a
+    piece's first place in its block, and ``t`` has all of its places where they don't follow one another.
+    """
+    types = dict(trace.dtypes)
+    names = ("rec", "_block", "channel", "at", "t", "v")
+    kinds = [to_arrow_type(trace.schema[rec].dataType), pa.int64(), to_arrow_type(trace.schema["channel"].dataType), pa.int32(), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            recs, channels = (batch.column(i).dictionary_encode(null_encoding="encode") for i in (0, 1))
+            r, c = recs.indices.to_numpy(), channels.indices.to_numpy()
+            t, v = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            own = t // block
+            inside = t - own * block
+            before, after = np.flatnonzero(inside < reach), np.flatnonzero(inside >= block - reach)
+            at = np.r_[np.arange(len(t)), before, after]
+            b = np.r_[own, own[before] - 1, own[after] + 1]
+            order = np.lexsort((t[at], c[at], b, r[at]))
+            at, b = at[order], b[order]
+            place = (t[at] - b * block + reach).astype("<i4")
+            cuts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (c[at][1:] != c[at][:-1]) | (r[at][1:] != r[at][:-1])]).tolist()
+            rows = []
+            for x, y in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                tight = place[y - 1] - place[x] + 1 == y - x
+                rows.append((recs.dictionary[r[at[x]]].as_py(), b[x], channels.dictionary[c[at[x]]].as_py(), place[x], b"" if tight else place[x:y].tobytes(), v[at[x:y]].astype("<f8").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+    pieces = trace.select(rec, "channel", F.col("t").cast("long"), F.col("v").cast("double")).mapInArrow(run, f"rec {types[rec]}, _block long, channel {types['channel']}, at int, t binary, v binary")
+    rows = pieces.groupBy("rec", "_block").agg(F.collect_list(F.struct("channel", "at", "t", "v")).alias("_x"))
+    return kept(rows.select(F.col("rec").alias(rec), "_block", *(F.col(f"_x.{c}").alias(c) for c in ("channel", "at", "t", "v"))), "packed")
+
+
+class Whitener:
+    """Whitening by the noise of all recordings' quiet zones, over the blocks of ``packed``; what it learns is of the channels' size.
+
+    A zone is a run of more than ``min_zone`` samples where the magnitude over channels stays below ``threshold``.  Whether
+    a sample is in one shows in so many samples around it, so zones and filters are found inside a block and its
+    neighbours' samples.  Samples that are null or NaN count in no sum, and whatever a filter makes of them is null.
+    """
 
-def noise_covariance(noise: DataFrame, *, rec: str = "rec_id") -> tuple[list[object], np.ndarray]:
-    """The channels in order, and their covariance over the zones' samples."""
-    channels = sorted(r["channel"] for r in noise.select("channel").distinct().collect())
-    wide = noise.groupBy(rec, "t").pivot("channel", channels).agg(F.first("v"))
-    names = [f"c{i}" for i in range(len(channels))]
-    cov = np.zeros((len(names), len(names)))
-    for r in aggregates.covariance(wide.toDF(rec, "t", *names), names).collect():
-        cov[names.index(r["one"]), names.index(r["two"])] = r["cov"]
-    return channels, cov
+    def __init__(self, trace: DataFrame, threshold: float, min_zone: int, lags: int, reg: float, rec: str) -> None:
+        self.threshold, self.min_zone, self.lags, self.block = threshold, min_zone, lags, max(BLOCK, min_zone, 2 * lags)
+        self.reach = max(min_zone, lags + lags // 2)
+        self.types, self.rec = trace.schema, rec
+        self.taps: dict[object, np.ndarray] = {}
+        self.channels: list[object] = []
+        self.root = np.zeros((0, 0))
+        self.table = packed(trace, self.reach, rec=rec, block=self.block)
+        self.before = self.noise(("before",))
+        self.taps = {c: whitening_filter([x for _, x in sorted(v)]) for c, v in sorted(self.before["before"][0].items())}
+        if not self.taps:
+            raise ValueError("no noise zone to whiten by")
+        self.channels, cov = self.noise(("filtered",))["filtered"][1]
+        self.root = inverse_root(cov + reg * np.eye(len(self.channels)))
+
+    def grid(self, row: dict[str, object]) -> tuple[dict[object, np.ndarray], dict[object, np.ndarray], np.ndarray]:
+        """Values and presence of each channel of a block, and the zone of each place, -1 for none."""
+        n = self.block + 2 * self.reach
+        v: dict[object, np.ndarray] = {}
+        has: dict[object, np.ndarray] = {}
+        for c, at, t, x in zip(row["channel"], row["at"], row["t"], row["v"], strict=True):
+            x = np.frombuffer(x, "<f8")
+            where = np.frombuffer(t, "<i4") if t else slice(at, at + len(x))
+            v.setdefault(c, np.zeros(n))[where] = x
+            has.setdefault(c, np.zeros(n, bool))[where] = True
+        known = [has[c] & ~np.isnan(v[c]) for c in v]
+        level = np.sqrt(sum(np.where(k, x, 0.0) ** 2 for k, x in zip(known, v.values(), strict=True)))
+        quiet = np.logical_or.reduce(known) & (level < self.threshold)
+        edges = np.flatnonzero(np.diff(np.r_[False, quiet, False].astype(np.int8)))
+        length = edges[1::2] - edges[::2]
+        zone = np.full(n, -1)
+        zone[quiet] = np.repeat(np.where(length > self.min_zone, np.arange(len(length)), -1), length)
+        return v, has, zone
+
+    def filtered(self, v: dict[object, np.ndarray], has: dict[object, np.ndarray]) -> dict[object, np.ndarray]:
+        """Each channel whitened in time, NaN where it has no sample."""
+        return {c: np.where(has[c], np.convolve(v[c], self.taps[c], "same"), np.nan) for c in self.taps if c in v}
+
+    def white(self, v: dict[object, np.ndarray], has: dict[object, np.ndarray]) -> tuple[dict[object, np.ndarray], np.ndarray]:
+        """Each channel whitened in time and over channels, NaN where nothing is known, and where any has a sample."""
+        part = self.filtered(v, has)
+        there = np.logical_or.reduce([np.zeros(self.block + 2 * self.reach, bool), *(has[c] for c in part)])
+        known = np.logical_or.reduce([~there, *(~np.isnan(x) for x in part.values())]) & there
+        sums = {c: sum((np.nan_to_num(part[d]) * self.root[i, j] for j, d in enumerate(self.channels) if d in part), np.zeros(len(there))) for i, c in enumerate(self.channels)}
+        return {c: np.where(known, x, np.nan) for c, x in sums.items()}, there
+
+    def noise(self, stages: Sequence[str]) -> dict[str, tuple[dict[object, list[tuple[int, float]]], tuple[list[object], np.ndarray]]]:
+        """In the zones of the trace, at each stage (before, filtered, after): lags by channel, and the covariance of channels."""
+        kind, core, lags, channel = to_arrow_type(self.types["channel"].dataType), slice(self.reach, self.reach + self.block), self.lags, self.types["channel"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    v, has, zone = self.grid(batch.slice(i, 1).to_pylist()[0])
+                    out = []
+                    for stage in stages:
+                        series = {"before": lambda: {c: np.where(has[c], x, np.nan) for c, x in v.items()}, "filtered": lambda: self.filtered(v, has), "after": lambda: self.white(v, has)[0]}[stage]()
+                        mine = zone[core]
+                        for c, x in series.items():
+                            for k in range(lags + 1) if stage != "filtered" else ():
+                                later = slice(core.start + k, core.stop + k)
+                                product = x[core] * x[later]
+                                good = (mine >= 0) & (zone[later] == mine) & ~np.isnan(product)
+                                if good.any():
+                                    out.append((stage, c, None, k, good.sum(), 0.0, 0.0, product[good].sum()))
+                            for d, y in series.items():
+                                good = (mine >= 0) & ~np.isnan(x[core]) & ~np.isnan(y[core])
+                                if good.any():
+                                    p, q = x[core][good], y[core][good]
+                                    out.append((stage, c, d, None, good.sum(), p.sum(), q.sum(), p @ q))
+                    columns = list(zip(*out, strict=True)) or [()] * 8
+                    yield pa.RecordBatch.from_arrays([pa.array(col, x) for col, x in zip(columns, [pa.string(), kind, kind, pa.int32(), pa.int64(), *[pa.float64()] * 3], strict=True)], names=["stage", "one", "two", "lag", "n", "a", "b", "s"])
+
+        sums = self.table.mapInArrow(run, f"stage string, one {channel}, two {channel}, lag int, n long, a double, b double, s double")
+        sums = kept(sums.groupBy("stage", "one", "two", "lag").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "s"))), "noise")
+        pairs = {(r["stage"], r["one"], r["two"]): (r["s"] - r["a"] * r["b"] / r["n"]) / r["n"] for r in sums.where("lag is null").collect()}
+        acf: dict[tuple[str, object], list[tuple[int, float]]] = {}
+        products = sums.where("lag is not null").select("stage", "one", "lag", "s")
+        for r in aggregates.autocorrelation(products, keys=("stage", "one")).collect():
+            acf.setdefault((r["stage"], r["one"]), []).append((r["lag"], r["acf"]))
+        found = {}
+        for stage in stages:
+            channels = sorted(c for s, c, d in pairs if s == stage and c == d)
+            found[stage] = ({c: v for (s, c), v in acf.items() if s == stage}, (channels, np.array([[pairs.get((stage, a, b), 0.0) for b in channels] for a in channels])))
+        return found
+
+    def trace(self) -> DataFrame:
+        """The whitened trace: rec_id, channel, t, v."""
+        names = [self.rec, "channel", "t", "v"]
+        rec_kind, kind = (to_arrow_type(self.types[c].dataType) for c in names[:2])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    white, there = self.white(*self.grid(row)[:2])
+                    at = np.flatnonzero(there[self.reach : self.reach + self.block])
+                    for c, x in white.items():
+                        v = pa.array(x[at + self.reach], pa.float64(), from_pandas=True)
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row[self.rec], rec_kind), len(at)), pa.repeat(pa.scalar(c, kind), len(at)), pa.array(at + row["_block"] * self.block, pa.int64()), v], names=names)
+
+        return self.table.mapInArrow(run, f"{self.rec} {self.types[self.rec].dataType.simpleString()}, channel {self.types['channel'].dataType.simpleString()}, t long, v double")
+
+    def __getstate__(self) -> dict[str, object]:
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "before")}
 
 
 def whiten(trace: DataFrame, threshold: float, min_zone: int, lags: int, *, reg: float = 0.0, rec: str = "rec_id") -> DataFrame:
     """Whiten each channel in time, then all channels together, by the noise of all recordings' quiet zones: rec_id, channel, t, v.
 
-    A zone is a run where the magnitude over channels stays below ``threshold``.  Lags by channel and the covariance of
-    channels are all that comes to the driver.
+    The trace is shuffled and written once, in blocks; lags by channel and the covariance of channels are all that comes
+    to the driver.
     """
-    keys = (rec, "channel")
-    zones = kept(noise_zones(trace, threshold, min_zone, rec=rec), "noise-zones")
-    by_channel: dict[object, list[tuple[int, float]]] = {}
-    for r in noise_acf(in_zones(trace, zones, rec=rec), lags, rec=rec).collect():
-        by_channel.setdefault(r["channel"], []).append((r["lag"], r["acf"]))
-    if not by_channel:
-        raise ValueError("no noise zone to whiten by")
-    out = None
-    for channel, values in sorted(by_channel.items()):
-        taps = whitening_filter([x for _, x in sorted(values)])
-        part = filter_trace(trace.where(F.col("channel") == channel), taps, keys=keys, pad_edges=False)
-        out = part if out is None else out.unionByName(part)
-    out = kept(out, "whitened-in-time")
-    channels, cov = noise_covariance(in_zones(out, zones, rec=rec), rec=rec)
-    root = inverse_root(cov + reg * np.eye(len(channels)))
-    mixed = out.withColumn("_w", F.element_at(F.create_map(*(x for i, c in enumerate(channels) for x in (F.lit(c), F.array(*(F.lit(float(k)) for k in root[:, i]))))), F.col("channel")))
-    parts = mixed.select(rec, "t", "v", F.posexplode("_w").alias("_to", "_k")).groupBy(rec, "t", "_to").agg(F.sum(F.col("v") * F.col("_k")).alias("v"))
-    back = F.element_at(F.create_map(*(x for i, c in enumerate(channels) for x in (F.lit(i), F.lit(c)))), F.col("_to"))
-    white = parts.select(rec, back.alias("channel"), "t", "v")
+    white = Whitener(trace, threshold, min_zone, lags, reg, rec).trace()
     return recorded(white, trace, "whitening", threshold=threshold, min_zone=min_zone, lags=lags, reg=reg)
 
 
-def whitening_report(before: DataFrame, after: DataFrame, threshold: float, min_zone: int, lags: int, *, rec: str = "rec_id") -> DataFrame:
+def whitening_report(trace: DataFrame, threshold: float, min_zone: int, lags: int, *, reg: float = 0.0, rec: str = "rec_id") -> DataFrame:
     """Noise before and after whitening, over the zones of the trace before: stage, kind (``acf`` by channel and lag, ``cov`` by
     two channels), one, two, value.  Its size is that of the channels and lags."""
-    zones = kept(noise_zones(before, threshold, min_zone, rec=rec), "noise-zones")
+    whitener = Whitener(trace, threshold, min_zone, lags, reg, rec)
     rows = []
-    for stage, trace in (("before", before), ("after", after)):
-        noise = in_zones(trace, zones, rec=rec)
-        rows += [(stage, "acf", r["channel"], r["lag"], r["acf"]) for r in noise_acf(noise, lags, rec=rec).collect()]
-        channels, cov = noise_covariance(noise, rec=rec)
+    for stage, (acf, (channels, cov)) in (whitener.before | whitener.noise(("after",))).items():
+        rows += [(stage, "acf", c, lag, x) for c, values in acf.items() for lag, x in values]
         rows += [(stage, "cov", a, b, float(cov[i, j])) for i, a in enumerate(channels) for j, b in enumerate(channels)]
-    return before.sparkSession.createDataFrame(rows, "stage string, kind string, one int, two int, value double")
+    return trace.sparkSession.createDataFrame(rows, "stage string, kind string, one int, two int, value double")

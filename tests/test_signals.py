@@ -282,3 +282,35 @@ def test_restarts_share_passes_and_do_not_depend_on_partitions(spark):
     assert labels == {r["i"]: r["label"] for r in learning.cluster(rows.repartition(7), 3, restarts=25).collect()}
     with pytest.raises(ValueError, match="empty"):
         learning.cluster(rows.where("i < 1").unionByName(rows.where("i < 1")), 3, restarts=2)
+
+
+@pytest.mark.parametrize("block", [1 << 15, 16])
+def test_whitening_shuffles_its_trace_once(spark, monkeypatch, block):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(2, 300)) + np.r_[np.zeros(100), np.full(20, 9.0), np.zeros(180)]
+    v[1] += 0.5 * v[0]
+    rows = trace(spark, v[0]).unionByName(trace(spark, v[1], 1)).where("t <> 77").repartition(3)
+    monkeypatch.setattr(signal, "BLOCK", block, raising=False)
+    got = signal.whiten(rows, 3.0, 5, 4, reg=1e-3)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    there = np.arange(300) != 77
+    x = np.where(there, v, 0.0)
+    quiet = there & (np.sqrt((x**2).sum(axis=0)) < 3.0)
+    zone, at = np.full(300, -1), 0
+    while at < 300:
+        end = at
+        while end < 300 and quiet[end]:
+            end += 1
+        if end - at > 5:
+            zone[at:end] = at
+        at = max(end, at + 1)
+    filtered = []
+    for c in x:
+        s = np.array([sum(c[t] * c[t + k] for t in range(300 - k) if zone[t] >= 0 and zone[t] == zone[t + k]) for k in range(5)])
+        d = s - s[-1]
+        filtered.append(np.convolve(c, signal.whitening_filter(d / np.abs(d).max()), "same"))
+    y = np.array(filtered)
+    plain = signal.inverse_root(np.cov(y[:, zone >= 0], bias=True) + 1e-3 * np.eye(2)) @ y
+    found = {(r["channel"], r["t"]): r["v"] for r in got.collect()}
+    assert set(found) == {(c, t) for c in (0, 1) for t in range(300) if t != 77}
+    assert np.allclose([found[k] for k in sorted(found)], [plain[c, t] for c, t in sorted(found)])
