@@ -96,6 +96,11 @@ def islands(trace: DataFrame, mask: Column, *, keys: Sequence[str] = KEYS, block
     inside = trace.where(mask).select(*keys, "t", F.floor(F.col("t") / block).alias("_block"))
     rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("t"))
     parts = inside.withColumn("_run", F.col("t") - rank).groupBy(*keys, "_block", "_run").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    return chained_runs(parts, keys=keys, block=block)
+
+
+def chained_runs(parts: DataFrame, *, keys: Sequence[str], block: int) -> DataFrame:
+    """Runs (keys, start, end) that were found inside blocks, with those that meet at a block's border made one: start, end, len."""
     at_border = (F.pmod("start", F.lit(block)) == 0) | (F.pmod(F.col("end") + 1, F.lit(block)) == 0)
     whole = parts.where(~at_border).select(*keys, "start", "end")
     ordered = Window.partitionBy(*keys).orderBy("start")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspark.functions import registry
-from sigspark.operators import aggregates, decompose, learning, signal
+from sigspark.operators import aggregates, decompose, learning, signal, windows
 from sigspark.operators.tables import kept, shared_folder
 from sigspark.params import General, Params
 from sigspark.plans import details  # noqa: F401  registers its queries
@@ -153,10 +153,12 @@ def session_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE_SQL["quiet_zones"])
 def sql_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``quiet_zones`` by the registered table function."""
+    """``quiet_zones`` by the registered table function, in blocks of time."""
     registry.register(spark)
-    events_trace(spark, sf_dir).where(F.col("v") < QUIET).select(F.col("rec_id").alias("key"), "t").createOrReplaceTempView("quiet_samples")
-    return spark.sql("SELECT start, `end`, len FROM islands(TABLE(quiet_samples) PARTITION BY key ORDER BY t) WHERE len > 8")
+    block = 1 << 16
+    events_trace(spark, sf_dir).where(F.col("v") < QUIET).select(F.col("rec_id").alias("key"), F.floor(F.col("t") / block).alias("block"), "t").createOrReplaceTempView("quiet_samples")
+    parts = spark.sql("SELECT key, start, `end` FROM islands(TABLE(quiet_samples) PARTITION BY (key, block) ORDER BY t)")
+    return windows.chained_runs(parts, keys=("key",), block=block).where("len > 8").select("start", "end", "len")
 
 
 @query(ORACLE_SQL["greedy_match"])
@@ -171,11 +173,13 @@ def sql_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE_SQL["cross_correlogram"])
 def sql_correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``cross_correlogram`` by the registered table function."""
+    """``cross_correlogram`` by the registered table function, in blocks of time: an event is in one, a trigger in all that it reaches."""
     registry.register(spark)
     side = F.when(F.col("cell_id") == KINDS[0], 0).when(F.col("cell_id") == KINDS[1], 1)
-    events_trains(spark, sf_dir).select(F.lit("all").alias("key"), side.alias("side"), "t").where("side is not null").createOrReplaceTempView("two_trains")
-    return spark.sql(f"SELECT bin, n FROM correlogram(TABLE(two_trains) PARTITION BY key ORDER BY (t), {-BAND}L, {BAND}L, 50)")
+    block = lambda gap: F.floor((F.col("t") + gap) / (1024 * BAND))
+    blocks = F.explode(F.when(side == 0, F.array(block(0))).otherwise(F.sequence(block(-BAND), block(BAND))))
+    events_trains(spark, sf_dir).where(side.isNotNull()).select(F.lit("all").alias("key"), blocks.alias("block"), side.alias("side"), "t").createOrReplaceTempView("two_trains")
+    return spark.sql(f"SELECT bin, sum(n) AS n FROM correlogram(TABLE(two_trains) PARTITION BY (key, block) ORDER BY (t), {-BAND}L, {BAND}L, 50) GROUP BY bin")
 
 
 @query("""WITH z AS (SELECT event_id // 100 AS zone, event_id, value - avg(value) OVER (PARTITION BY event_id // 100) AS x FROM events),

@@ -240,3 +240,17 @@ def test_first_waveforms_are_the_planted_ones(spark):
     norms = [float(np.linalg.norm(w)) for w in found]
     assert norms == sorted(norms, reverse=True)
     assert all(min(np.abs(w[:, 0] - s).max() for s in shapes) < 0.5 for w in found)
+
+
+@pytest.mark.parametrize("query", ["sql_islands", "sql_correlogram"])
+def test_table_functions_spread_a_key_over_blocks(spark, tmp_path, query):
+    rows = spark.range(200_000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1000)) / 10).alias("value"))
+    kind = F.when(F.col("id") % 2 == 0, catalog.KINDS[0]).otherwise(catalog.KINDS[1])
+    value = F.when(F.col("id").between(65_500, 131_100), 1.0).otherwise(F.col("value"))  # one quiet run over three blocks
+    rows.select(F.col("id").alias("event_id"), F.timestamp_micros(F.col("id") * 7_000_000).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), kind.alias("event_type"), value.alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    twin = {"sql_islands": "quiet_zones", "sql_correlogram": "cross_correlogram"}[query]
+    got, expected = numeric.QUERIES[query](spark, str(tmp_path)), numeric.QUERIES[twin](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.select(*got.columns).collect()))
+    view = {"sql_islands": "quiet_samples", "sql_correlogram": "two_trains"}[query]
+    most = spark.table(view).groupBy("key", "block").count().agg(F.max("count")).first()[0]
+    assert most <= 1 << 16  # what one task takes at least
