@@ -154,16 +154,16 @@ def interpolated_average(trace: DataFrame, times: DataFrame, half: int, *, kind:
     lags = np.arange(-half, half + 1)
 
     @F.pandas_udf("array<double>")
-    def around(w: pd.Series, part: pd.Series) -> pd.Series:
+    def around(first: pd.Series, values: pd.Series, part: pd.Series) -> pd.Series:
         out = []
-        for rows, x in zip(w, part, strict=True):
-            dt, v = np.array([p["dt"] for p in rows]), np.array([p["v"] for p in rows], float)
-            at = lags + x - dt[0]
+        for dt, v, x in zip(first, values, part, strict=True):
+            v = v.astype(float)
+            at = lags + x - dt
             inside = (at >= 0) & (at <= len(v) - 1)
             out.append(np.where(inside, spline(v, at) if kind == "spline" else np.interp(at, np.arange(len(v)), v), 0.0))
         return pd.Series(out)
 
-    values = windows_of.select(*keys, F.posexplode(around("w", F.col("at") - F.col("trigger_t"))).alias("i", "x"))
+    values = windows_of.select(*keys, F.posexplode(around(F.col("w.dt")[0], F.col("w.v"), F.col("at") - F.col("trigger_t"))).alias("i", "x"))
     n = times.groupBy(*keys).agg(F.count("*").alias("n"))
     sums = values.groupBy(*keys, (F.col("i") - half).cast("long").alias("lag")).agg(F.sum("x").alias("s"))
     return sums.join(n, list(keys)).select(*keys, "lag", (F.col("s") / F.col("n")).alias("avg_v"))

@@ -254,3 +254,11 @@ def test_table_functions_spread_a_key_over_blocks(spark, tmp_path, query):
     view = {"sql_islands": "quiet_samples", "sql_correlogram": "two_trains"}[query]
     most = spark.table(view).groupBy("key", "block").count().agg(F.max("count")).first()[0]
     assert most <= 1 << 16  # what one task takes at least
+
+
+def test_interpolation_takes_plain_arrays_to_python(spark):
+    times = spark.createDataFrame([("r", 0, 20.25)], "rec_id string, channel int, t double")
+    got = aggregates.interpolated_average(trace(spark, np.arange(60.0)), times, 4, kind="linear")
+    inputs = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ".v" in inputs.split("around(", 1)[1].split(")#", 1)[0]  # an array of structs is a dict for each sample in Python
+    assert {r["lag"]: r["avg_v"] for r in got.collect()} == {k: 20.25 + k for k in range(-4, 5)}
