@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -80,9 +81,9 @@ def gains(first: np.ndarray, last: np.ndarray, order: np.ndarray) -> np.ndarray:
     """
     size = 1 << max(0, len(first) - 1).bit_length()
     far = 1 << 60
-    a, b, c = [0] * (2 * size), [-far] * (2 * size), [far] * (2 * size)
+    a, b, c = (array("q", [x]) * (2 * size) for x in (0, -far, far))  # 48 bytes an estimate; lists of ints take several times that
     out = np.zeros(len(first), bool)
-    for i in order.tolist():
+    for i in map(int, order):
         lo, hi = int(first[i]), int(last[i])
         if lo >= hi:
             continue
@@ -144,7 +145,8 @@ def amplitude_roc(est: DataFrame, true: DataFrame, slack: float) -> DataFrame:
             yield gained_in(pd.concat(held))
 
     cell = dict(est.dtypes)["cell_id"]
-    gained = runs.sortWithinPartitions("cell_id", "_run", "t", "id").mapInPandas(stream, f"cell_id {cell}, amp double")
+    runs = runs.sortWithinPartitions("cell_id", "_run", "t", "id").select("cell_id", "_run", "_side", "t", "amp")
+    gained = runs.mapInPandas(stream, f"cell_id {cell}, amp double")
     both = est.select("cell_id", "amp", F.lit(1).alias("n"), F.lit(0).alias("gain")).unionByName(gained.select("cell_id", "amp", F.lit(0).alias("n"), F.lit(1).alias("gain")))
     steps = running_sums(both.groupBy("cell_id", "amp").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain")), ("n", "gain"), "amp", keys=("cell_id",))
     positive = F.col("amp") > 0

@@ -115,3 +115,17 @@ def test_sweep_over_all_amplitudes_is_the_plain_loop(spark, sf_dir):
             r = rows[cell_id, i + 1]
             assert tuple(r)[2:7] == (level, n, hits, len(t) - hits, n - hits)
             assert r["miss_rate"] == pytest.approx((len(t) - hits) / len(t)) and r["fp_rate"] == pytest.approx((n - hits) / (len(amps) - i))
+
+
+def test_gains_of_a_long_run_take_little_memory():
+    import tracemalloc
+
+    n = 1 << 15
+    first = np.arange(n) // 2
+    order = np.random.default_rng(1).permutation(n)
+    tracemalloc.start()
+    got = evaluate.gains(first, first + 2, order)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 * n
+    assert got.sum() == n // 2 + 1
