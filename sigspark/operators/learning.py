@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sigspark.operators import aggregates, windows
@@ -115,8 +116,43 @@ def project(vectors: DataFrame, columns: np.ndarray, *, features: str = "feature
     return vectors.withColumn(out, F.array(*dots))
 
 
-def first_centres(points: DataFrame, k: int, starts: int, seed: int) -> np.ndarray:
-    """``k`` distinct points of ``points`` (_x, _h: a hash of _x) for each start, those whose hash mixed with the start's own is least."""
+def packed_points(vectors: DataFrame, features: str) -> RDD:
+    """The vectors that aren't null, in memory or on disk of the executors: pairs of their hashes and a matrix of 2 MB at most.
+
+    Rows are packed once and written; a pass then copies bytes to Python, where rows of arrays cost more than the sums.
+    The caller unpersists them.
+    """
+    spark = vectors.sparkSession
+    points = vectors.select(F.col(features).cast("array<double>").alias("_x")).where("_x is not null").withColumn("_h", F.xxhash64("_x"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, x = batch.column(1).to_numpy(), batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            step = max(1, (1 << 21) // max(1, x[0].nbytes))
+            at = range(0, len(h), step)
+            yield pa.RecordBatch.from_pydict({"h": [h[i : i + step].tobytes() for i in at], "x": [x[i : i + step].tobytes() for i in at]})
+
+    def arrays(row: Row) -> tuple[np.ndarray, np.ndarray]:
+        h = np.frombuffer(row["h"], np.int64)
+        return h, np.frombuffer(row["x"]).reshape(len(h), -1)
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
+    blocks = kept(points.repartition(parts).mapInArrow(pack, "h binary, x binary"), "points")
+    n, cores = blocks.count(), spark.sparkContext.defaultParallelism  # the cores as they are after a job
+    if not n:
+        raise ValueError("a cluster is empty; use fewer waveforms")
+    return blocks.repartition(cores * -(-n // (128 * cores))).rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)  # even tasks of 256 MB at most
+
+
+def merged(found: RDD, f: Callable) -> object:
+    """The parts of ``found`` merged by ``f``; on executors first, where they are many."""
+    return found.treeReduce(f, depth=1 if found.getNumPartitions() <= 64 else 2)
+
+
+def first_centres(points: RDD, k: int, starts: int, seed: int) -> np.ndarray:
+    """``k`` distinct points of ``packed_points`` for each start, those whose hash mixed with the start's own is least."""
 
     def mixed(h: np.ndarray, start: int) -> np.ndarray:
         z = h.view(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + start + 1)) % (1 << 64))
@@ -124,52 +160,56 @@ def first_centres(points: DataFrame, k: int, starts: int, seed: int) -> np.ndarr
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return z ^ (z >> np.uint64(31))
 
-    def least(hashes: np.ndarray) -> np.ndarray:
-        """The hashes of the points that some start takes: a row for each start."""
-        h = np.unique(hashes)
-        return np.array([h[np.argsort(mixed(h, i), kind="stable")[:k]] for i in range(starts)], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64)
-        for batch in batches:
-            held = least(np.r_[held, batch.column(0).to_numpy()]).ravel()
-        yield pa.RecordBatch.from_pydict({"_h": np.unique(held)})
-
-    taken = least(np.array([r["_h"] for r in points.select("_h").mapInArrow(run, "_h long").distinct().collect()], np.int64))
-    if taken.shape[1] < k:
+    def least(h: np.ndarray) -> np.ndarray:
+        """The places of the distinct hashes that some start takes: a row for each start."""
+        return np.array([np.argsort(mixed(h, i), kind="stable")[:k] for i in range(starts)])
+
+    def taken(*found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        h, at = np.unique(np.concatenate([x[0] for x in found]), return_index=True)
+        x = np.concatenate([x[1] for x in found])
+        i = np.unique(least(h))
+        return h[i], x[at[i]]
+
+    def run(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held = None
+        for block in blocks:
+            held = taken(block) if held is None else taken(held, block)
+        if held is not None:
+            yield held
+
+    h, x = merged(points.mapPartitions(run), taken)
+    if len(h) < k:
         raise ValueError("a cluster is empty; use fewer waveforms")
-    at = points.where(F.col("_h").isin(np.unique(taken).tolist())).groupBy("_h").agg(F.first("_x").alias("_x")).collect()
-    found = {r["_h"]: r["_x"] for r in at}
-    return np.array([[found[h] for h in row] for row in taken.tolist()])
+    return x[least(h)]
 
 
-def lloyd_step(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def lloyd_step(points: RDD, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each start's nearest points, by centre: their sums and numbers, and the cost of each start.
 
-    One pass for all starts.  Each task adds up matrix products of its batches; a row for each element of each centre is
-    all that a task hands on.
+    One pass of one stage for all starts.  Each task adds up matrix products of its blocks and hands on one small matrix.
     """
     starts, k, size = centres.shape
-    flat = centres.reshape(-1, size)
+    flat = centres.transpose(1, 0, 2).reshape(-1, size)  # starts lie side by side, so that comparisons run along them
     norms = (flat**2).sum(axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((starts * k, size + 2))
-        for batch in batches:
-            whole = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            for x in np.array_split(whole, max(1, len(whole) // 4096)):
-                far = (norms - 2 * (x @ flat.T)).reshape(len(x), starts, k)
-                near = (far.argmin(axis=2)[:, :, None] == np.arange(k)).reshape(len(x), -1).astype(float)
+    def run(blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        total = np.zeros((k * starts, size + 2))
+        for _, whole in blocks:
+            for i in range(0, len(whole), 1024):
+                x = whole[i : i + 1024]
+                far = (norms - 2 * (x @ flat.T)).reshape(len(x), k, starts)
+                least = far.min(axis=1)
+                near, free = np.zeros_like(far), np.ones(least.shape, bool)
+                for j in range(k):  # the first of equal ones
+                    near[:, j] = free & (far[:, j] == least)
+                    free &= far[:, j] != least
+                near = near.reshape(len(x), -1)
                 total[:, :size] += near.T @ x
                 total[:, size] += near.sum(axis=0)
-                total[::k, size + 1] += far.min(axis=2).sum(axis=0) + (x**2).sum()
-        slot, pos = np.indices(total.shape, np.int32)
-        yield pa.RecordBatch.from_pydict({"slot": slot.ravel(), "pos": pos.ravel(), "s": total.ravel()})
-
-    rows = points.select("_x").mapInArrow(run, "slot int, pos int, s double").groupBy("slot", "pos").agg(F.sum("s").alias("s")).toPandas()
-    total = np.zeros((starts * k, size + 2))
-    total[rows["slot"], rows["pos"]] = rows["s"]
-    total = total.reshape(starts, k, -1)
+                total[:starts, size + 1] += least.sum(axis=0) + np.vdot(x, x)
+        yield total
+
+    total = merged(points.mapPartitions(run), np.add).reshape(k, starts, -1).transpose(1, 0, 2)
     return total[:, :, :size], total[:, :, size], total[:, :, size + 1].sum(axis=1)
 
 
@@ -180,21 +220,21 @@ def cluster(vectors: DataFrame, k: int, *, features: str = "scores", restarts: i
     restart ends when none of its centres moves by more than ``tol``.  Draws go by hashes of the points and not by how
     they are partitioned.  The centres of all restarts come to the driver.
     """
-    spark = vectors.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    points = vectors.select(F.col(features).cast("array<double>").alias("_x")).where("_x is not null").withColumn("_h", F.xxhash64("_x"))
-    points = kept(points.repartition(parts), "points")  # one file is one task in each of many passes
-    centres = first_centres(points, k, restarts, seed)
-    moving = np.arange(restarts)
-    for _ in range(max_iter):
-        sums, counts, _ = lloyd_step(points, centres[moving])
-        new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres[moving])
-        moved = np.sqrt(((new - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
-        centres[moving] = new
-        moving = moving[moved > tol]
-        if not len(moving):
-            break
-    _, counts, cost = lloyd_step(points, centres)
+    points = packed_points(vectors, features)
+    try:
+        centres = first_centres(points, k, restarts, seed)
+        moving = np.arange(restarts)
+        for _ in range(max_iter):
+            sums, counts, _ = lloyd_step(points, centres[moving])
+            new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres[moving])
+            moved = np.sqrt(((new - centres[moving]) ** 2).sum(axis=2)).max(axis=1)
+            centres[moving] = new
+            moving = moving[moved > tol]
+            if not len(moving):
+                break
+        _, counts, cost = lloyd_step(points, centres)
+    finally:
+        points.unpersist()
     best = int(cost.argmin())
     if counts[best].min() == 0:
         raise ValueError("a cluster is empty; use fewer waveforms")

@@ -284,6 +284,45 @@ def test_restarts_share_passes_and_do_not_depend_on_partitions(spark):
         learning.cluster(rows.where("i < 1").unionByName(rows.where("i < 1")), 3, restarts=2)
 
 
+def test_kmeans_takes_a_job_of_one_stage_for_a_pass_and_is_that_of_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(700, None)], "i long, scores array<double>")
+    step, starts = learning.lloyd_step, []
+    monkeypatch.setattr(learning, "lloyd_step", lambda points, centres: starts.append(centres.copy()) or step(points, centres))
+    context = spark.sparkContext
+    context.setJobGroup("kmeans", "passes of k-means")
+    try:
+        found = learning.cluster(rows, 3, restarts=4)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for i in tracker.getJobIdsForGroup("kmeans") for s in tracker.getJobInfo(i).stageIds}
+    ran = [s for s in stages if (stage := tracker.getStageInfo(s)) and stage.numCompletedTasks]
+    assert len(starts) > 20 and len(starts) < len(ran) <= len(starts) + 12  # a pass took two stages
+
+    def far(c):
+        return ((x[:, None] - c) ** 2).sum(axis=2)
+
+    ends = []
+    for c in starts[0]:
+        moved = 1.0
+        while moved > 1e-4:
+            label = far(c).argmin(axis=1)
+            new = np.array([x[label == j].mean(axis=0) for j in range(3)])
+            moved, c = np.sqrt(((new - c) ** 2).sum(axis=1)).max(), new
+        ends.append(c)
+    best = min(ends, key=lambda c: far(c).min(axis=1).sum())
+    assert {r["i"]: r["label"] for r in found.collect()} == {**dict(enumerate(far(best).argmin(axis=1).tolist())), 700: None}
+
+
+@pytest.mark.parametrize("n", [0, 2])
+def test_fewer_points_than_clusters_are_an_error(spark, n):
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(n)], "i long, scores array<double>")
+    with pytest.raises(ValueError, match="empty"):
+        learning.cluster(rows, 3, restarts=2)
+
+
 @pytest.mark.parametrize("block", [1 << 15, 16])
 def test_whitening_shuffles_its_trace_once(spark, monkeypatch, block):
     rng = np.random.default_rng(9)
